@@ -27,57 +27,56 @@ def symbol_industry(rows: DataFrame) -> DataFrame:
 
 
 def daily_changes(rows: DataFrame) -> DataFrame:
-    """Change of each symbol against its previous observed close.
+    """Change of each symbol against its previous observed close, next to the other columns.
 
     A day without a close counts as no change, so only observed days need a row here;
     ``industry_returns`` puts the zero days back through its denominators. One symbol has at
     most one row per date, so the ordered window is bounded by the calendar.
     """
     w = Window.partitionBy("symbol_code").orderBy("quote_date")
-    return (
-        rows.select("symbol_code", "quote_date", F.col("close_price").cast("double").alias("close"))
-        .withColumn("prev", F.lag("close").over(w))
-        .withColumn("change", F.try_divide(F.col("close"), F.col("prev")) - 1.0)
+    close = F.col("close_price").cast("double")
+    return rows.withColumn("prev", F.lag(close).over(w)).withColumn(
+        "change", F.try_divide(close, F.col("prev")) - 1.0
     )
 
 
-def industry_returns(
-    rows: DataFrame, min_stocks: int = 8, min_days: int = 30
-) -> DataFrame:
+def industry_returns(rows: DataFrame, min_stocks: int = 8, min_days: int = 30) -> DataFrame:
     """Equal-weight daily return of each industry.
 
-    ``rows`` has one close per (symbol, date) with its industry. A symbol takes part from the
-    day after its first close; on days without a close its return is zero. Industries need
-    ``min_stocks`` symbols and ``min_days`` returns.
+    ``rows`` has one close per (symbol, date) and one industry per symbol. A symbol takes part
+    from the day after its first close; on days without a close its return is zero. Industries
+    need ``min_stocks`` symbols and ``min_days`` returns.
 
-    The zero-filled grid is never built: the sum needs only observed changes, and the
-    denominator is the running count of symbols that have started.
+    The zero-filled date x symbol grid is never built: the sum needs only observed changes,
+    and the denominator is the running count of symbols that have started. The closes are read
+    once; all later steps work on the (industry, date) table.
     """
-    members = symbol_industry(rows)
-    big = members.groupBy("industry").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_stocks)
-    members = members.join(big.select("industry"), "industry", "left_semi")
-    changes = daily_changes(rows).join(members, "symbol_code")
-    per_day = changes.groupBy("industry", "quote_date").agg(
-        F.sum("change").alias("total"),
-        F.count(F.when(F.col("prev").isNull(), 1)).alias("started"),
-    )
-    # Dates on which at least one symbol (of any industry) has a return. The calendar bounds
-    # the array, the industry list bounds the grid.
-    days = (
-        rows.select("quote_date").distinct().agg(F.sort_array(F.collect_set("quote_date"))).scalar()
+    changes = daily_changes(rows.select("symbol_code", "quote_date", "close_price", "industry"))
+    per_day = cut_lineage(
+        changes.groupBy("industry", "quote_date").agg(
+            F.sum("change").alias("total"),
+            F.count_if(F.col("prev").isNull()).alias("started"),
+        )
     )
+    big = per_day.groupBy("industry").agg(F.sum("started").alias("n")).filter(F.col("n") >= min_stocks)
+    # The calendar bounds this array, and the industry list bounds the grid.
+    days = per_day.select("quote_date").distinct().agg(F.collect_list("quote_date")).scalar()
     grid = big.select("industry", F.explode(days).alias("quote_date"))
-    seen = Window.partitionBy("industry").orderBy("quote_date").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("industry").orderBy("quote_date").rowsBetween(Window.unboundedPreceding, -1)
     filled = grid.join(per_day, ["industry", "quote_date"], "left").withColumn(
-        "active", F.sum(F.coalesce("started", F.lit(0))).over(seen)
+        "active", F.sum(F.coalesce("started", F.lit(0))).over(before)
     )
-    series = filled.filter(F.col("active") > 0).select(
-        "industry",
-        "quote_date",
-        (F.coalesce("total", F.lit(0.0)) / F.col("active")).alias("industry_return"),
+    per_industry = Window.partitionBy("industry")
+    return (
+        filled.filter(F.col("active") > 0)
+        .withColumn("n", F.count(F.lit(1)).over(per_industry))
+        .filter(F.col("n") >= min_days)
+        .select(
+            "industry",
+            "quote_date",
+            (F.coalesce("total", F.lit(0.0)) / F.col("active")).alias("industry_return"),
+        )
     )
-    enough = series.groupBy("industry").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_days)
-    return series.join(enough.select("industry"), "industry", "left_semi")
 
 
 def cumulative_index(returns: DataFrame) -> DataFrame:
