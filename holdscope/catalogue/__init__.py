@@ -1,2 +1,2 @@
-from holdscope.catalogue import browse, portfolio, series  # noqa
+from holdscope.catalogue import browse, portfolio, series, stored  # noqa
 from holdscope.catalogue.registry import ORACLES, QUERIES

@@ -12,6 +12,7 @@ from holdscope.functions import constants as C
 from holdscope.functions.text import base_name, has_share_class, infer_market
 from holdscope.operators.latest import latest_snapshot
 from holdscope.operators.skew import salted_join, top_rows
+from holdscope.session import cut_lineage
 
 META = ("product_id", "product_code", "product_name", "institution_code", "product_type")
 
@@ -30,20 +31,17 @@ def cross_section(
     distinct assets of the wanted types. Snapshots are keyed by product code alone.
     """
     on_date = holdings.filter(F.col("report_date") == report_date)
-    with_holdings = on_date.select("product_id").distinct()
-    candidates = products.filter(F.col("product_type").isin(*product_types)).join(
-        with_holdings, "product_id", "left_semi"
-    )
-    latest = latest_snapshot(candidates, ["product_code"]).select(*META)
-    wanted = on_date.filter(F.col("asset_type").isin(*asset_types) & F.col("weight").isNotNull())
-    qualified = (
-        wanted.groupBy("product_id")
-        .agg(F.countDistinct("asset_code").alias("n"))
-        .filter(F.col("n") >= min_holdings)
-        .select("product_id")
-    )
-    kept = latest.join(qualified, "product_id", "left_semi")
-    rows = wanted.select("product_id", "asset_code", "asset_name", "market", F.col("weight").cast("double"))
+    wanted = F.col("asset_type").isin(*asset_types) & F.col("weight").isNotNull()
+    # One pass finds both who reported at all and how many distinct assets qualify.
+    reported = on_date.groupBy("product_id").agg(
+        F.countDistinct(F.when(wanted, F.col("asset_code"))).alias("n")
+    )
+    candidates = products.filter(F.col("product_type").isin(*product_types)).join(reported, "product_id")
+    latest = latest_snapshot(candidates, ["product_code"])
+    kept = latest.filter(F.col("n") >= min_holdings).select(*META)
+    rows = on_date.filter(wanted).select(
+        "product_id", "asset_code", "asset_name", "market", F.col("weight").cast("double")
+    )
     return salted_join(rows, kept, ["product_id"], ["asset_code", "asset_name"], "inner")
 
 
@@ -55,7 +53,7 @@ def share_class_map(rows: DataFrame) -> DataFrame:
     members of such a group merge, also those without a letter. Long form, so a huge family
     is rows, not one list.
     """
-    products = (
+    products = cut_lineage(
         rows.groupBy("institution_code", "product_name", "product_id")
         .agg(F.count(F.lit(1)).alias("rows"))
         .withColumn("family", base_name(F.col("product_name")))
@@ -162,6 +160,8 @@ def features(
     """Sparse feature table (product_id, feature, raw_weight, weight) and the merge map."""
     merge_map = None
     if deduplicate:
+        # The cross-section feeds both the merge map and the cells.
+        rows = cut_lineage(rows)
         merge_map = share_class_map(rows)
         rows = keep_share_classes(rows, merge_map)
     if feature_type == "asset":
