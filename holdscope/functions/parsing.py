@@ -12,15 +12,15 @@ _NO_FLOAT = ("", "---", "--")
 DATE_FORMATS = ("yyyy-MM-dd", "yyyyMMdd", "yyyy/MM/dd")
 
 
-def to_decimal(c: Column, scale: int = 4) -> Column:
+def to_decimal(c: Column, kind: str = "decimal(18,4)") -> Column:
     """Trimmed number text without thousands commas; markers for "no value" are NULL."""
     t = F.replace(strip(c), F.lit(","), F.lit(""))
-    return F.when(~t.isin(*_NO_DECIMAL), t.try_cast(f"decimal(28,{scale})"))
+    return F.when(~t.isin(*_NO_DECIMAL), t.try_cast(kind))
 
 
 def to_int(c: Column) -> Column:
     """Whole part of a number text."""
-    d = to_decimal(c, 10)
+    d = to_decimal(c, "decimal(28,10)")
     return F.when(d >= 0, F.floor(d)).otherwise(F.ceil(d)).cast("bigint")
 
 

@@ -109,9 +109,10 @@ def parse_quote_lines(rows: DataFrame, today: Column, line: str = "line") -> Dat
     c, v, pct = F.col("close_price"), F.col("prev_close"), F.col("_pct")
     from_pct = F.when(v != 0, v * pct / hundred)
     change = F.when(F.col("_us"), F.coalesce(F.col("_change"), from_pct)).otherwise(c - v)
-    rated = priced.withColumn("change_amount", change.cast("decimal(28,4)"))
-    derived = F.try_divide(F.col("change_amount"), v) * hundred
-    return rated.withColumn("change_pct", F.coalesce(pct, derived.cast("decimal(28,4)"))).drop(
+    rated = priced.withColumn("change_amount", change.cast("decimal(18,4)"))
+    # Divided last, so that no digits are lost before the percent scale.
+    derived = F.try_divide(F.col("change_amount") * hundred, v)
+    return rated.withColumn("change_pct", F.coalesce(pct, derived.cast("decimal(18,4)"))).drop(
         "_change", "_pct", "_us"
     )
 

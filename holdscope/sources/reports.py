@@ -74,9 +74,8 @@ def weight_position(cells: Column) -> Column:
     return F.array_position(F.transform(cells, lambda c: c.contains("%")), True) - 1
 
 
-def other_numbers(cells: Column) -> Column:
-    """Numbers after the third cell without the weight cell, largest first."""
-    at = weight_position(cells)
+def other_numbers(cells: Column, at: Column) -> Column:
+    """Numbers after the third cell without the weight cell at ``at``, largest first."""
     marked = F.transform(cells, lambda c, i: F.when((i > 2) & (i != at), to_float(c)))
     return F.sort_array(F.filter(marked, lambda v: v.isNotNull()), asc=False)
 
@@ -86,12 +85,12 @@ def holding_rows(sections: DataFrame, body: str = "body") -> DataFrame:
     largest other numbers. Rows with fewer than seven cells and header rows drop out.
     """
     rows = cell_rows(sections, body).filter((F.col("row") > 0) & (F.size("cells") >= 7))
-    cells = F.col("cells")
-    at = weight_position(cells)
-    numbers = other_numbers(cells)
+    kept = [c for c in rows.columns if c not in ("cells", "row")]
+    cells, at, numbers = F.col("cells"), F.col("_at"), F.col("_numbers")
+    rows = rows.withColumn("_at", weight_position(cells)).withColumn("_numbers", other_numbers(cells, at))
     code = F.get(cells, F.lit(1))
     return rows.select(
-        *[c for c in rows.columns if c not in ("cells", "row")],
+        *kept,
         to_int(F.get(cells, F.lit(0))).cast("int").alias("sort_order"),
         code.alias("asset_code"),
         F.get(cells, F.lit(2)).alias("asset_name"),
