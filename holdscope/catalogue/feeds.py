@@ -97,7 +97,7 @@ def live_lines(d: Domain) -> DataFrame:
 LIVE_ORACLE = """
     SELECT event_id, live_symbol, quote_date, p AS open_price, p AS high_price,
         CASE event_type WHEN 'view' THEN p END AS low_price, p AS close_price, b AS prev_close,
-        CASE WHEN event_type = 'signup' THEN round(b * 1.5 / 100, 4) ELSE round(p - b, 4) END AS change_amount,
+        CASE WHEN event_type = 'signup' THEN ((CAST(round(b * 100) AS BIGINT) * 15 + 5) // 10) / 10000 ELSE round(p - b, 4) END AS change_amount,
         CASE WHEN event_type = 'signup' THEN 1.5 ELSE round((p - b) / b * 100, 4) END AS change_pct,
         CASE WHEN event_type IN ('click', 'error', 'signup') THEN user_id END AS volume,
         CASE WHEN event_type IN ('click', 'error') THEN p END AS amount

@@ -245,7 +245,7 @@ def missing_securities(d: Domain) -> DataFrame:
 
 
 def load_store(d: Domain, root: str) -> None:
-    """Write the derived tables in the stored layout, so the analysis runs as it would in use."""
+    """Write the derived tables in the stored layout, so that clustering runs as it would in use."""
     stamp = F.lit(datetime(2002, 1, 1)).cast("timestamp_ntz")
     for table in DDL:
         create_table(d.spark, root, table)
@@ -268,19 +268,6 @@ def load_store(d: Domain, root: str) -> None:
         root,
         "holding_security_info",
     )
-    quotes = d.quotes().withColumns(
-        {
-            "id": F.xxhash64("symbol_code", "quote_date"),
-            "symbol_name": F.col("symbol_code"),
-            "market_region": F.lit("domestic"),
-            "asset_class": F.lit("stock"),
-            "currency": F.lit("CNY"),
-            "data_source": F.lit("test"),
-            "created_at": stamp,
-        }
-    )
-    # Trading days as yearly files are enough for a test store.
-    write_table(quotes.withColumn("quote_date", F.trunc("quote_date", "month")).dropDuplicates(["symbol_code", "quote_date"]), root, "market_quote")
 
 
 @query()

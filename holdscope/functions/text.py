@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from holdscope.functions import constants as C
 
-# Python's strip and \s cover full-width spaces, so patterns run in Unicode mode.
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+# All Unicode white space: ASCII blanks and separators, no-break, typographic and full-width.
+_SPACES = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 
 
 def strip(c: Column) -> Column:
     """Trim all Unicode white space, not only ASCII blanks."""
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def lookup(c: Column, table: dict[str, str]) -> Column:

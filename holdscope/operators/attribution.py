@@ -34,22 +34,21 @@ def priced(rows: DataFrame, industries: DataFrame, returns: DataFrame) -> DataFr
     return salted_join(rows, lookup, ["asset_code", "market"], spread, "inner")
 
 
-def industry_profile(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Normalised weight and weighted return of each industry inside each key.
+def industry_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Weight and weighted return of each industry inside each key."""
+    w = F.col("weight").cast("double")
+    return rows.groupBy(*keys, "industry_name").agg(
+        F.sum(w).alias("w"), F.sum(w * F.col("stock_return")).alias("wr")
+    )
+
+
+def industry_profile(sums: DataFrame, keys: list[str], weight: str, ret: str) -> DataFrame:
+    """Normalised weight and return of each industry inside each key.
 
-    After the first aggregate a key has at most one row per industry, so its window is small.
+    A key has at most one row per industry here, so its window is small.
     """
-    w, r = F.col("weight").cast("double"), F.col("stock_return")
-    cells = rows.groupBy(*keys, "industry_name").agg(
-        F.sum(w).alias("total_weight"), F.sum(w * r).alias("weighted_return")
-    )
-    ret = F.when(F.col("total_weight") > 0, F.col("weighted_return") / F.col("total_weight")).otherwise(0.0)
-    return cells.select(
-        *keys,
-        "industry_name",
-        share_of("total_weight", keys).alias("industry_weight"),
-        ret.alias("industry_return"),
-    )
+    r = F.when(F.col("w") > 0, F.col("wr") / F.col("w")).otherwise(0.0)
+    return sums.select(*keys, "industry_name", share_of("w", keys).alias(weight), r.alias(ret))
 
 
 def brinson(
@@ -72,29 +71,27 @@ def brinson(
     placed = salted_join(
         stock, members.select("product_id", "cluster_id"), ["product_id"], ["asset_code"], "inner"
     )
-    rows = priced(placed, industries, returns)
-    portfolio = industry_profile(rows, ["cluster_id", "product_id"])
-
-    bench_columns = [
-        "industry_name",
-        F.col("industry_weight").alias("wb"),
-        F.col("industry_return").alias("rb"),
-    ]
+    # The holdings are read once: the pooled benchmark adds up the products' industry sums.
+    sums = cut_lineage(industry_sums(priced(placed, industries, returns), ["cluster_id", "product_id"]))
+    portfolio = industry_profile(sums, ["cluster_id", "product_id"], "wp", "rp")
+
     if benchmark is None:
-        bench = industry_profile(rows, ["cluster_id"]).select("cluster_id", *bench_columns)
+        pooled = sums.groupBy("cluster_id", "industry_name").agg(F.sum("w").alias("w"), F.sum("wr").alias("wr"))
+        bench = cut_lineage(industry_profile(pooled, ["cluster_id"], "wb", "rb"))
         on = ["cluster_id", "industry_name"]
         total = bench.groupBy("cluster_id").agg(F.sum(F.col("wb") * F.col("rb")).alias("bench"))
         portfolio = salted_join(portfolio, total, ["cluster_id"], ["product_id"], "inner")
     else:
         index_rows = priced(benchmark.select("asset_code", "market", "weight"), industries, returns)
-        bench = industry_profile(index_rows.withColumn("_all", F.lit(1)), ["_all"]).select(*bench_columns)
+        index_sums = industry_sums(index_rows.withColumn("_all", F.lit(1)), ["_all"])
+        bench = cut_lineage(industry_profile(index_sums, ["_all"], "wb", "rb").drop("_all"))
         on = ["industry_name"]
         # One number for all clusters; without priced constituents there is no result.
         total = bench.agg(F.sum(F.col("wb") * F.col("rb"))).scalar()
         portfolio = portfolio.withColumn("bench", total).filter(F.col("bench").isNotNull())
 
     joined = salted_join(portfolio, bench, on, ["product_id"], "left")
-    wp, rp, wb, rb = (F.col(c) for c in ("industry_weight", "industry_return", "wb", "rb"))
+    wp, rp, wb, rb = (F.col(c) for c in ("wp", "rp", "wb", "rb"))
     held = wb.isNotNull() & (wp != 0)
     zero = F.lit(0.0)
     effects = joined.groupBy("cluster_id", "product_id").agg(

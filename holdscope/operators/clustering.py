@@ -3,8 +3,9 @@
 Points are long rows (product_id, feature, weight). Centroids are one row per feature with a
 column per cluster (``c0 .. c{k-1}``), so assigning points is one join on the feature and one
 map-side-combined aggregate per product: a feature meets its k centroid values in one row and
-no point x cluster x feature rows exist. Spark broadcasts the centroid table on its own while
-its measured size allows, and shuffles by feature beyond that.
+no point x cluster x feature rows exist. The centroid table is counted once and broadcast
+while features x k stays small; then an iteration shuffles no points at all. A larger table is
+joined by a shuffle on the feature.
 
 Points are hashed by product once and reused by every iteration. The centroid table is
 checkpointed each iteration, which keeps the plan short and survives lost executors.
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from holdscope.operators.skew import fits_broadcast
 from holdscope.session import cut_lineage
 
 
@@ -67,44 +69,51 @@ def prepare(points: DataFrame) -> DataFrame:
     return points.select("product_id", "feature", "weight").repartition("product_id").persist()
 
 
-def _squares(wide: DataFrame, k: int) -> list[Column]:
-    return [F.coalesce(F.sum(F.col(c) * F.col(c)), F.lit(0.0)).alias(c) for c in _names(k)]
+# The inner loop builds its expressions as SQL text: a text costs one call into the JVM where a
+# tree of Column objects costs one per node, and a loop pays that every iteration.
+def _squares(k: int) -> list[Column]:
+    return [F.expr(f"coalesce(sum({c} * {c}), 0D) AS {c}") for c in _names(k)]
+
+
+def measured(wide: DataFrame, k: int) -> tuple[list[float], bool]:
+    """Squared length of each centroid, and whether the table may be broadcast."""
+    row = list(wide.agg(*_squares(k), F.count(F.lit(1)).alias("n")).first())
+    return row[:-1], fits_broadcast(row[-1], 8 * (k + 8))
 
 
 def squared_norms(wide: DataFrame, k: int) -> list[float]:
     """Squared length of each centroid: k numbers."""
-    return list(wide.agg(*_squares(wide, k)).first())
+    return measured(wide, k)[0]
+
 
+def distances(points: DataFrame, wide: DataFrame, norms: list[float], small: bool = False) -> DataFrame:
+    """Squared distance of each product to each centroid (columns ``d0 ..``), never below zero.
 
-def distances(points: DataFrame, wide: DataFrame, norms: list[float]) -> DataFrame:
-    """Squared distance of each product to each centroid (columns ``d0 ..``), never below zero."""
+    ``small`` says the centroid table was measured and may be broadcast.
+    """
     k = len(norms)
-    w = F.col("weight")
-    dots = [F.sum(w * F.coalesce(F.col(c), F.lit(0.0))).alias(f"_dot{j}") for j, c in enumerate(_names(k))]
-    sums = points.join(wide, "feature", "left").groupBy("product_id").agg(F.sum(w * w).alias("_xx"), *dots)
-    return sums.select(
-        "product_id",
-        *[
-            F.greatest(F.col("_xx") + F.lit(norms[j]) - 2.0 * F.col(f"_dot{j}"), F.lit(0.0)).alias(f"d{j}")
-            for j in range(k)
-        ],
+    wide = F.broadcast(wide) if small else wide
+    dots = [F.expr(f"sum(weight * coalesce({c}, 0D)) AS _dot{j}") for j, c in enumerate(_names(k))]
+    sums = points.join(wide, "feature", "left").groupBy("product_id").agg(
+        F.expr("sum(weight * weight) AS _xx"), *dots
+    )
+    return sums.selectExpr(
+        "product_id", *[f"greatest(_xx + {norms[j]!r}D - 2D * _dot{j}, 0D) AS d{j}" for j in range(k)]
     )
 
 
-def _nearest(k: int) -> tuple[Column, Column]:
-    """Smallest distance and its cluster; the lowest cluster id wins a tie."""
-    low = F.least(*[F.col(f"d{j}") for j in range(k)]) if k > 1 else F.col("d0")
-    pick = F.lit(k - 1)
-    for j in range(k - 2, -1, -1):
-        pick = F.when(F.col(f"d{j}") == low, j).otherwise(pick)
-    return low, pick
+def _nearest(k: int) -> tuple[str, str]:
+    """Smallest distance and its cluster as SQL; the lowest cluster id wins a tie."""
+    low = f"least({', '.join(f'd{j}' for j in range(k))})" if k > 1 else "d0"
+    picks = " ".join(f"WHEN d{j} = {low} THEN {j}" for j in range(k - 1))
+    return low, f"CASE {picks} ELSE {k - 1} END" if picks else "0"
 
 
-def assign(points: DataFrame, wide: DataFrame, norms: list[float]) -> DataFrame:
+def assign(points: DataFrame, wide: DataFrame, norms: list[float], small: bool = False) -> DataFrame:
     """Nearest centroid of each product: (product_id, cluster_id, d2)."""
     low, pick = _nearest(len(norms))
-    return distances(points, wide, norms).select(
-        "product_id", pick.cast("int").alias("cluster_id"), low.alias("d2")
+    return distances(points, wide, norms, small).selectExpr(
+        "product_id", f"CAST({pick} AS INT) AS cluster_id", f"{low} AS d2"
     )
 
 
@@ -142,7 +151,8 @@ def seed_plus_plus(points: DataFrame, k: int, seed: int) -> DataFrame:
     while len(picks) < k:
         wide = _as_centroids(points, picks)
         low, _ = _nearest(len(picks))
-        d = distances(points, wide, squared_norms(wide, len(picks))).select("product_id", low.alias("d2"))
+        wide = cut_lineage(wide)
+        d = distances(points, wide, *measured(wide, len(picks))).selectExpr("product_id", f"{low} AS d2")
         u = _uniform(seed, len(picks))
         key = F.when(F.col("d2") > 0, -F.log(u) / F.col("d2"))
         row = d.agg(
@@ -154,32 +164,28 @@ def seed_plus_plus(points: DataFrame, k: int, seed: int) -> DataFrame:
     return _as_centroids(points, picks)
 
 
-def update(points: DataFrame, labels: DataFrame, old: DataFrame, sizes: list[int], farthest) -> DataFrame:
-    """New centroids (``c``) next to the old ones (``o``) for every feature.
+def update(
+    points: DataFrame, labels: DataFrame, old: DataFrame, sizes: list[int], farthest, small: bool = False
+) -> DataFrame:
+    """New centroids (``c``) next to the old ones (``o``) for every feature of the points.
 
     A cluster without members takes the vector of ``farthest`` if given, else keeps its old
     centre.
     """
-    k = len(sizes)
-    w = F.col("weight")
-    placed = points.join(labels.select("product_id", "cluster_id"), "product_id")
-    columns = []
+    columns, keep = [], []
     for j, n in enumerate(sizes):
+        keep.append(farthest is None and n == 0)
         if n:
-            value = F.sum(F.when(F.col("cluster_id") == j, w)) / F.lit(float(n))
+            columns.append(F.expr(f"sum(CASE WHEN cluster_id = {j} THEN weight END) / {float(n)!r}D AS n{j}"))
         elif farthest is not None:
-            value = F.sum(F.when(F.col("product_id") == farthest, w))
+            columns.append(F.sum(F.when(F.col("product_id") == farthest, F.col("weight"))).alias(f"n{j}"))
         else:
-            value = F.lit(None).cast("double")
-        columns.append(value.alias(f"n{j}"))
-    new = placed.groupBy("feature").agg(*columns)
-    joined = old.join(new, "feature", "full")
-    keep = [farthest is None and n == 0 for n in sizes]
-    zero = F.lit(0.0)
-    return joined.select(
+            columns.append(F.expr(f"CAST(NULL AS DOUBLE) AS n{j}"))
+    new = points.join(labels.select("product_id", "cluster_id"), "product_id").groupBy("feature").agg(*columns)
+    return new.join(F.broadcast(old) if small else old, "feature", "left").selectExpr(
         "feature",
-        *[F.coalesce(F.col(f"c{j}") if keep[j] else F.col(f"n{j}"), zero).alias(f"c{j}") for j in range(k)],
-        *[F.coalesce(F.col(f"c{j}"), zero).alias(f"o{j}") for j in range(k)],
+        *[f"coalesce({'c' if keep[j] else 'n'}{j}, 0D) AS c{j}" for j in range(len(sizes))],
+        *[f"coalesce(c{j}, 0D) AS o{j}" for j in range(len(sizes))],
     )
 
 
@@ -197,21 +203,21 @@ def lloyd(
     one update behind the returned centroids.
     """
     centroids = cut_lineage(start.select("feature", *_names(k)))
-    norms = squared_norms(centroids, k)
+    # The feature count does not change, so one measurement holds for all iterations.
+    norms, small = measured(centroids, k)
     n_iter = 0
     while True:
         n_iter += 1
-        labels = assign(points, centroids, norms).persist()
-        counts = [F.count_if(F.col("cluster_id") == j).alias(f"n{j}") for j in range(k)]
-        far = F.min_by("product_id", F.struct(-F.col("d2"), F.col("product_id")))
-        stats = labels.agg(F.sum("d2").alias("inertia"), far.alias("far"), *counts).first()
+        labels = assign(points, centroids, norms, small).persist()
+        stats = labels.agg(
+            F.expr("sum(d2) AS inertia"),
+            F.expr("min_by(product_id, struct(-d2, product_id)) AS far"),
+            *[F.expr(f"count_if(cluster_id = {j}) AS n{j}") for j in range(k)],
+        ).first()
         sizes = [stats[f"n{j}"] for j in range(k)]
-        moved = cut_lineage(update(points, labels, centroids, sizes, None if keep_empty else stats["far"]))
-        shift2 = sum(
-            ((F.col(f"c{j}") - F.col(f"o{j}")) * (F.col(f"c{j}") - F.col(f"o{j}")) for j in range(k)),
-            F.lit(0.0),
-        )
-        row = moved.agg(F.coalesce(F.sqrt(F.sum(shift2)), F.lit(0.0)).alias("shift"), *_squares(moved, k)).first()
+        moved = cut_lineage(update(points, labels, centroids, sizes, None if keep_empty else stats["far"], small))
+        shift2 = " + ".join(f"(c{j} - o{j}) * (c{j} - o{j})" for j in range(k))
+        row = moved.agg(F.expr(f"coalesce(sqrt(sum({shift2})), 0D) AS shift"), *_squares(k)).first()
         last = row["shift"] < tol or n_iter >= max_iter
         if last:
             # The labels of the result no longer depend on the points' cached layout.
@@ -260,8 +266,7 @@ def kmeans_from(
 
 def member_distances(points: DataFrame, labels: DataFrame, centroids: DataFrame, k: int) -> DataFrame:
     """Distance of each product to the centroid of its own cluster."""
-    norms = squared_norms(centroids, k)
-    d = distances(points, centroids, norms)
+    d = distances(points, centroids, *measured(centroids, k))
     own = F.element_at(F.array(*[F.col(f"d{j}") for j in range(k)]), F.col("cluster_id") + 1)
     return d.join(labels.select("product_id", "cluster_id"), "product_id").select(
         "product_id", "cluster_id", F.sqrt(own).alias("distance_to_center")

@@ -10,6 +10,7 @@ from holdscope.functions.text import bundle_key, infer_market_web, label
 from holdscope.operators.latest import latest_quotes
 from holdscope.operators.skew import top_rows
 from holdscope.operators.timeseries import quote_history
+from holdscope.session import cut_lineage
 
 
 def market_breakdown(top_holdings: DataFrame, keys: tuple[str, ...] = ("cluster_id",)) -> DataFrame:
@@ -68,9 +69,11 @@ def market_overlay(
 
     Only indexes the market view shows (latest quote present, index or commodity) are drawn.
     """
+    # At most a handful of markets per cluster, read by every step of the choice.
+    breakdown = cut_lineage(breakdown)
     shown = latest_quotes(quotes, asset_classes=C.DEFAULT_MARKET_CLASSES).select(
         "symbol_code", "symbol_name", "market_region"
     )
-    picks = overlay_symbols(breakdown, clusters).join(shown, "symbol_code")
+    picks = cut_lineage(overlay_symbols(breakdown, clusters).join(shown, "symbol_code"))
     series = quote_history(quotes, picks.select("symbol_code").distinct(), days, end)
     return picks.join(series, "symbol_code")

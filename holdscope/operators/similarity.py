@@ -74,8 +74,8 @@ def mean_pairwise_overlap(
     """Mean overlap over all product pairs of each cluster, without forming a pair.
 
     For one feature, the sum of ``min`` over all pairs is each weight times the number of
-    products ranked above it. Equal weights are combined first and ranked as one row; the
-    ranking is cut into value ranges, so a feature held by everyone is not one task.
+    products ranked above it. Equal weights are combined first and ranked as one row; a
+    feature held by very many products is ranked in value ranges, not in one task.
     Weights are not negative, so absent cells add nothing.
     """
     placed = cells.join(labels.select("product_id", "cluster_id"), "product_id")

@@ -19,7 +19,11 @@ from pyspark.sql.window import Window
 from holdscope.session import cut_lineage
 
 SALTS = 16
-RANK_BUCKETS = 64
+# Rows of one key that a single task may sort; larger keys are split by value.
+HOT_ROWS = 1_000_000
+MAX_RANGES = 10_000
+# A side is broadcast on our own account only when its counted rows stay under this size.
+BROADCAST_BYTES = 32 << 20
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
@@ -48,15 +52,21 @@ def salted_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def value_bounds(df: DataFrame, keys: Sequence[str], value: str, buckets: int = RANK_BUCKETS) -> DataFrame:
-    """Cut points that split each key into value ranges of about equal row count.
+def fits_broadcast(rows: int, bytes_per_row: int) -> bool:
+    """Whether a counted side is small enough to send to every executor."""
+    return rows * bytes_per_row <= BROADCAST_BYTES
 
-    The result is materialised because two consumers must see the same cut points, and an
-    approximate percentile may differ when it is recomputed after an executor is lost.
+
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, int, int]:
+    """Keys with more than ``hot_rows`` rows, their number, and the size of the largest.
+
+    There can be at most ``rows / hot_rows`` of them. The list is materialised, so every
+    consumer sees the same keys.
     """
-    cuts = [i / buckets for i in range(1, buckets)]
-    agg = F.percentile_approx(F.col(value), F.array(*[F.lit(c) for c in cuts]), F.lit(1000))
-    return cut_lineage(df.groupBy(*keys).agg(F.array_distinct(agg).alias("_cuts")))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    hot = cut_lineage(sizes)
+    row = hot.agg(F.count(F.lit(1)).alias("keys"), F.max("_n").alias("top")).first()
+    return hot.select(*keys), row["keys"], row["top"] or 0
 
 
 def ranked(
@@ -67,51 +77,68 @@ def ranked(
     out: str = "rank",
     descending: bool = True,
     weight: Column | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Exact position of each row inside its key, without sorting a key in one task.
+    """Exact position of each row inside its key, without sorting a hot key in one task.
 
-    Rows are cut into value ranges per key. Ranges are ranked on their own, and the rows in
-    all ranges before are added as an offset. ``weight`` counts a row as that many rows;
-    the position is then the running total up to and including the row.
+    Keys up to ``hot_rows`` rows are ranked by one window. A larger key is cut into value
+    ranges of about ``hot_rows`` rows; ranges are ranked on their own and the rows in the
+    ranges before are added as an offset. ``weight`` counts a row as that many rows; the
+    position is then the running total up to and including the row.
+
+    ``df`` is read up to four times, so an expensive input should be materialised first.
     """
     one = F.lit(1).cast("bigint") if weight is None else weight.cast("bigint")
-    bounds = value_bounds(df, keys, value)
-    # NULL values form their own last range.
-    bucket = F.when(
-        F.col(value).isNotNull(), F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(value)))
+    order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
+    order_by = [order, *[F.col(c).asc() for c in tiebreak]]
+    running = (Window.unboundedPreceding, Window.currentRow)
+    hot, n_hot, top = hot_keys(df, keys, hot_rows)
+    if n_hot == 0:
+        return df.withColumn(out, F.sum(one).over(Window.partitionBy(*keys).orderBy(*order_by).rowsBetween(*running)))
+
+    # Two consumers must see the same cut points, and an approximate percentile may differ when
+    # it is recomputed after an executor is lost: the cut points are materialised.
+    ranges = min(MAX_RANGES, top // hot_rows + 2)
+    shares = ", ".join(f"{i / ranges!r}D" for i in range(1, ranges))
+    cuts = F.expr(f"percentile_approx(`{value}`, array({shares}), {max(1000, 10 * ranges)})")
+    small = fits_broadcast(n_hot, 64 * ranges)
+    in_hot = df.join(F.broadcast(hot) if small else hot, [*keys], "left_semi")
+    bounds = cut_lineage(in_hot.groupBy(*keys).agg(F.array_distinct(cuts).alias("_cuts")))
+    bounds = bounds.withColumn("_cuts", F.coalesce("_cuts", F.array().cast(bounds.schema["_cuts"].dataType)))
+
+    cut = df.join(F.broadcast(bounds), [*keys], "left") if small else salted_join(df, bounds, keys, tiebreak)
+    # NULL values are a range of their own, last in either order; cold keys are one range.
+    last = F.lit(-1 if descending else ranges)
+    bucket = F.when(F.col("_cuts").isNull(), 0).when(F.col(value).isNull(), last).otherwise(
+        F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(value)))
     )
-    cut = salted_join(df, bounds, keys, tiebreak).withColumn("_bucket", bucket).drop("_cuts")
-    cut = cut.withColumn("_one", one)
-
-    edge = F.col("_bucket").desc_nulls_last() if descending else F.col("_bucket").asc_nulls_last()
+    cut = cut.withColumn("_bucket", bucket).withColumn("_one", one)
+    edge = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
     before = Window.partitionBy(*keys).orderBy(edge).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        cut.groupBy(*keys, "_bucket")
+        cut.filter(F.col("_cuts").isNotNull())
+        .groupBy(*keys, "_bucket")
         .agg(F.sum("_one").alias("_n"))
         .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .withColumn("_bucket", F.coalesce("_bucket", F.lit(-1)))
         .drop("_n")
     )
-    order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
-    inside = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy(order, *[F.col(c).asc() for c in tiebreak])
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    cut = cut.withColumn("_bucket", F.coalesce("_bucket", F.lit(-1)))
-    local = cut.withColumn("_local", F.sum("_one").over(inside))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order_by).rowsBetween(*running)
     return (
-        local.join(offsets, [*keys, "_bucket"], "left")
-        .withColumn(out, F.col("_local") + F.col("_offset"))
+        cut.drop("_cuts")
+        .withColumn("_local", F.sum("_one").over(inside))
+        .join(F.broadcast(offsets) if small else offsets, [*keys, "_bucket"], "left")
+        .withColumn(out, F.col("_local") + F.coalesce("_offset", F.lit(0)))
         .drop("_bucket", "_one", "_local", "_offset")
     )
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, tiebreak: Sequence[str]) -> DataFrame:
+def exact_median(
+    df: DataFrame, keys: Sequence[str], value: str, tiebreak: Sequence[str], hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Median of non-null values per key, read off the middle ranks."""
     rows = df.filter(F.col(value).isNotNull()).select(*keys, *tiebreak, value)
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    pos = ranked(rows, keys, value, tiebreak, out="_pos", descending=False)
+    pos = ranked(rows, keys, value, tiebreak, out="_pos", descending=False, hot_rows=hot_rows)
     middle = F.col("_pos").between(F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2))
     return (
         salted_join(pos, counts, keys, tiebreak)

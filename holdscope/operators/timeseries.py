@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from holdscope.operators.latest import PRODUCT
 from holdscope.operators.skew import exact_median, ranked, salted_join, top_rows
+from holdscope.session import cut_lineage
 
 
 def in_window(date: str, end: Column, days: int) -> Column:
@@ -139,6 +140,8 @@ def member_values(
 
 def value_dispersion(rows: DataFrame, keys: tuple[str, ...] = ("cluster_id",)) -> DataFrame:
     """Dispersion of the period change per cluster, with latest-NAV statistics."""
+    # One row per member, read by the aggregate and by the ranking behind the median.
+    rows = cut_lineage(rows.select(*keys, "product_id", "period_change_pct", "latest_unit_nav"))
     c, v = F.col("period_change_pct"), F.col("latest_unit_nav")
     stats = rows.groupBy(*keys).agg(
         F.count(c).alias("n"),
