@@ -453,7 +453,7 @@ def _regions(d: Domain) -> DataFrame:
 
 @query(sql("""
     SELECT f.feature, CAST(c.cluster_id AS INTEGER) AS cluster_id, round(coalesce(o.value, 0), 6) AS value
-    FROM (SELECT DISTINCT feature FROM new_year) f, (SELECT DISTINCT cluster_id FROM regions) c
+    FROM (SELECT DISTINCT feature FROM new_year) f, (SELECT unnest(range(5)) AS cluster_id) c
     LEFT JOIN (SELECT cluster_id, feature, sum(weight) / (SELECT count(*) FROM regions r2 WHERE r2.cluster_id = r.cluster_id)
                    AS value FROM old_year JOIN regions r USING (product_id) GROUP BY 1, 2) o
         ON o.feature = f.feature AND o.cluster_id = c.cluster_id""",
@@ -560,7 +560,7 @@ def _profile_inputs(d: Domain) -> tuple[DataFrame, DataFrame, DataFrame, DataFra
 
 
 @query(sql("""SELECT cluster_id, product_id, rank, round(x, 6) AS distance_to_center FROM (SELECT *, row_number() OVER (
-        PARTITION BY cluster_id ORDER BY x, product_id) AS rank FROM distances) WHERE rank <= 5""",
+        PARTITION BY cluster_id ORDER BY round(x, 9), product_id) AS rank FROM distances) WHERE rank <= 5""",
            "holdings", extra=(("members", REGIONS), CELLS, CENTROIDS, DISTANCES)))
 def cluster_representatives(d: Domain) -> DataFrame:
     placed = _profile_inputs(d)[3]
@@ -581,7 +581,7 @@ LABEL = r"""(SELECT string_agg(s, ' + ' ORDER BY r) FROM (SELECT s, min(rank) AS
         (SELECT string_agg(feature, ',' ORDER BY rank) FROM (SELECT feature, row_number() OVER (ORDER BY value DESC,
             feature) AS rank FROM centroids c WHERE c.cluster_id = m.cluster_id) WHERE rank <= 10) AS top_assets,
         (SELECT string_agg(CAST(product_id AS VARCHAR), ',' ORDER BY rank) FROM (SELECT product_id, row_number() OVER (
-            ORDER BY x, product_id) AS rank FROM distances t WHERE t.cluster_id = m.cluster_id) WHERE rank <= 5)
+            ORDER BY round(x, 9), product_id) AS rank FROM distances t WHERE t.cluster_id = m.cluster_id) WHERE rank <= 5)
             AS representatives
     FROM members m LEFT JOIN (
         SELECT cluster_id, avg(hhi) AS hhi FROM (SELECT product_id, sum(raw_weight * raw_weight) AS hhi FROM cells

@@ -5,7 +5,7 @@ column per cluster (``c0 .. c{k-1}``), so assigning points is one join on the fe
 map-side-combined aggregate per product: a feature meets its k centroid values in one row and
 no point x cluster x feature rows exist. The centroid table is counted once and broadcast
 while features x k stays small; then an iteration shuffles no points at all. A larger table is
-joined by a shuffle on the feature.
+joined by a salted shuffle on the feature.
 
 Points are hashed by product once and reused by every iteration. The centroid table is
 checkpointed each iteration, which keeps the plan short and survives lost executors.
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdscope.operators.skew import fits_broadcast
+from holdscope.operators.skew import fits_broadcast, salted_join
 from holdscope.session import cut_lineage
 
 
@@ -92,11 +92,13 @@ def distances(points: DataFrame, wide: DataFrame, norms: list[float], small: boo
     ``small`` says the centroid table was measured and may be broadcast.
     """
     k = len(norms)
-    wide = F.broadcast(wide) if small else wide
+    if small:
+        met = points.join(F.broadcast(wide), "feature", "left")
+    else:
+        # A feature held by very many products is split by a salt.
+        met = salted_join(points, wide, ["feature"], ["product_id"])
     dots = [F.expr(f"sum(weight * coalesce({c}, 0D)) AS _dot{j}") for j, c in enumerate(_names(k))]
-    sums = points.join(wide, "feature", "left").groupBy("product_id").agg(
-        F.expr("sum(weight * weight) AS _xx"), *dots
-    )
+    sums = met.groupBy("product_id").agg(F.expr("sum(weight * weight) AS _xx"), *dots)
     return sums.selectExpr(
         "product_id", *[f"greatest(_xx + {norms[j]!r}D - 2D * _dot{j}, 0D) AS d{j}" for j in range(k)]
     )

@@ -37,11 +37,12 @@ def latest_value(series: DataFrame, key: str, date: str, columns: Sequence[str],
 def latest_by_max_date(rows: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
     """All rows dated at their key's last date (ties are kept).
 
-    The last date per key is a map-side-combined aggregate, joined back on (key, date), so the
-    hot key of the join is already cut down to one date.
+    ``rank() = 1`` lets every map task drop a key's older rows before the shuffle. What is
+    left of a key is the rows of one date, which the natural keys of the tables bound.
     """
-    last = rows.groupBy(*keys).agg(F.max(date).alias(date))
-    return rows.join(last, [*keys, date], "inner")
+    dated = rows.filter(F.col(date).isNotNull())
+    w = Window.partitionBy(*keys).orderBy(F.col(date).desc())
+    return dated.withColumn("_rank", F.rank().over(w)).filter(F.col("_rank") == 1).drop("_rank")
 
 
 def latest_quotes(

@@ -64,8 +64,13 @@ def share_merge_ratio(labels: DataFrame, merge_map: DataFrame) -> DataFrame:
 
 
 def representatives(distances: DataFrame, n: int = 5) -> DataFrame:
-    """The ``n`` members closest to their centroid, with rank; ties to the lowest id."""
-    w = Window.partitionBy("cluster_id").orderBy(F.col("distance_to_center").asc(), F.col("product_id").asc())
+    """The ``n`` members closest to their centroid, with rank; ties to the lowest id.
+
+    Distances compare at nine decimals: the two members of a pair are equally far from their
+    mean, and the order of a distributed sum must not decide between them.
+    """
+    near = F.round("distance_to_center", 9).asc()
+    w = Window.partitionBy("cluster_id").orderBy(near, F.col("product_id").asc())
     return distances.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 

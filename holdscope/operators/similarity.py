@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdscope.operators.skew import ranked
+from holdscope.operators.skew import fits_broadcast, ranked, salted_join
 from holdscope.session import cut_lineage
 
 # Score of a pair from its matched-feature sums and the two products' own sums.
@@ -44,13 +44,16 @@ def neighbors(
         F.coalesce(F.sqrt(F.sum(F.col("t") * F.col("t"))), F.lit(0.0)).alias("target_norm"),
         F.count_if(F.col("t") != 0).alias("target_nonzero"),
     )
-    # Features the target lacks add nothing to the shared sums, so the join may be outer.
+    others = rows.filter(F.col("product_id") != target)
+    # The target's features are counted; beyond a broadcast, popular features are split by salt.
+    if fits_broadcast(mine.count(), 64):
+        met = others.join(F.broadcast(mine), "feature", "left")
+    else:
+        met = salted_join(others, mine, ["feature"], ["product_id"])
     w, t = F.col("w"), F.col("t")
     both = (w != 0) & (t != 0)
     sums = (
-        rows.filter(F.col("product_id") != target)
-        .join(mine, "feature", "left")
-        .groupBy("product_id")
+        met.groupBy("product_id")
         .agg(
             F.sqrt(F.sum(w * w)).alias("norm"),
             F.count_if(w != 0).alias("nonzero"),

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from holdscope.session import cut_lineage
 
-SALTS = 16
+MIN_SALTS, MAX_SALTS = 4, 64
 # Rows of one key that a single task may sort; larger keys are split by value.
 HOT_ROWS = 1_000_000
 MAX_RANGES = 10_000
@@ -32,20 +32,28 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
+def salt_count(df: DataFrame) -> int:
+    """Tasks to spread a hot key over, in step with the session's shuffle width."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(MIN_SALTS, min(MAX_SALTS, width // 8))
+
+
 def salted_join(
     facts: DataFrame,
     per_key: DataFrame,
     on: Sequence[str],
     spread: Sequence[str],
     how: str = "left",
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join many ``facts`` rows to the one ``per_key`` row of their key.
 
     Facts of one key are spread over ``salts`` tasks by a hash of the ``spread`` columns and
     the per-key side is repeated once per salt. Spark still broadcasts ``per_key`` on its own
-    when its measured size is under ``spark.sql.autoBroadcastJoinThreshold``.
+    when its measured size is under ``spark.sql.autoBroadcastJoinThreshold``, and AQE splits
+    a salted partition that is still too large.
     """
+    salts = salts or salt_count(facts)
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int")
     left = facts.withColumn("_salt", salt)
     right = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
