@@ -452,7 +452,7 @@ def _regions(d: Domain) -> DataFrame:
 
 
 @query(sql("""
-    SELECT f.feature, CAST(c.cluster_id AS INTEGER) AS cluster_id, round(coalesce(o.value, 0), 6) AS value
+    SELECT f.feature, CAST(c.cluster_id AS INTEGER) AS cluster_id, round(coalesce(o.value, 0), 9) AS value
     FROM (SELECT DISTINCT feature FROM new_year) f, (SELECT unnest(range(5)) AS cluster_id) c
     LEFT JOIN (SELECT cluster_id, feature, sum(weight) / (SELECT count(*) FROM regions r2 WHERE r2.cluster_id = r.cluster_id)
                    AS value FROM old_year JOIN regions r USING (product_id) GROUP BY 1, 2) o
@@ -461,7 +461,7 @@ def _regions(d: Domain) -> DataFrame:
 def centroid_alignment(d: Domain) -> DataFrame:
     means = clustering.label_means(yearly_cells(d, 1996), _regions(d))
     aligned = baseline.align_centroids(clustering.wide_centroids(means, 5), yearly_cells(d, 2001))
-    return rounded(clustering.long_centroids(aligned, 5), "value")
+    return rounded(clustering.long_centroids(aligned, 5), "value", digits=9)
 
 
 @query(sql("""
