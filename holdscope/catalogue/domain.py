@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from holdscope.session import cut_lineage
+
 EVENT_SYMBOLS = {
     "click": "SH000300",
     "error": "SZ399006",
@@ -45,6 +47,11 @@ class Domain:
     def raw(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Rows over all cores when the scan has fewer splits than cores, for heavy text work."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
     def parts(self) -> DataFrame:
         """Parts with the security code and market their key stands for."""
         key = F.col("p_partkey")
@@ -105,6 +112,10 @@ class Domain:
             .withColumn("report_date", self.report_date())
         )
 
+    def stored_holdings(self) -> DataFrame:
+        """The holdings written once, as the stored table they stand for, for queries that read them repeatedly."""
+        return cut_lineage(self.holdings())
+
     def products(self) -> DataFrame:
         s, n, r = self.raw("supplier"), self.raw("nation"), self.raw("region")
         key = F.col("s_suppkey")

@@ -22,7 +22,7 @@ def number_text(c: Column, scale: int = 2) -> Column:
 
 # Klines: one line per line item. Line number 1 is cut short, 2 has no change.
 def kline_lines(d: Domain) -> DataFrame:
-    lines = d.raw("lineitem")
+    lines = d.spread(d.raw("lineitem"))
     value, number = cents("l_extendedprice"), F.col("l_linenumber")
     price = number_text(value)
     day = F.date_format("l_shipdate", "yyyy-MM-dd")
@@ -88,7 +88,7 @@ def live_lines(d: Domain) -> DataFrame:
     body = F.when(t == "purchase", hk).when(t == "signup", us).when(t == "view", commodity).otherwise(stock)
     # Users of the last ten ids send empty or short lines.
     body = F.when(user % 50 == 0, "").when(user % 50 == 1, F.lit("a,b,c")).otherwise(body)
-    return d.raw("events").select(
+    return d.spread(d.raw("events")).select(
         "event_id",
         F.concat(F.lit("var hq_str_"), case(t, LIVE), F.lit('="'), body, F.lit('";')).alias("line"),
     )
@@ -163,7 +163,7 @@ def html_list_items(d: Domain) -> DataFrame:
 
 def report_pages(d: Domain) -> DataFrame:
     """One page per order with a section per quarter and a table row per line item."""
-    joined = d.raw("lineitem").join(d.parts(), F.col("l_partkey") == F.col("p_partkey"))
+    joined = d.spread(d.raw("lineitem")).join(d.parts(), F.col("l_partkey") == F.col("p_partkey"))
     year, quarter = F.year("l_shipdate"), F.quarter("l_shipdate")
 
     def td(*parts: Column) -> Column:

@@ -65,7 +65,7 @@ INDUSTRY_FEATURES = dict(extra=(CROSS, FAMILY, MERGE, KEPT, INDUSTRIES, INDUSTRY
 
 
 def cross_rows(d: Domain) -> DataFrame:
-    return holdings.cross_section(d.products(), d.holdings(), d.report_date(), TYPES)
+    return holdings.cross_section(d.products(), d.stored_holdings(), d.report_date(), TYPES)
 
 
 def asset_features(d: Domain) -> tuple[DataFrame, DataFrame]:
@@ -265,7 +265,7 @@ EFFECTS = (
 
 def _brinson(d: Domain, benchmark: DataFrame | None = None) -> DataFrame:
     industries = holdings.security_industries(d.securities())
-    return attribution.brinson(d.members(), d.holdings(), industries, stock_returns(d), benchmark)
+    return attribution.brinson(d.members(), d.stored_holdings(), industries, stock_returns(d), benchmark)
 
 
 @query(sql(BRINSON, "holdings", "members", "quotes", "securities", extra=(*BRINSON_CTES, POOLED)))

@@ -22,12 +22,13 @@ def parse_klines(rows: DataFrame, line: str = "line") -> DataFrame:
 
     Fields after the end of a short line are NULL.
     """
-    parts = F.split(F.col(line), ",")
-    field = {name: F.get(parts, F.lit(i)) for i, name in enumerate(C.KLINE_FIELDS)}
+    # The split is a column of its own, so that it runs once per row and not once per field.
+    split = rows.withColumn("_p", F.split(F.col(line), ","))
+    field = {name: F.get(F.col("_p"), F.lit(i)) for i, name in enumerate(C.KLINE_FIELDS)}
     close, change = to_decimal(field["close"]), to_decimal(field["change_amount"])
     # The volume is converted without comma stripping.
     volume = F.trim(field["volume"]).try_cast("decimal(38,6)")
-    return rows.select(
+    return split.select(
         *[c for c in rows.columns if c != line],
         F.try_to_timestamp(field["date"], F.lit("yyyy-MM-dd")).cast("date").alias("quote_date"),
         to_decimal(field["open"]).alias("open_price"),
@@ -59,7 +60,8 @@ def parse_quote_lines(rows: DataFrame, today: Column, line: str = "line") -> Dat
     """
     body = F.nullif(F.regexp_extract(F.col(line), '"([^"]*)"', 1), F.lit(""))
     symbol = F.regexp_extract(F.trim(F.col(line)), r"^var\s+hq_str_(\w+)\s*=", 1)
-    base = rows.withColumns({"live_symbol": symbol, "_p": F.split(body, ",")}).withColumn(
+    named = rows.withColumn("_body", body).withColumn("live_symbol", symbol)
+    base = named.withColumn("_p", F.split("_body", ",")).withColumn(
         "_layout",
         F.when(F.col("live_symbol").startswith("gb_"), "us")
         .when(F.col("live_symbol").startswith("rt_hk"), "hk")
