@@ -12,9 +12,15 @@ from holdscope.catalogue.domain import Domain, case, cents, sql
 from holdscope.catalogue.registry import query, rounded
 from holdscope.functions import constants as C
 from holdscope.functions import text
+from holdscope.session import cut_lineage
 from holdscope.sources import mappings, products, quotes, reports
 
 
+def landed(rows: DataFrame) -> DataFrame:
+    """Text rows as a feed would leave them: written out before anything parses them."""
+    return cut_lineage(rows)
+
+
 def number_text(c: Column, scale: int = 2) -> Column:
     """Whole cents as plain decimal text."""
     return (c.cast("decimal(24,0)") / F.lit(10**scale)).cast(f"decimal(24,{scale})").cast("string")
@@ -31,11 +37,13 @@ def kline_lines(d: Domain) -> DataFrame:
     head = F.concat_ws(",", day, price, price, number_text(value + 100), number_text(value - 100), volume)
     full = F.concat_ws(",", head, price, F.lit("1.5"), F.lit(" 2.25 "), change, F.lit("null"))
     joined = lines.join(d.parts(), lines["l_partkey"] == F.col("p_partkey"))
-    return joined.select(
-        "asset_code",
-        "market",
-        "l_orderkey",
-        F.when(number == 1, head).when(number == 3, F.concat(F.lit("bad day,"), full)).otherwise(full).alias("line"),
+    return landed(
+        joined.select(
+            "asset_code",
+            "market",
+            "l_orderkey",
+            F.when(number == 1, head).when(number == 3, F.concat(F.lit("bad day,"), full)).otherwise(full).alias("line"),
+        )
     )
 
 
@@ -88,10 +96,8 @@ def live_lines(d: Domain) -> DataFrame:
     body = F.when(t == "purchase", hk).when(t == "signup", us).when(t == "view", commodity).otherwise(stock)
     # Users of the last ten ids send empty or short lines.
     body = F.when(user % 50 == 0, "").when(user % 50 == 1, F.lit("a,b,c")).otherwise(body)
-    return d.spread(d.raw("events")).select(
-        "event_id",
-        F.concat(F.lit("var hq_str_"), case(t, LIVE), F.lit('="'), body, F.lit('";')).alias("line"),
-    )
+    line = F.concat(F.lit("var hq_str_"), case(t, LIVE), F.lit('="'), body, F.lit('";'))
+    return landed(d.spread(d.raw("events")).select("event_id", line.alias("line")))
 
 
 LIVE_ORACLE = """
@@ -192,8 +198,10 @@ def report_pages(d: Domain) -> DataFrame:
         F.coalesce(stated, F.lit("")),
         F.lit("<table><tr><th>no</th><td>header</td></tr>"), F.col("rows"), F.lit("</table>"),
     )
-    return section.groupBy("l_orderkey").agg(
-        F.concat(F.lit("<html>head "), F.array_join(F.sort_array(F.collect_list(html)), "")).alias("html")
+    return landed(
+        section.groupBy("l_orderkey").agg(
+            F.concat(F.lit("<html>head "), F.array_join(F.sort_array(F.collect_list(html)), "")).alias("html")
+        )
     )
 
 
