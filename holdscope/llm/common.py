@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdscope.session import ensure_checkpoint_dir
+from holdscope.session import ensure_checkpoint_dir, ship_package
 
 #: Bytes of an ASCII capital letter become its small letter; all other bytes stay.
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -34,6 +34,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_batches(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with this package at hand in the workers."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(step, schema)
+
+
+def map_groups(df: DataFrame, keys: Sequence[str | Column], step: Callable, schema: str) -> DataFrame:
+    """``applyInArrow`` per group with this package at hand in the workers."""
+    ship_package(df.sparkSession)
+    return df.groupBy(*keys).applyInArrow(step, schema)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from holdscope.llm import simhash_trie
+from holdscope.llm import packing, simhash_trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL of the queries that it can express.
@@ -28,3 +29,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_simhash_near_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_groups(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
+def word_bpe() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op2_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), word_bpe())

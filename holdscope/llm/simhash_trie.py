@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from holdscope.llm.common import ascii_words, key_of, materialise, ragged_ranges, text_bytes
+from holdscope.llm.common import ascii_words, key_of, map_batches, map_groups, materialise, ragged_ranges, text_bytes
 from holdscope.llm.components import components
 
 SEED = 42
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 [batch.column("doc_id"), batch.column("key"), prints], ["doc_id", "key", "fingerprint"]
             )
 
-    return rows.mapInArrow(of, "doc_id bigint, key bigint, fingerprint bigint")
+    return map_batches(rows, of, "doc_id bigint, key bigint, fingerprint bigint")
 
 
 # --- the trie ---------------------------------------------------------------------------------------
@@ -293,8 +293,8 @@ def near_links(prints: DataFrame, budget: int = 3, cell_rows: int = CELL_ROWS) -
         found = np.ascontiguousarray(found).view(np.int64)
         return pa.table({"u": found[:, 0], "v": found[:, 1]})
 
-    routed = prints.select("fingerprint").mapInArrow(route, "owner int, fingerprint bigint")
-    return routed.groupBy("owner").applyInArrow(walk, "u bigint, v bigint").distinct()
+    routed = map_batches(prints.select("fingerprint"), route, "owner int, fingerprint bigint")
+    return map_groups(routed, ["owner"], walk, "u bigint, v bigint").distinct()
 
 
 def near_groups(
