@@ -1,8 +1 @@
 """Portfolio-holdings analytics as PySpark DataFrame operators."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Functions that run in Python workers travel with the job, so executors need not have the package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +47,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the files."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application; they need not have it installed."""
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parent
+    name = f"{root.name}-{os.getpid()}.zip"
+    if name in sc._python_includes:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="holdscope-package-")) / name
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    sc.addPyFile(str(archive))
