@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdscope.llm import packing, piece_encoding, simhash_trie
+from holdscope.llm import packing, piece_encoding, simhash_trie, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL of the queries that it can express.
@@ -50,3 +50,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op7_suffix_array_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.dedup_passages(documents(spark, sf_dir))
+    n_removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda a, x: x - a)
+    return done.select(
+        "row.doc_id",
+        (F.octet_length("kept") + n_removed).alias("n_bytes"),
+        n_removed.alias("n_removed"),
+        (F.size("removed") / 2).cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )

@@ -252,8 +252,8 @@ def trie_links(prints: np.ndarray, own: tuple[int, int], others: list[tuple[int,
 def near_links(prints: DataFrame, budget: int = 3, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Links ``(u, v)`` that connect what lies within ``budget`` differing bits; distinct non-null prints in.
 
-    A cell's task gets its own fingerprints and those of later cells that the budget can reach. The links of a task
-    are a forest: fingerprints it has joined already get no further link.
+    The fingerprints of a cell are packed into one block. A cell's task gets its own block and those of later cells
+    that the budget can reach. The links of a task are a forest: fingerprints it has joined already get no further link.
     """
     spark = prints.sparkSession
     starts = cells(prints, cell_rows)
@@ -267,22 +267,24 @@ def near_links(prints: DataFrame, budget: int = 3, cell_rows: int = CELL_ROWS) -
     firsts = np.cumsum(sizes) - sizes
     routes = spark.sparkContext.broadcast((starts, ragged, firsts, sizes))
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, ragged, firsts, sizes = routes.value
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = routes.value[0]
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for at in range(0, len(values), 8192):
-                some = values[at : at + 8192]
-                cell = np.searchsorted(starts, some.view(np.uint64), side="right") - 1
-                owner = ragged[ragged_ranges(firsts[cell], sizes[cell])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(owner), pa.array(np.repeat(some, sizes[cell]))], ["owner", "fingerprint"]
-                )
+            cell = np.searchsorted(starts, values.view(np.uint64), side="right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(values)], ["cell", "fingerprint"])
+
+    def send(key: tuple, table: pa.Table) -> pa.Table:
+        _, ragged, firsts, sizes = routes.value
+        me = key[0].as_py()
+        block = np.sort(table.column("fingerprint").to_numpy().view(np.uint64)).tobytes()
+        to = ragged[firsts[me] : firsts[me] + sizes[me]]
+        return pa.table({"owner": pa.array(to), "block": pa.array([block] * len(to), pa.binary())})
 
     def walk(key: tuple, table: pa.Table) -> pa.Table:
         starts = routes.value[0]
         me = key[0].as_py()
-        values = np.sort(table.column("fingerprint").to_numpy().view(np.uint64))
+        values = np.sort(np.frombuffer(b"".join(table.column("block").to_pylist()), np.uint64))
         cell = np.searchsorted(starts, values, side="right") - 1
         edges = np.flatnonzero(np.diff(cell)) + 1
         bounds = np.concatenate([[0], edges, [len(values)]])
@@ -293,8 +295,9 @@ def near_links(prints: DataFrame, budget: int = 3, cell_rows: int = CELL_ROWS) -
         found = np.ascontiguousarray(found).view(np.int64)
         return pa.table({"u": found[:, 0], "v": found[:, 1]})
 
-    routed = map_batches(prints.select("fingerprint"), route, "owner int, fingerprint bigint")
-    return map_groups(routed, ["owner"], walk, "u bigint, v bigint").distinct()
+    placed = map_batches(prints.select("fingerprint"), place, "cell int, fingerprint bigint")
+    sent = map_groups(placed, ["cell"], send, "owner int, block binary")
+    return map_groups(sent, ["owner"], walk, "u bigint, v bigint").distinct()
 
 
 def near_groups(
