@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdscope.llm import packing, piece_encoding, simhash_trie, suffix_dedup
+from holdscope.llm import language_id, packing, piece_encoding, simhash_trie, suffix_dedup
+from holdscope.llm.common import crc_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL of the queries that it can express.
@@ -63,3 +64,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.size("removed") / 2).cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_remainder(F.col("doc_id"), 3) == 1
+    found = language_id.identify(documents(spark, sf_dir), ~held_out)
+    return found.select(
+        "row.doc_id", (crc_remainder(F.col("row.doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score"
+    )
