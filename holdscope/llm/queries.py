@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdscope.llm import language_id, packing, piece_encoding, simhash_trie, suffix_dedup
+from holdscope.llm import language_id, lm_scoring, packing, piece_encoding, simhash_trie, suffix_dedup
 from holdscope.llm.common import crc_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "row.doc_id", (crc_remainder(F.col("row.doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score"
     )
+
+
+@query("op1_lm_scoring")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_remainder(F.col("doc_id"), 7) == 2
+    scored, totals = lm_scoring.score(documents(spark, sf_dir), ~held_out)
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(totals.tokens).cast("bigint").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
