@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdscope.llm import language_id, lm_scoring, packing, piece_encoding, simhash_trie, suffix_dedup
+from holdscope.llm import fingerprints, language_id, lm_scoring, packing, piece_encoding, simhash_trie, suffix_dedup
 from holdscope.llm.common import crc_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_score",
         "score",
     )
+
+
+@query("op5_fingerprints")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.fingerprints(documents(spark, sf_dir))
+    own, edit, after = [(F.col(f"{c}0"), F.col(f"{c}1")) for c in "fen"]
+    return found.select(
+        "row.doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprints.in_hex(*own).alias("fingerprint"),
+        fingerprints.in_hex(*edit).alias("edited_fingerprint"),
+        fingerprints.likeness(fingerprints.differing(own, edit)).alias("near_edited"),
+        fingerprints.likeness(fingerprints.differing(own, after)).alias("near_next"),
+    )
