@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdscope.llm import fingerprints, language_id, lm_scoring, packing, piece_encoding, simhash_trie, suffix_dedup
+from holdscope.llm import fingerprints, language_id, lm_scoring, packing, piece_encoding, rp_forest, simhash_trie, suffix_dedup
 from holdscope.llm.common import crc_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.likeness(fingerprints.differing(own, edit)).alias("near_edited"),
         fingerprints.likeness(fingerprints.differing(own, after)).alias("near_next"),
     )
+
+
+@query("op10_nearest_neighbours")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0)
