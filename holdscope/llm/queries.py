@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdscope.llm import fingerprints, language_id, line_dedup, lm_scoring, packing, piece_encoding, rp_forest, simhash_trie, suffix_dedup
+from holdscope.llm import fingerprints, language_id, line_dedup, lm_scoring, packing, piece_encoding, rp_forest, simhash_trie, suffix_dedup, token_shards
 from holdscope.llm.common import crc_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(
         "row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )
+
+
+@query("op8_token_shards")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.write_shards(documents(spark, sf_dir), word_bpe())[0]
