@@ -261,7 +261,7 @@ def identify(
                 size += len(block[-1])
                 if size < BLOCK and i < batch.num_rows - 1:
                     continue
-                pooled = table.documents(block) if table else np.zeros((len(block), 1))
+                pooled = table.documents(block) if table is not None else np.zeros((len(block), 1))
                 best, score = pooled.argmax(axis=1), pooled.max(axis=1)
                 names = [languages[b] if s > 0 else UNDETERMINED for b, s in zip(best.tolist(), score.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
