@@ -148,7 +148,7 @@ class _Trie:
     def __init__(self, prints: np.ndarray):
         self.prints = prints
         self.label = np.arange(len(prints))
-        self.links: list[np.ndarray] = []
+        self.links: list[tuple[int, int]] = []
         self._zeros: dict[int, np.ndarray] = {}
         self._runs()
 
@@ -167,6 +167,7 @@ class _Trie:
         """Keep only links between parts that are not joined yet: a forest, never all pairs."""
         parent = self.label
         for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            link = (a, b)
             while parent[a] != a:
                 parent[a] = parent[parent[a]]
                 a = parent[a]
@@ -175,7 +176,7 @@ class _Trie:
                 b = parent[b]
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                self.links.append(np.array([a, b]))
+                self.links.append(link)
 
     def settle(self) -> None:
         while True:
