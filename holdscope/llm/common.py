@@ -34,15 +34,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that a Python worker is given at a time.
+BATCH_BYTES = 8 << 20
+
+
+def _ready(spark: SparkSession) -> None:
+    """This package at hand in the workers, and batches of whole texts bounded by bytes, not by rows alone."""
+    ship_package(spark)
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit).rstrip("b") != str(BATCH_BYTES):
+        spark.conf.set(limit, str(BATCH_BYTES))
+
+
 def map_batches(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with this package at hand in the workers."""
-    ship_package(df.sparkSession)
+    """``mapInArrow`` with bounded batches."""
+    _ready(df.sparkSession)
     return df.mapInArrow(step, schema)
 
 
 def map_groups(df: DataFrame, keys: Sequence[str | Column], step: Callable, schema: str) -> DataFrame:
-    """``applyInArrow`` per group with this package at hand in the workers."""
-    ship_package(df.sparkSession)
+    """``applyInArrow`` on each group."""
+    _ready(df.sparkSession)
     return df.groupBy(*keys).applyInArrow(step, schema)
 
 

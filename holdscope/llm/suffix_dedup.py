@@ -15,6 +15,7 @@ segment.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,11 @@ from holdscope.llm.common import map_batches, materialise, packed_row, ragged_ra
 LENGTH = 100
 GRAM = 24
 #: Bytes of text that are hashed at a time.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: Anchors with more different segments are compared window by window, spread by the windows' content.
 HOT_SEGMENTS = 50_000
 #: Windows that are put in suffix order at a time.
-SORTED_WINDOWS = 200_000
+SORTED_WINDOWS = 100_000
 NO_ID = np.iinfo(np.int64).max
 
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -338,7 +339,7 @@ def merge_spans(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], reach[np.append(first[1:], len(spans)) - 1]], axis=1)
 
 
-def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_texts(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans, kept = [], []
         for text, starts, sizes in zip(text_bytes(batch.column("text")), batch.column("starts"), batch.column("sizes"), strict=True):
@@ -351,9 +352,11 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stops = [0, *runs[:, 1].tolist()]
             kept.append(b"".join(text[a:b] for a, b in zip(stops, [*runs[:, 0].tolist(), len(text)], strict=True)))
             spans.append(runs.ravel().tolist())
+        if as_text:
+            kept = [k.decode(errors="ignore") for k in kept]
+        out = pa.array(kept, pa.string() if as_text else pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.int64()))],
-            ["row", "kept", "removed"],
+            [batch.column("row"), out, pa.array(spans, pa.list_(pa.int64()))], ["row", "kept", "removed"]
         )
 
 
@@ -365,9 +368,12 @@ def dedup_passages(
     gram: int = GRAM,
     hot_segments: int = HOT_SEGMENTS,
     sorted_windows: int = SORTED_WINDOWS,
+    as_text: bool = False,
 ) -> DataFrame:
     """``(row, kept, removed)``: each row as a struct, the bytes that stay, and the byte spans that went.
 
+    With ``as_text`` what stays is text, without characters that lost some of their bytes.
+
     A byte of a text's UTF-8 form goes if it lies in a string of ``length`` bytes that also starts earlier: in a
     document with a smaller id, or before it in the same document. Strings are judged on the input, overlaps count,
     and none crosses documents. ``removed`` lists maximal spans as begin, end, begin, end, ...
@@ -409,5 +415,6 @@ def dedup_passages(
         .agg(F.collect_list("start").alias("starts"), F.collect_list("size").alias("sizes"))
     )
     cut = by_doc.join(spans, same(spans), "left").select("text", "starts", "sizes", "row")
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, kept binary, removed array<bigint>"
-    return map_batches(cut, _cut_texts, schema)
+    kind = "string" if as_text else "binary"
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, kept {kind}, removed array<bigint>"
+    return map_batches(cut, partial(_cut_texts, as_text=as_text), schema)
