@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import logging
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 from datetime import date, datetime
 from typing import Any
@@ -222,8 +223,12 @@ def save_run(
     store.replace_runs(root, "similarity_cluster_members", placed.withColumns(stamp), gone, "cluster_run_id")
     # The run row goes last: readers resolve a run before its clusters and members.
     store.replace_runs(root, "similarity_cluster_run", run, gone, "id")
+    dropped = [r["id"] for r in gone.filter(F.col("id") != head["id"]).collect()]
+    store.drop_runs(spark, root, "similarity_attribution", dropped, F.col("report_date") == head["report_date"])
+    store.drop_runs(spark, root, "similarity_baseline_centroids", dropped, F.col("cluster_run_id").isin(dropped))
     if mode == "full":
-        write_table(long.withColumns(stamp).filter("value <> 0"), root, "similarity_baseline_centroids", "append")
+        # A run's centroids are one partition, so saving it again replaces them.
+        write_table(long.withColumns(stamp).filter("value <> 0"), root, "similarity_baseline_centroids", "overwrite")
         store.replace(
             root,
             "similarity_cluster_baseline",
@@ -304,14 +309,18 @@ def analyse(
     benchmark_code: str | None = None,
     index_weights: DataFrame | None = None,
     quotes: DataFrame | None = None,
+    arrival: Sequence[str] = ("created_at", "id"),
     now: datetime | None = None,
 ) -> dict[str, Any]:
-    """Upsert landed weights and quotes, cluster the report date, attribute all clusters."""
+    """Upsert landed weights and quotes, cluster the report date, attribute all clusters.
+
+    ``arrival`` orders the landed rows; of one key the last wins.
+    """
     day = report_date or latest_report_date(spark, root)
     if index_weights is not None:
-        store.upsert(root, "index_constituent_weight", index_weights, keep=("id", "created_at"))
+        store.upsert(root, "index_constituent_weight", index_weights, arrival, keep=("id", "created_at"))
     if quotes is not None:
-        store.upsert(root, "market_quote", quotes, keep=("id", "created_at"))
+        store.upsert(root, "market_quote", quotes, arrival, keep=("id", "created_at"))
     out = cluster(spark, root, day, settings, feature_type, mode, now)
     out["attribution"] = attribution.attribution_totals(
         attribute_run(

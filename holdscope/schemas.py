@@ -108,6 +108,7 @@ NATURAL_KEYS: dict[str, list[str]] = {
     "similarity_cluster_baseline": ["algorithm", "feature_type", "product_type_filter"],
     "similarity_clusters": ["cluster_run_id", "cluster_id"],
     "similarity_cluster_members": ["report_date", "product_id", "cluster_run_id"],
+    "similarity_baseline_centroids": ["cluster_run_id", "cluster_id", "feature"],
     "index_constituent_weight": ["index_code", "constituent_code", "effective_date"],
     "similarity_attribution": [
         "cluster_run_id", "cluster_id", "start_date", "end_date", "benchmark_type", "benchmark_code",

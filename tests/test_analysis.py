@@ -205,25 +205,83 @@ def quotes_batch(spark, days, price):
     return conform(df, "market_quote")
 
 
+ORDER = ["created_at", "close_price"]
+
+
 def test_append_twice_inserts_once(spark, root):
-    assert store.append_new(root, "market_quote", quotes_batch(spark, [1, 2], 5)) == (6, 0)
-    assert store.append_new(root, "market_quote", quotes_batch(spark, [2, 3], 7)) == (3, 3)
-    assert store.append_new(root, "market_quote", quotes_batch(spark, [2, 3], 7)) == (0, 6)
+    assert store.append_new(root, "market_quote", quotes_batch(spark, [1, 2], 5), ORDER) == (6, 0)
+    assert store.append_new(root, "market_quote", quotes_batch(spark, [2, 3], 7), ORDER) == (3, 3)
+    assert store.append_new(root, "market_quote", quotes_batch(spark, [2, 3], 7), ORDER) == (0, 6)
     rows = read_table(spark, root, "market_quote")
     assert rows.count() == 9
     assert rows.filter("close_price = 7").count() == 3
 
 
 def test_upsert_touches_only_its_dates(spark, root):
-    store.append_new(root, "market_quote", quotes_batch(spark, [1, 2], 5))
+    store.append_new(root, "market_quote", quotes_batch(spark, [1, 2], 5), ORDER)
     later = quotes_batch(spark, [2, 3], 9).withColumn("id", F.lit(99).cast("long"))
-    store.upsert(root, "market_quote", later, keep=("id", "created_at"))
+    store.upsert(root, "market_quote", later, ORDER, keep=("id", "created_at"))
     rows = read_table(spark, root, "market_quote").orderBy("quote_date", "symbol_code").collect()
     assert [float(r["close_price"]) for r in rows] == [5.0] * 3 + [9.0] * 6
     # Updated rows keep their id, new rows bring their own.
     assert [r["id"] for r in rows] == [0, 1, 2, 0, 1, 2, 99, 99, 99]
 
 
+def test_order_decides_within_a_batch(spark, root):
+    """Of equal keys in one batch the first is appended and the last is upserted, whatever the partitioning."""
+    batch = quotes_batch(spark, [1], 5).unionByName(quotes_batch(spark, [1], 8)).unionByName(quotes_batch(spark, [1], 6))
+    store.append_new(root, "market_quote", batch.repartition(7), ["close_price"])
+    prices = lambda: {float(r["close_price"]) for r in read_table(spark, root, "market_quote").collect()}
+    assert prices() == {5.0}
+    for _ in range(2):
+        store.upsert(root, "market_quote", batch.repartition(5), ["close_price"])
+        assert prices() == {8.0}
+
+
+def test_a_batch_reads_its_own_dates(spark, root):
+    """The batch's dates are literals of the scan's partition filter."""
+    store.append_new(root, "market_quote", quotes_batch(spark, list(range(1, 20)), 5), ORDER)
+    stored = store.touched(read_table(spark, root, "market_quote"), quotes_batch(spark, [3, 4], 7), "market_quote")
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    filters = next(line for line in plan.split("PartitionFilters")[1:])[:200]
+    assert "quote_date" in filters and "20638" in filters.replace(",", "") or "2026-07-03" in filters
+    assert stored.count() == 6
+
+
+def test_unpartitioned_table_is_overwritten_by_versions(spark, root):
+    rows = lambda code: conform(
+        spark.createDataFrame([(1, code, "SH", NOW, NOW)], "id LONG, asset_code STRING, market STRING, created_at TIMESTAMP_NTZ, updated_at TIMESTAMP_NTZ"),
+        "holding_security_info",
+    )
+    store.upsert(root, "holding_security_info", rows("A"), ["id"])
+    reader = read_table(spark, root, "holding_security_info")
+    store.upsert(root, "holding_security_info", rows("B"), ["id"])
+    assert {r["asset_code"] for r in read_table(spark, root, "holding_security_info").collect()} == {"A", "B"}
+    # A reader of the version before goes on undisturbed.
+    assert {r["asset_code"] for r in reader.collect()} == {"A"}
+    # A version that was not completed is not seen.
+    (__import__("pathlib").Path(root) / "holding_security_info" / "version=99").mkdir()
+    assert read_table(spark, root, "holding_security_info").count() == 2
+
+
+def test_run_saved_twice_and_superseded(spark, root, features):
+    first = analysis.cluster(spark, root, DAY, SETTINGS, mode="full", now=NOW, features=features)
+    cells = read_table(spark, root, "similarity_baseline_centroids").count()
+    again = analysis.cluster(spark, root, DAY, SETTINGS, mode="full", now=NOW, features=features)
+    assert again["cluster_run_id"] == first["cluster_run_id"]
+    assert read_table(spark, root, "similarity_baseline_centroids").count() == cells
+    assert read_table(spark, root, "similarity_cluster_members").count() == 60
+    note = {"cluster_run_id": F.lit(first["cluster_run_id"]), "start_date": F.lit(DAY), "end_date": F.lit(DAY),
+            "report_date": F.lit(DAY), "benchmark_type": F.lit("cluster_avg"), "created_at": F.lit(NOW).cast("timestamp_ntz"),
+            "cluster_id": F.lit(0)}
+    write_table(spark.range(1).select(F.col("id").alias("product_id")).withColumns(note), root, "similarity_attribution")
+    # A later full run replaces the first: its centroids and its attribution go with it.
+    later = analysis.cluster(spark, root, DAY, SETTINGS, mode="full", now=datetime(2026, 7, 9), features=features)
+    left = read_table(spark, root, "similarity_baseline_centroids").select("cluster_run_id").distinct().collect()
+    assert [r[0] for r in left] == [later["cluster_run_id"]]
+    assert read_table(spark, root, "similarity_attribution").count() == 0
+
+
 def test_streams_are_repeatable(spark, root, tmp_path):
     landed = str(tmp_path / "landed")
     quotes_batch(spark, [1], 5).write.mode("append").parquet(landed)
@@ -242,6 +300,15 @@ def test_streams_are_repeatable(spark, root, tmp_path):
     assert read_table(spark, root, "market_quote").count() == 6
 
 
+def test_later_rows_of_a_file_win(spark, root, tmp_path):
+    landed = str(tmp_path / "landed")
+    batch = quotes_batch(spark, [1], 5).unionByName(quotes_batch(spark, [1], 9)).unionByName(quotes_batch(spark, [1], 7))
+    batch.coalesce(1).write.parquet(landed)
+    stream = spark.readStream.schema(schema_of("market_quote")).parquet(landed)
+    increments.upsert_stream(stream, root, "market_quote", str(tmp_path / "c")).awaitTermination(120)
+    assert {float(r["close_price"]) for r in read_table(spark, root, "market_quote").collect()} == {7.0}
+
+
 def test_tables_keep_their_schema(spark, root):
     for table in DDL:
         got = {f.name: f.dataType for f in read_table(spark, root, table).schema.fields}
