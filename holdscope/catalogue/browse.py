@@ -370,9 +370,9 @@ NAMES = """SELECT asset_code, asset_name FROM (SELECT *, row_number() OVER (PART
 
 
 @query(sql(f"""SELECT h.product_id AS cluster_id, h.asset_code, coalesce(n.asset_name, h.asset_code, '—') AS asset_name
-    FROM holdings h LEFT JOIN ({NAMES}) n USING (asset_code) WHERE h.weight >= 0.002""", "holdings", "securities"))
+    FROM holdings h LEFT JOIN ({NAMES}) n USING (asset_code)""", "holdings", "securities"))
 def named_cluster_holdings(d: Domain) -> DataFrame:
-    top = d.holdings().filter("weight >= 0.002").select(F.col("product_id").alias("cluster_id"), "asset_code")
+    top = d.holdings().select(F.col("product_id").alias("cluster_id"), "asset_code")
     return browse.named_holdings(top, d.securities())
 
 

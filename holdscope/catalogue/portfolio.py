@@ -20,6 +20,7 @@ from holdscope.operators import (
     similarity,
     timeseries,
 )
+from holdscope.plans.analysis import Settings
 from holdscope.session import cut_lineage
 
 TYPES = ("equity", "mixed")
@@ -98,14 +99,15 @@ def weight_features_industry(d: Domain) -> DataFrame:
     return rounded(industry_features(d)[0], "raw_weight", "weight")
 
 
-MATRIX = [f"Brand#{i}Ⅱ" for i in range(1, 6)]
+# The classification of the parts, and the bucket of those without one.
+MATRIX = [*[f"Brand#{i}Ⅱ" for i in range(1, 26)], "未知行业"]
 
 
 @query(sql("SELECT product_id, " + ", ".join(
     f"""round(coalesce(sum(CASE WHEN feature = '{m}' THEN raw_weight END), 0), 6) AS "{m}" """ for m in MATRIX)
     + " FROM industry_cells GROUP BY 1", "holdings", "products", "securities", **INDUSTRY_FEATURES))
 def weight_matrix_export(d: Domain) -> DataFrame:
-    """Wide export of five named industries for all products."""
+    """Wide export of all industries for all products."""
     return rounded(holdings.to_matrix(industry_features(d)[0], MATRIX), *MATRIX)
 
 
@@ -345,7 +347,7 @@ def label_start(d: Domain) -> tuple[DataFrame, DataFrame, int]:
            extra=(MEANS, assign_sql("l1", "means"))))
 def kmeans_assign(d: Domain) -> DataFrame:
     v, wide, k = label_start(d)
-    return rounded(clustering.assign(v, wide, clustering.squared_norms(wide, k)), "d2")
+    return rounded(clustering.assign(v, wide, *clustering.measured(wide, k)), "d2")
 
 
 @query(sql("SELECT CAST(cluster_id AS INTEGER) AS cluster_id, feature, round(value, 6) AS value FROM c2",
@@ -418,8 +420,11 @@ def silhouette_by_label(d: Domain) -> DataFrame:
 
 @query()
 def k_search_composite(d: Domain) -> DataFrame:
-    table, _ = selection.search_k(d.vectors(), range(3, 6), max_iter=10)
-    return selection.composite_scores(table)
+    s = Settings()
+    table, _ = selection.search_k(
+        d.vectors(), range(s.k_min, s.k_max + 1), seed=s.random_seed, max_iter=s.max_iter, tol=s.tol
+    )
+    return selection.composite_scores(table, s.elbow_weight)
 
 
 # Drift between two report years: centroids per nation on the older year's holdings.
@@ -464,29 +469,58 @@ def centroid_alignment(d: Domain) -> DataFrame:
     return rounded(clustering.long_centroids(aligned, 5), "value", digits=9)
 
 
+def silhouette_sql(name: str, cells: str) -> tuple[str, str]:
+    """Mean silhouette of the region labels over one year's cells, from all pairs."""
+    return name, f"""SELECT avg(CASE WHEN greatest(a, b) <> 0 THEN (b - a) / greatest(a, b) END) AS silhouette FROM (
+        SELECT i, coalesce(max(CASE WHEN own = other AND n > 1 THEN s / (n - 1) END), 0) AS a,
+            min(CASE WHEN own <> other THEN s / n END) AS b
+        FROM (SELECT x.i, x.cluster_id AS own, y.cluster_id AS other, count(*) AS n,
+                  sum(sqrt(greatest(x.n2 + y.n2 - 2 * coalesce(p.dot, 0), 0))) AS s
+              FROM {cells}_norms x, {cells}_norms y LEFT JOIN {cells}_dots p ON p.i = x.i AND p.j = y.i GROUP BY 1, 2, 3)
+        GROUP BY 1)"""
+
+
+def norms_sql(cells: str) -> tuple[str, str]:
+    return f"{cells}_norms", f"""SELECT product_id AS i, any_value(cluster_id) AS cluster_id, sum(weight * weight) AS n2
+        FROM {cells} JOIN regions USING (product_id) GROUP BY 1"""
+
+
+def dots_sql(cells: str) -> tuple[str, str]:
+    return f"{cells}_dots", f"""SELECT x.product_id AS i, y.product_id AS j, sum(x.weight * y.weight) AS dot
+        FROM {cells} x JOIN {cells} y USING (feature) GROUP BY 1, 2"""
+
+
 @query(sql("""
     SELECT 'feature_jaccard' AS "check", round(j, 6) AS value, 0.8 AS threshold, j < 0.8 AS violated FROM v
     UNION ALL SELECT 'n_products_change_ratio', round(abs(n - bn) / greatest(bn, 1), 6), 0.2,
         abs(n - bn) / greatest(bn, 1) > 0.2 FROM v
-    UNION ALL SELECT 'silhouette_min', -1.0, 0.05, TRUE FROM v
-    UNION ALL SELECT 'silhouette_drop_ratio', round((0.4 + 1.0) / 0.4, 6), 0.25, TRUE FROM v
+    UNION ALL SELECT 'silhouette_min', round(s, 6), 0.05, s < 0.05 FROM v
+    UNION ALL SELECT 'silhouette_drop_ratio', round((bs - s) / greatest(abs(bs), 1e-9), 6), 0.25,
+        (bs - s) / greatest(abs(bs), 1e-9) > 0.25 FROM v
     UNION ALL SELECT 'inertia_change_ratio', round(abs(i - bi) / bi, 6), 0.5, abs(i - bi) / bi > 0.5 FROM v
     UNION ALL SELECT 'baseline_complete', 1.0, 1.0, FALSE FROM v""",
-    extra=(year_sql("old_year", 1996), year_sql("new_year", 2001), ("v", """
+    extra=(("regions", REGIONS), year_sql("old_year", 1996), year_sql("new_year", 2001),
+           norms_sql("old_year"), dots_sql("old_year"), silhouette_sql("old_silhouette", "old_year"),
+           norms_sql("new_year"), dots_sql("new_year"), silhouette_sql("new_silhouette", "new_year"), ("v", """
     SELECT (SELECT count(*) FROM (SELECT feature FROM old_year INTERSECT SELECT feature FROM new_year)) /
             (SELECT count(*) FROM (SELECT feature FROM old_year UNION SELECT feature FROM new_year)) AS j,
         (SELECT count(DISTINCT product_id) FROM new_year) AS n, (SELECT count(DISTINCT product_id) FROM old_year) AS bn,
+        (SELECT silhouette FROM new_silhouette) AS s, (SELECT silhouette FROM old_silhouette) AS bs,
         (SELECT sum(weight) FROM new_year) AS i, (SELECT sum(weight) FROM old_year) AS bi"""))))
 def drift_checks(d: Domain) -> DataFrame:
-    """Checks between two years; the total weight stands in for the inertia."""
+    """Checks between two years, with the regions as clusters; the total weight stands in for the inertia."""
     old, new = yearly_cells(d, 1996), yearly_cells(d, 2001)
     numbers = new.agg(F.countDistinct("product_id").alias("n_products"), F.sum("weight").alias("inertia"))
     base = old.agg(F.countDistinct("product_id").alias("n"), F.sum("weight").alias("w"))
+
+    def silhouette(cells: DataFrame) -> float | None:
+        return selection.silhouette(cells, _regions(d).join(cells.select("product_id").distinct(), "product_id"))
+
     numbers = numbers.withColumns(
         {
             "feature_jaccard": baseline.feature_jaccard(old, new).scalar(),
-            "silhouette": F.lit(None).cast("double"),
-            "base_silhouette": F.lit(0.4),
+            "silhouette": F.lit(silhouette(new)).cast("double"),
+            "base_silhouette": F.lit(silhouette(old)).cast("double"),
             "base_n_products": base.select("n").scalar(),
             "base_inertia": base.select("w").scalar(),
         }

@@ -221,17 +221,13 @@ def composite_period_changes(d: Domain) -> DataFrame:
 
 
 @query(sql("""SELECT s.symbol_code, d.quote_date, round(q.close_price / b.base * 100.0, 2) AS rebased
-    FROM (SELECT DISTINCT symbol_code FROM q0) s, (SELECT DISTINCT quote_date FROM q0) d
-    JOIN (SELECT symbol_code, arg_min(close_price, quote_date) AS base FROM q0 GROUP BY 1) b
+    FROM (SELECT DISTINCT symbol_code FROM market_quotes) s, (SELECT DISTINCT quote_date FROM market_quotes) d
+    JOIN (SELECT symbol_code, arg_min(close_price, quote_date) AS base FROM market_quotes GROUP BY 1) b
         ON b.symbol_code = s.symbol_code
-    LEFT JOIN q0 q ON q.symbol_code = s.symbol_code AND q.quote_date = d.quote_date""", "quotes",
-    extra=(("q0", """SELECT * FROM quotes WHERE symbol_code IN (SELECT symbol_code FROM quotes GROUP BY 1
-        ORDER BY count(*) DESC, 1 LIMIT 6)"""),)))
+    LEFT JOIN market_quotes q ON q.symbol_code = s.symbol_code AND q.quote_date = d.quote_date""", "market_quotes"))
 def rebased_overlay(d: Domain) -> DataFrame:
-    """A chart of the six most traded stocks: each rebased to its first close."""
-    q = d.quotes()
-    charted = q.groupBy("symbol_code").count().orderBy(F.col("count").desc(), "symbol_code").limit(6)
-    return timeseries.rebased_overlay(q.join(charted.select("symbol_code"), "symbol_code", "left_semi"))
+    """A chart of all index symbols: each rebased to its first close."""
+    return timeseries.rebased_overlay(d.market_quotes())
 
 
 WEB_MARKET = """CASE WHEN regexp_matches(code, '^[0-9]{5}$') THEN 'HK' WHEN regexp_matches(code, '^[A-Za-z]{1,5}$') THEN 'US'
@@ -414,11 +410,6 @@ def one_industry_against_rest(d: Domain) -> DataFrame:
     return rounded(returns.one_against_rest(corr, first), "corr")
 
 
-@query()
-def correlation_order(d: Domain) -> DataFrame:
-    return returns.seriation(returns.correlation(_industry_returns(d)))
-
-
 @query(sql(f"""SELECT symbol_code, quote_date, close_price FROM quotes
     WHERE quote_date BETWEEN (SELECT max(quote_date) FROM quotes) - 60 AND (SELECT max(quote_date) FROM quotes)""",
            "quotes"))

@@ -14,8 +14,8 @@ from holdscope.catalogue.registry import query, rounded
 from holdscope.operators import runs
 from holdscope.plans import analysis
 from holdscope.schemas import DDL
-from holdscope.sources import writes
-from holdscope.sources.tables import create_table, write_table
+from holdscope.sources import store, writes
+from holdscope.sources.tables import create_table, read_table, write_table
 
 DATE = "DATE '1999-12-31'"
 
@@ -204,6 +204,64 @@ def upsert_rows(d: Domain) -> DataFrame:
     return writes.upserted(stored, known, KEYS, [F.col("o_orderkey").desc()])
 
 
+# Round trips through a stored table: one quote per customer group and month, many of a key in each batch.
+QUOTE_BATCH = """SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS quote_date, 'C' || (o_custkey % 40) AS symbol_code,
+    o_orderkey AS seq, CAST(round(o_totalprice, 2) AS DECIMAL(18, 4)) + {add} AS close_price FROM orders WHERE o_orderkey % 3 = {part}"""
+FIRST, SECOND = QUOTE_BATCH.format(add=0, part=0), QUOTE_BATCH.format(add=1, part=1)
+
+
+def _winner(batch: str, order: str) -> str:
+    return f"""SELECT quote_date, symbol_code, close_price FROM (SELECT *, row_number() OVER (
+        PARTITION BY quote_date, symbol_code ORDER BY seq {order}) AS rn FROM ({batch})) WHERE rn = 1"""
+
+
+def _quote_batch(d: Domain, part: int, add: int) -> DataFrame:
+    return d.raw("orders").filter(F.col("o_orderkey") % 3 == part).select(
+        F.col("o_orderkey").alias("id"),
+        F.trunc(F.col("o_orderdate").cast("date"), "month").alias("quote_date"),
+        F.concat(F.lit("C"), (F.col("o_custkey") % 40).cast("string")).alias("symbol_code"),
+        F.lit("group").alias("symbol_name"),
+        F.lit("domestic").alias("market_region"),
+        F.lit("index").alias("asset_class"),
+        (F.round("o_totalprice", 2).cast("decimal(18,4)") + add).cast("decimal(18,4)").alias("close_price"),
+        F.lit("CNY").alias("currency"),
+        F.lit("test").alias("data_source"),
+        F.lit(datetime(2002, 1, 1)).cast("timestamp_ntz").alias("created_at"),
+    )
+
+
+def _read_quotes(d: Domain, root: str) -> DataFrame:
+    rows = read_table(d.spark, root, "market_quote").select("quote_date", "symbol_code", "close_price")
+    return rows.withColumn("close_price", F.col("close_price").cast("double"))
+
+
+def _as_double(body: str) -> str:
+    return f"SELECT quote_date, symbol_code, CAST(close_price AS DOUBLE) AS close_price FROM ({body})"
+
+
+@query(_as_double(f"""{_winner(FIRST, "ASC")} UNION ALL SELECT * FROM ({_winner(SECOND, "ASC")}) n
+    WHERE (quote_date, symbol_code) NOT IN (SELECT (quote_date, symbol_code) FROM ({_winner(FIRST, "ASC")}))"""))
+def stored_appends(d: Domain) -> DataFrame:
+    """Two batches appended to a stored table, the second one twice: the first row of a key stays."""
+    root = store_root(d)
+    create_table(d.spark, root, "market_quote")
+    store.append_new(root, "market_quote", _quote_batch(d, 0, 0), ["id"])
+    for _ in range(2):
+        store.append_new(root, "market_quote", _quote_batch(d, 1, 1), ["id"])
+    return _read_quotes(d, root)
+
+
+@query(_as_double(f"""{_winner(SECOND, "DESC")} UNION ALL SELECT * FROM ({_winner(FIRST, "DESC")}) n
+    WHERE (quote_date, symbol_code) NOT IN (SELECT (quote_date, symbol_code) FROM ({_winner(SECOND, "DESC")}))"""))
+def stored_upserts(d: Domain) -> DataFrame:
+    """Two batches upserted into a stored table, the second one twice: the last row of a key wins."""
+    root = store_root(d)
+    create_table(d.spark, root, "market_quote")
+    for part, add in ((0, 0), (1, 1), (1, 1)):
+        store.upsert(root, "market_quote", _quote_batch(d, part, add), ["id"])
+    return _read_quotes(d, root)
+
+
 @query(sql("""
     SELECT * FROM stored s WHERE NOT EXISTS (SELECT 1 FROM batch b WHERE b.o_custkey IS NOT DISTINCT FROM s.o_custkey
         AND b.o_orderdate = s.o_orderdate) UNION ALL SELECT * FROM batch""", **WRITE_CTES))
@@ -272,19 +330,17 @@ def load_store(d: Domain, root: str) -> None:
 
 @query()
 def auto_incremental_runs(d: Domain) -> DataFrame:
-    """Two automatic runs on the stored tables: the first is full, the second warm-starts from it."""
+    """Two automatic runs per feature type: the first searches k in full, the second starts from it."""
     root = store_root(d)
     load_store(d, root)
     day = analysis.latest_report_date(d.spark, root)
-    settings = analysis.Settings(k=3, max_iter=10)
     out = []
-    for i in (1, 2):
-        r = analysis.cluster(
-            d.spark, root, day, settings, "industry", "auto", now=datetime(2002, 1, i)
-        )
-        out.append((i, r["mode"], r["k"], r["n_products"], r["n_features"], r["baseline_run_id"] is not None))
+    for kind in ("asset", "industry"):
+        for i in (1, 2):
+            r = analysis.cluster(d.spark, root, day, analysis.Settings(), kind, "auto", now=datetime(2002, 1, i))
+            out.append((kind, i, r["mode"], r["k"], r["n_products"], r["n_features"], r["baseline_run_id"] is not None))
     return d.spark.createDataFrame(
-        out, "turn INT, mode STRING, k INT, n_products BIGINT, n_features BIGINT, has_baseline BOOLEAN"
+        out, "kind STRING, turn INT, mode STRING, k INT, n_products BIGINT, n_features BIGINT, has_baseline BOOLEAN"
     )
 
 

@@ -48,6 +48,11 @@ def to_date(c: Column, first_ten: bool = True) -> Column:
     return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)).cast("date") for f in DATE_FORMATS])
 
 
+def to_date_or_today(c: Column, today: Column) -> Column:
+    """A date that may also be given as the words ``today`` or ``now``, in any case."""
+    return F.when(F.lower(strip(c)).isin("today", "now"), today).otherwise(to_date(c))
+
+
 def page_number(value: int | None) -> int:
     """Page numbers start at one."""
     return 1 if value is None or value < 1 else value

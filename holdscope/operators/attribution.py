@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from holdscope.functions import constants as C
 from holdscope.functions.text import symbol_code
 from holdscope.operators.latest import share_of
-from holdscope.operators.skew import ranked, salted_join
+from holdscope.operators.skew import ranked, attach
 from holdscope.session import cut_lineage
 
 
@@ -16,7 +16,7 @@ def priced(rows: DataFrame, industries: DataFrame, returns: DataFrame) -> DataFr
     """Holdings with return and industry; holdings without a quote drop out.
 
     Return and industry are joined into one small security table first, so the holdings are
-    joined once, with hot securities split by a salt.
+    joined once; hot securities are split by the join.
     """
     codes = rows.select("asset_code", "market").distinct()
     lookup = (
@@ -30,8 +30,7 @@ def priced(rows: DataFrame, industries: DataFrame, returns: DataFrame) -> DataFr
             F.coalesce("industry_name", F.lit(C.UNKNOWN_INDUSTRY)).alias("industry_name"),
         )
     )
-    spread = [c for c in ("product_id", "cluster_id") if c in rows.columns] or ["weight"]
-    return salted_join(rows, lookup, ["asset_code", "market"], spread, "inner")
+    return attach(rows, lookup, ["asset_code", "market"], "inner")
 
 
 def industry_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,8 +67,8 @@ def brinson(
     stock = holdings.filter((F.col("asset_type") == "stock") & F.col("weight").isNotNull()).select(
         "product_id", "asset_code", "market", "weight"
     )
-    placed = salted_join(
-        stock, members.select("product_id", "cluster_id"), ["product_id"], ["asset_code"], "inner"
+    placed = attach(
+        stock, members.select("product_id", "cluster_id"), ["product_id"], "inner"
     )
     # The holdings are read once: the pooled benchmark adds up the products' industry sums.
     sums = cut_lineage(industry_sums(priced(placed, industries, returns), ["cluster_id", "product_id"]))
@@ -80,7 +79,7 @@ def brinson(
         bench = cut_lineage(industry_profile(pooled, ["cluster_id"], "wb", "rb"))
         on = ["cluster_id", "industry_name"]
         total = bench.groupBy("cluster_id").agg(F.sum(F.col("wb") * F.col("rb")).alias("bench"))
-        portfolio = salted_join(portfolio, total, ["cluster_id"], ["product_id"], "inner")
+        portfolio = attach(portfolio, total, ["cluster_id"], "inner")
     else:
         index_rows = priced(benchmark.select("asset_code", "market", "weight"), industries, returns)
         index_sums = industry_sums(index_rows.withColumn("_all", F.lit(1)), ["_all"])
@@ -90,7 +89,7 @@ def brinson(
         total = bench.agg(F.sum(F.col("wb") * F.col("rb"))).scalar()
         portfolio = portfolio.withColumn("bench", total).filter(F.col("bench").isNotNull())
 
-    joined = salted_join(portfolio, bench, on, ["product_id"], "left")
+    joined = attach(portfolio, bench, on, "left")
     wp, rp, wb, rb = (F.col(c) for c in ("wp", "rp", "wb", "rb"))
     held = wb.isNotNull() & (wp != 0)
     zero = F.lit(0.0)

@@ -13,7 +13,7 @@ from holdscope.functions import constants as C
 from holdscope.functions.parsing import page_number, page_size
 from holdscope.functions.text import match_any
 from holdscope.operators.latest import PRODUCT, latest_value, report_history
-from holdscope.operators.skew import salted_join, top_rows
+from holdscope.operators.skew import attach, top_rows
 
 
 def all_of(predicates: Sequence[Column]) -> Column:
@@ -108,8 +108,8 @@ def search_holdings(
     )
     periods = reports.select("report_id", "report_period")
     hits = holdings.filter(all_of(wanted))
-    named = salted_join(hits, who, ["product_id"], ["asset_code", "asset_name"], "inner")
-    return salted_join(named, periods, ["report_id"], ["asset_code", "asset_name"], "left")
+    named = attach(hits, who, ["product_id"], "inner")
+    return attach(named, periods, ["report_id"], "left")
 
 
 def holding_order() -> list[Column]:
@@ -146,7 +146,7 @@ def with_security(holdings: DataFrame, securities: DataFrame) -> DataFrame:
         F.col("industry_name").alias("security_industry"),
     )
     rows = holdings.withColumn("_market", F.coalesce("market", F.lit("UNKNOWN")))
-    return salted_join(rows, info, ["asset_code", "_market"], ["product_id"], "left").drop("_market")
+    return attach(rows, info, ["asset_code", "_market"], "left").drop("_market")
 
 
 def security_info(securities: DataFrame, code: str, market: str | None = None) -> DataFrame:
@@ -186,7 +186,7 @@ def product_detail(
         PRODUCT,
         [F.col("_chosen").desc(), F.col("report_date").desc(), F.col("report_id").desc()],
     ).select(*PRODUCT, "report_id", "report_period", "holding_count", "top10_weight")
-    rows = salted_join(holdings, shown, ["report_id"], ["asset_code", "asset_name"], "inner")
+    rows = attach(holdings, shown, ["report_id"], "inner")
     return with_security(rows, securities)
 
 

@@ -5,7 +5,7 @@ column per cluster (``c0 .. c{k-1}``), so assigning points is one join on the fe
 map-side-combined aggregate per product: a feature meets its k centroid values in one row and
 no point x cluster x feature rows exist. The centroid table is counted once and broadcast
 while features x k stays small; then an iteration shuffles no points at all. A larger table is
-joined by a salted shuffle on the feature.
+joined by a shuffle on the feature.
 
 Points are hashed by product once and reused by every iteration. The centroid table is
 checkpointed each iteration, which keeps the plan short and survives lost executors.
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdscope.operators.skew import fits_broadcast, salted_join
+from holdscope.operators.skew import fits_broadcast, attach
 from holdscope.session import cut_lineage
 
 
@@ -95,8 +95,8 @@ def distances(points: DataFrame, wide: DataFrame, norms: list[float], small: boo
     if small:
         met = points.join(F.broadcast(wide), "feature", "left")
     else:
-        # A feature held by very many products is split by a salt.
-        met = salted_join(points, wide, ["feature"], ["product_id"])
+        # A feature held by very many products is split by the join.
+        met = attach(points, wide, ["feature"])
     dots = [F.expr(f"sum(weight * coalesce({c}, 0D)) AS _dot{j}") for j, c in enumerate(_names(k))]
     sums = met.groupBy("product_id").agg(F.expr("sum(weight * weight) AS _xx"), *dots)
     return sums.selectExpr(
@@ -239,17 +239,29 @@ def kmeans(
     init: str = "k-means++",
 ) -> Clustering:
     """Full k-means; an emptied cluster restarts at the point farthest from all centres."""
+    laid = prepare(points)
+    try:
+        return kmeans_of(laid, laid.select("product_id").distinct().count(), k, seed, max_iter, tol, init)
+    finally:
+        laid.unpersist()
+
+
+def kmeans_of(
+    laid: DataFrame,
+    n: int,
+    k: int,
+    seed: int = 42,
+    max_iter: int = 100,
+    tol: float = 1e-4,
+    init: str = "k-means++",
+) -> Clustering:
+    """Full k-means of ``n`` products that ``prepare`` laid out."""
     seeds = {"k-means++": seed_plus_plus, "random": seed_random}
     if init not in seeds:
         raise ValueError(f"unknown init: {init}")
-    n = points.select("product_id").distinct().count()
     if not 0 < k <= n:
         raise ValueError(f"invalid k={k} for {n} products")
-    laid = prepare(points)
-    try:
-        return lloyd(laid, seeds[init](laid, k, seed), k, max_iter, tol)
-    finally:
-        laid.unpersist()
+    return lloyd(laid, seeds[init](laid, k, seed), k, max_iter, tol)
 
 
 def kmeans_from(

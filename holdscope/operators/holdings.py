@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from holdscope.functions import constants as C
 from holdscope.functions.text import base_name, has_share_class, infer_market
 from holdscope.operators.latest import latest_snapshot
-from holdscope.operators.skew import salted_join, top_rows
+from holdscope.operators.skew import attach, top_rows
 from holdscope.session import cut_lineage
 
 META = ("product_id", "product_code", "product_name", "institution_code", "product_type")
@@ -42,7 +42,7 @@ def cross_section(
     rows = on_date.filter(wanted).select(
         "product_id", "asset_code", "asset_name", "market", F.col("weight").cast("double")
     )
-    return salted_join(rows, kept, ["product_id"], ["asset_code", "asset_name"], "inner")
+    return attach(rows, kept, ["product_id"], "inner")
 
 
 def share_class_map(rows: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def share_class_map(rows: DataFrame) -> DataFrame:
         .join(merging, family, "left_semi")
         .select(*family, F.col("product_id").alias("_keep"))
     )
-    return salted_join(products, keep, family, ["product_id"]).select(
+    return attach(products, keep, family).select(
         F.coalesce("_keep", "product_id").alias("kept_id"), F.col("product_id").alias("merged_id")
     )
 
@@ -115,7 +115,7 @@ def security_industries(securities: DataFrame) -> DataFrame:
 
 def with_industry(rows: DataFrame, industries: DataFrame) -> DataFrame:
     """Rows with the industry of (asset_code, market); anything unmapped is "unknown"."""
-    found = salted_join(rows, industries, ["asset_code", "market"], ["product_id"], "left")
+    found = attach(rows, industries, ["asset_code", "market"], "left")
     return found.withColumn("industry_name", F.coalesce("industry_name", F.lit(C.UNKNOWN_INDUSTRY)))
 
 
@@ -145,7 +145,7 @@ def l2_normalised(cells: DataFrame) -> DataFrame:
     norms = cells.groupBy("product_id").agg(
         F.sqrt(F.sum(F.col("raw_weight") * F.col("raw_weight"))).alias("_norm")
     )
-    joined = salted_join(cells, norms, ["product_id"], ["feature"])
+    joined = attach(cells, norms, ["product_id"])
     weight = F.when(F.col("_norm") == 0, F.col("raw_weight")).otherwise(F.col("raw_weight") / F.col("_norm"))
     return joined.withColumn("weight", weight).drop("_norm")
 

@@ -187,36 +187,3 @@ def one_against_rest(corr: DataFrame, industry: str, n: int = 10) -> DataFrame:
         .unionByName(negative.withColumn("side", F.lit("negative")))
         .unionByName(rest.withColumn("side", F.lit("full")))
     )
-
-
-def seriation(corr: DataFrame) -> DataFrame:
-    """Greedy order that puts strongly correlated industries next to each other.
-
-    Starts at the industry with the largest correlation sum; each step appends the remaining
-    industry closest to the last one. The walk is sequential by nature and its length is the
-    industry count; each step is one small aggregate over the cached pair table.
-    """
-    square = _both_sides(corr).coalesce(1).persist()
-    spark = corr.sparkSession
-    schema = "position INT, industry STRING"
-    try:
-        names = square.select("industry_a").distinct().count()
-        if names <= 2:
-            pairs = square.select("industry_a").distinct()
-            return spark.createDataFrame(
-                [(i, r["industry_a"]) for i, r in enumerate(pairs.orderBy("industry_a").collect())], schema
-            )
-        sums = square.groupBy("industry_a").agg(F.sum("corr").alias("s"))
-        last = sums.orderBy(F.col("s").desc_nulls_last(), "industry_a").first()["industry_a"]
-        order = [last]
-        while len(order) < names:
-            step = (
-                square.filter((F.col("industry_a") == last) & ~F.col("industry_b").isin(*order))
-                .orderBy(F.col("corr").desc_nulls_last(), "industry_b")
-                .first()
-            )
-            last = step["industry_b"]
-            order.append(last)
-        return spark.createDataFrame(list(enumerate(order)), schema)
-    finally:
-        square.unpersist()

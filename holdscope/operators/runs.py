@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdscope.operators.browse import equals
-from holdscope.operators.skew import salted_join
+from holdscope.operators.skew import attach
 
 
 def run_id(*parts: Column) -> Column:
@@ -48,7 +48,7 @@ def run_members(run: DataFrame, members: DataFrame, products: DataFrame) -> Data
     ids = run.select(F.col("id").alias("cluster_run_id"))
     columns = ["institution_code", "product_code", "product_name", "product_type"]
     rows = members.join(ids, "cluster_run_id", "left_semi")
-    named = salted_join(rows, products.select("product_id", *columns), ["product_id"], ["cluster_run_id"])
+    named = attach(rows, products.select("product_id", *columns), ["product_id"])
     return named.withColumns({c: F.coalesce(c, F.lit("")) for c in columns})
 
 
@@ -79,14 +79,12 @@ def memberships(members: DataFrame, runs: DataFrame, clusters: DataFrame) -> Dat
         F.col("id").alias("cluster_run_id"), "report_date", "algorithm", "k", "product_type_filter", "created_at"
     )
     sizes = clusters.select("cluster_run_id", "cluster_id", F.col("size").alias("cluster_size"), "top_industries")
-    placed = salted_join(
+    placed = attach(
         members.select("cluster_run_id", "cluster_id", "product_id", "distance_to_center"),
         sizes,
         ["cluster_run_id", "cluster_id"],
-        ["product_id"],
-        "inner",
-    )
-    return salted_join(placed, about, ["cluster_run_id"], ["product_id"], "inner")
+        "inner")
+    return attach(placed, about, ["cluster_run_id"], "inner")
 
 
 def run_totals(runs: DataFrame) -> DataFrame:

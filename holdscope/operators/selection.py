@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from holdscope.operators.clustering import Clustering, kmeans
-from holdscope.session import cut_lineage
+from holdscope.operators.clustering import Clustering, kmeans_of, prepare
+from holdscope.session import cut_lineage, ship_package
 
 BLOCK_ROWS = 512
 # Feature columns expanded at once inside a task; bounds the dense buffer of a block.
@@ -29,8 +29,29 @@ def _dense(pdf: pd.DataFrame, names: np.ndarray) -> np.ndarray:
     return out
 
 
-def _block_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Distance sums of the left block's products to the right block's members, per run and label."""
+def _label_sums(dist: np.ndarray, rows: pd.DataFrame, members: pd.DataFrame) -> list[pd.DataFrame]:
+    """Distance sums of some products to the members of each label, per run."""
+    labels = np.stack(members["labels"].to_list())
+    pieces = []
+    for run in range(labels.shape[1]):
+        others = np.unique(labels[:, run])
+        member = (labels[:, run][:, None] == others[None, :]).astype("float64")
+        pieces.append(
+            pd.DataFrame(
+                {
+                    "product_id": np.repeat(rows["product_id"].to_numpy(), len(others)),
+                    "run": run,
+                    "other": np.tile(others, len(rows)),
+                    "total": (dist @ member).ravel(),
+                    "members": np.tile(member.sum(axis=0).astype("int64"), len(rows)),
+                }
+            )
+        )
+    return pieces
+
+
+def _block_sums(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Both directions of one pair of blocks: each product's distance sums to the other block's labels."""
     columns = ["product_id", "run", "other", "total", "members"]
     if left.empty or right.empty:
         return pd.DataFrame({c: pd.Series(dtype="float64" if c == "total" else "int64") for c in columns})
@@ -43,23 +64,9 @@ def _block_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         square += (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :]
         cross += a @ b.T
     dist = np.sqrt(np.maximum(square - 2.0 * cross, 0.0))
-    labels = np.stack(right["labels"].to_list())
-    pieces = []
-    for run in range(labels.shape[1]):
-        others = np.unique(labels[:, run])
-        member = (labels[:, run][:, None] == others[None, :]).astype("float64")
-        total = dist @ member
-        pieces.append(
-            pd.DataFrame(
-                {
-                    "product_id": np.repeat(left["product_id"].to_numpy(), len(others)),
-                    "run": run,
-                    "other": np.tile(others, len(left)),
-                    "total": total.ravel(),
-                    "members": np.tile(member.sum(axis=0).astype("int64"), len(left)),
-                }
-            )
-        )
+    pieces = _label_sums(dist, left, right)
+    if key[0] != key[1]:
+        pieces += _label_sums(dist.T, right, left)
     return pd.concat(pieces)[columns]
 
 
@@ -68,8 +75,8 @@ def silhouettes(points: DataFrame, labelings: list[DataFrame], block_rows: int =
 
     Each labeling is (product_id, cluster_id); ``run`` is its position in the list. The score
     needs every pairwise distance, so the work is quadratic in products. It is cut into
-    block x block tasks of a fixed size that return one row per (product, label), never a
-    pair. A product alone in its cluster has a = 0. The score is NULL with fewer than two
+    tasks of two blocks of a fixed size, each pair of blocks once, that return one row per
+    (product, label), never a pair. A product alone in its cluster has a = 0. The score is NULL with fewer than two
     labels or with as many labels as products.
     """
     vectors = points.groupBy("product_id").agg(
@@ -89,9 +96,9 @@ def silhouettes(points: DataFrame, labelings: list[DataFrame], block_rows: int =
     n = packed.count()
     blocks = max(1, -(-n // block_rows))
     block = F.pmod(F.xxhash64(F.col("product_id").cast("string")), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = packed.withColumn("bi", block).withColumn("bj", every)
-    right = packed.withColumn("bj", block).withColumn("bi", every)
+    left = packed.withColumn("bi", block).withColumn("bj", F.explode(F.sequence(F.col("bi"), F.lit(blocks - 1))))
+    right = packed.withColumn("bj", block).withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("bj"))))
+    ship_package(packed.sparkSession)
     id_type = packed.schema["product_id"].dataType.simpleString()
     partial = (
         left.groupBy("bi", "bj")
@@ -133,9 +140,14 @@ def search_k(
 ) -> tuple[DataFrame, dict[int, Clustering]]:
     """k-means for every k and one shared silhouette pass: (k, inertia, silhouette, n_iter).
 
-    An undefined silhouette counts as -1.
+    The points are laid out once for all k. An undefined silhouette counts as -1.
     """
-    runs = {k: kmeans(points, k, seed, max_iter, tol) for k in ks}
+    laid = prepare(points)
+    try:
+        n = laid.select("product_id").distinct().count()
+        runs = {k: kmeans_of(laid, n, k, seed, max_iter, tol) for k in ks}
+    finally:
+        laid.unpersist()
     scores = {
         r["run"]: r["silhouette"] for r in silhouettes(points, [c.labels for c in runs.values()]).collect()
     }

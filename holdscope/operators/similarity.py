@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdscope.operators.skew import fits_broadcast, ranked, salted_join
+from holdscope.operators.skew import attach, fits_broadcast, ranked
 from holdscope.session import cut_lineage
 
 # Score of a pair from its matched-feature sums and the two products' own sums.
@@ -29,27 +29,33 @@ METRIC_COLUMN = {"overlap": "raw_weight", "jaccard": "raw_weight", "cosine": "we
 
 
 def neighbors(
-    cells: DataFrame, target: Any, metric: str = "overlap", top_n: int | None = 10
+    cells: DataFrame, target: Any, metric: str = "overlap", top_n: int | None = 10, value: str | None = None
 ) -> DataFrame:
     """The products most similar to ``target``; zero scores count, ties go to the lowest id.
 
+    ``value`` chooses raw or normalised weights; by default each metric has its own. A target
+    without features is refused.
+
     Only the target's own features are joined (one row per feature), so the work is linear in
     the feature table. Sums per candidate combine on the map side.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")
-    rows = cells.select("product_id", "feature", F.col(METRIC_COLUMN[metric]).alias("w"))
+    rows = cells.select("product_id", "feature", F.col(value or METRIC_COLUMN[metric]).alias("w"))
     mine = rows.filter(F.col("product_id") == target).select("feature", F.col("w").alias("t"))
     own = mine.agg(
         F.coalesce(F.sqrt(F.sum(F.col("t") * F.col("t"))), F.lit(0.0)).alias("target_norm"),
         F.count_if(F.col("t") != 0).alias("target_nonzero"),
     )
     others = rows.filter(F.col("product_id") != target)
-    # The target's features are counted; beyond a broadcast, popular features are split by salt.
-    if fits_broadcast(mine.count(), 64):
+    # The target's features are counted; beyond a broadcast, popular features are split by the join.
+    n = mine.count()
+    if not n:
+        raise ValueError(f"no such product: {target}")
+    if fits_broadcast(n, 64):
         met = others.join(F.broadcast(mine), "feature", "left")
     else:
-        met = salted_join(others, mine, ["feature"], ["product_id"])
+        met = attach(others, mine, ["feature"])
     w, t = F.col("w"), F.col("t")
     both = (w != 0) & (t != 0)
     sums = (

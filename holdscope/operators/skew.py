@@ -4,8 +4,11 @@ Three cases cover the library:
 
 * top-n per key is ``row_number() <= n``; Spark prunes each map task to n rows per key
   before the shuffle (``WindowGroupLimit``), so a hot key ships n rows per task;
-* attaching a per-key value to many rows is a join whose hot key is split by a salt;
-* a full ranking inside a key is done in value ranges, so no task sorts the whole key.
+* attaching a per-key value to many rows is a plain join with the many rows on the left:
+  adaptive execution splits a hot key's rows over tasks, and no side is repeated for keys
+  that are not hot;
+* a full ranking inside a key is done in ranges of the whole order, ties included, so no
+  task sorts the whole key.
 """
 
 from __future__ import annotations
@@ -18,10 +21,6 @@ from pyspark.sql.window import Window
 
 from holdscope.session import cut_lineage
 
-MIN_SALTS, MAX_SALTS = 4, 64
-# Rows of one key that a single task may sort; larger keys are split by value.
-HOT_ROWS = 1_000_000
-MAX_RANGES = 10_000
 # A side is broadcast on our own account only when its counted rows stay under this size.
 BROADCAST_BYTES = 32 << 20
 
@@ -32,32 +31,13 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def salt_count(df: DataFrame) -> int:
-    """Tasks to spread a hot key over, in step with the session's shuffle width."""
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(MIN_SALTS, min(MAX_SALTS, width // 8))
-
-
-def salted_join(
-    facts: DataFrame,
-    per_key: DataFrame,
-    on: Sequence[str],
-    spread: Sequence[str],
-    how: str = "left",
-    salts: int | None = None,
-) -> DataFrame:
+def attach(facts: DataFrame, per_key: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join many ``facts`` rows to the one ``per_key`` row of their key.
 
-    Facts of one key are spread over ``salts`` tasks by a hash of the ``spread`` columns and
-    the per-key side is repeated once per salt. Spark still broadcasts ``per_key`` on its own
-    when its measured size is under ``spark.sql.autoBroadcastJoinThreshold``, and AQE splits
-    a salted partition that is still too large.
+    Spark broadcasts ``per_key`` when its measured size allows; beyond that, the sort-merge join
+    splits the facts of a hot key and reads its one row in each part.
     """
-    salts = salts or salt_count(facts)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int")
-    left = facts.withColumn("_salt", salt)
-    right = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    return facts.join(per_key, [*on], how)
 
 
 def fits_broadcast(rows: int, bytes_per_row: int) -> bool:
@@ -65,18 +45,6 @@ def fits_broadcast(rows: int, bytes_per_row: int) -> bool:
     return rows * bytes_per_row <= BROADCAST_BYTES
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, int, int]:
-    """Keys with more than ``hot_rows`` rows, their number, and the size of the largest.
-
-    There can be at most ``rows / hot_rows`` of them. The list is materialised, so every
-    consumer sees the same keys.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-    hot = cut_lineage(sizes)
-    row = hot.agg(F.count(F.lit(1)).alias("keys"), F.max("_n").alias("top")).first()
-    return hot.select(*keys), row["keys"], row["top"] or 0
-
-
 def ranked(
     df: DataFrame,
     keys: Sequence[str],
@@ -85,72 +53,66 @@ def ranked(
     out: str = "rank",
     descending: bool = True,
     weight: Column | None = None,
-    hot_rows: int = HOT_ROWS,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Exact position of each row inside its key, without sorting a hot key in one task.
 
-    Keys up to ``hot_rows`` rows are ranked by one window. A larger key is cut into value
-    ranges of about ``hot_rows`` rows; ranges are ranked on their own and the rows in the
-    ranges before are added as an offset. ``weight`` counts a row as that many rows; the
-    position is then the running total up to and including the row.
+    All rows are cut into ranges of (keys, value, tiebreak), so that equal values and NULLs split
+    like any others. Rows are ranked inside their range, and the rows of their key in the ranges
+    before are added as an offset. ``weight`` counts a row as that many rows; the position is then
+    the running total up to and including the row. NULL values come last, NULL keys are a key.
 
-    ``df`` is read up to four times, so an expensive input should be materialised first.
+    ``df`` is read twice, to find the ranges and to deal them out, so an expensive input should be
+    materialised first. ``ranges`` defaults to the session's shuffle width.
     """
+    spark = df.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     one = F.lit(1).cast("bigint") if weight is None else weight.cast("bigint")
     order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
     order_by = [order, *[F.col(c).asc() for c in tiebreak]]
-    running = (Window.unboundedPreceding, Window.currentRow)
-    hot, n_hot, top = hot_keys(df, keys, hot_rows)
-    if n_hot == 0:
-        return df.withColumn(out, F.sum(one).over(Window.partitionBy(*keys).orderBy(*order_by).rowsBetween(*running)))
-
-    # Two consumers must see the same cut points, and an approximate percentile may differ when
-    # it is recomputed after an executor is lost: the cut points are materialised.
-    ranges = min(MAX_RANGES, top // hot_rows + 2)
-    shares = ", ".join(f"{i / ranges!r}D" for i in range(1, ranges))
-    cuts = F.expr(f"percentile_approx(`{value}`, array({shares}), {max(1000, 10 * ranges)})")
-    small = fits_broadcast(n_hot, 64 * ranges)
-    in_hot = df.join(F.broadcast(hot) if small else hot, [*keys], "left_semi")
-    bounds = cut_lineage(in_hot.groupBy(*keys).agg(F.array_distinct(cuts).alias("_cuts")))
-    bounds = bounds.withColumn("_cuts", F.coalesce("_cuts", F.array().cast(bounds.schema["_cuts"].dataType)))
-
-    cut = df.join(F.broadcast(bounds), [*keys], "left") if small else salted_join(df, bounds, keys, tiebreak)
-    # NULL values are a range of their own, last in either order; cold keys are one range.
-    last = F.lit(-1 if descending else ranges)
-    bucket = F.when(F.col("_cuts").isNull(), 0).when(F.col(value).isNull(), last).otherwise(
-        F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(value)))
-    )
-    cut = cut.withColumn("_bucket", bucket).withColumn("_one", one)
-    edge = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-    before = Window.partitionBy(*keys).orderBy(edge).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = df.withColumn("_one", one).repartitionByRange(ranges, *[F.col(k).asc() for k in keys], *order_by)
+    # The range of a row is the task it came to; written down, it cannot change under a rerun.
+    placed = cut_lineage(dealt.withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    names = {k: f"_key_{i}" for i, k in enumerate(keys)}
     offsets = (
-        cut.filter(F.col("_cuts").isNotNull())
-        .groupBy(*keys, "_bucket")
+        placed.groupBy(*keys, "_range")
         .agg(F.sum("_one").alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
+        .select(
+            *[F.col(k).alias(n) for k, n in names.items()],
+            F.col("_range").alias("_at"),
+            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+        )
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order_by).rowsBetween(*running)
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order_by)
+    local = placed.withColumn("_local", F.sum("_one").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    same = F.col("_range") == F.col("_at")
+    for k, n in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(n))
     return (
-        cut.drop("_cuts")
-        .withColumn("_local", F.sum("_one").over(inside))
-        .join(F.broadcast(offsets) if small else offsets, [*keys, "_bucket"], "left")
-        .withColumn(out, F.col("_local") + F.coalesce("_offset", F.lit(0)))
-        .drop("_bucket", "_one", "_local", "_offset")
+        local.join(offsets, same)
+        .withColumn(out, F.col("_local") + F.col("_offset"))
+        .drop("_one", "_range", "_local", "_offset", "_at", *names.values())
     )
 
 
 def exact_median(
-    df: DataFrame, keys: Sequence[str], value: str, tiebreak: Sequence[str], hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], value: str, ranges: int | None = None
 ) -> DataFrame:
-    """Median of non-null values per key, read off the middle ranks."""
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, *tiebreak, value)
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    pos = ranked(rows, keys, value, tiebreak, out="_pos", descending=False, hot_rows=hot_rows)
-    middle = F.col("_pos").between(F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2))
+    """Median of non-null values per key, read off the middle positions; equal values are counted, not ranked."""
+    levels = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    levels = cut_lineage(levels)
+    totals = levels.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    upto = ranked(levels, keys, value, [value], out="_upto", descending=False, weight=F.col("_c"), ranges=ranges)
+
+    def holds(position: Column) -> Column:
+        return ((position > F.col("_upto") - F.col("_c")) & (position <= F.col("_upto"))).cast("int")
+
+    middle = holds(F.floor((F.col("_n") + 1) / 2)) + holds(F.ceil((F.col("_n") + 1) / 2))
     return (
-        salted_join(pos, counts, keys, tiebreak)
-        .filter(middle)
+        attach(upto, totals, keys, "inner")
+        .withColumn("_middle", middle)
+        .filter("_middle > 0")
         .groupBy(*keys)
-        .agg(F.avg(value).alias("median"))
+        .agg((F.sum(F.col(value) * F.col("_middle")) / 2).alias("median"))
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from holdscope.operators.latest import PRODUCT
-from holdscope.operators.skew import exact_median, ranked, salted_join, top_rows
+from holdscope.operators.skew import attach, exact_median, ranked, top_rows
 from holdscope.session import cut_lineage
 
 
@@ -157,7 +157,7 @@ def value_dispersion(rows: DataFrame, keys: tuple[str, ...] = ("cluster_id",)) -
     )
     mean, std = F.col("mean_change"), F.col("std_change")
     cv = F.when(mean == 0, 0.0).otherwise(F.try_divide(std, F.abs(mean)))
-    medians = exact_median(rows, keys, "period_change_pct", ["product_id"])
+    medians = exact_median(rows, keys, "period_change_pct")
     return (
         stats.withColumn("coefficient_of_variation", cv)
         .join(medians.withColumnRenamed("median", "median_change"), list(keys), "left")
@@ -267,7 +267,7 @@ def distance_histogram(
     span = known.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     step = (F.col("hi") - F.col("lo")) / F.lit(bins)
     flat = F.col("hi") == F.col("lo")
-    binned = salted_join(known, span, keys, [value], "inner") if keys else known.withColumns(
+    binned = attach(known, span, keys, "inner") if keys else known.withColumns(
         {"lo": known.agg(F.min(value)).scalar(), "hi": known.agg(F.max(value)).scalar()}
     )
     index = F.when(flat, 0).otherwise(

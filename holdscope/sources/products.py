@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from holdscope.functions import constants as C
 from holdscope.functions.parsing import to_date, to_float
 from holdscope.functions.text import contains_any, lookup, strip
-from holdscope.operators.skew import salted_join
+from holdscope.operators.skew import attach
 from holdscope.sources.writes import first_per_key
 
 # Source field of each column. (kind, field): text, number, date.
@@ -164,7 +164,7 @@ def with_first_nav(products: DataFrame, navs: DataFrame, arrival: str = "arrival
     """Products with the first NAV row of their code, if any."""
     coded = navs.filter(F.col("product_code").isNotNull() & (F.col("product_code") != ""))
     first = first_per_key(coded, ["product_code"], [F.col(arrival).asc()]).drop(arrival)
-    return salted_join(products, first, ["product_code"], [arrival], "left")
+    return attach(products, first, ["product_code"], "left")
 
 
 def product_type(source: str, name: Column, raw: Column | None = None) -> Column:

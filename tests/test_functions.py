@@ -157,7 +157,6 @@ def test_correlation_of_a_constant_series_is_null(spark):
     assert got["a", "a"] == pytest.approx(1.0)
     assert got["a", "b"] == pytest.approx(pd.Series([1, 2, 3, 5]).corr(pd.Series([2, 4, 6, 9])))
     assert got["a", "c"] is None and got["c", "c"] is None
-    assert [r["industry"] for r in returns.seriation(corr).orderBy("position").collect()][:2] in (["a", "b"], ["b", "a"])
 
 
 def test_histogram_of_equal_values(spark):

@@ -32,34 +32,49 @@ def brute_rank(pdf, descending):
 
 
 @pytest.mark.parametrize("descending", [True, False])
-@pytest.mark.parametrize("hot_rows", [10, 100, 10_000])
-def test_ranked_is_exact(rows, descending, hot_rows):
-    got = skew.ranked(rows, ["k"], "v", ["id"], descending=descending, hot_rows=hot_rows).toPandas()
+@pytest.mark.parametrize("ranges", [1, 4, 60])
+def test_ranked_is_exact(rows, descending, ranges):
+    got = skew.ranked(rows, ["k"], "v", ["id"], descending=descending, ranges=ranges).toPandas()
     want = brute_rank(rows.toPandas(), descending)
     assert len(got) == 900
     assert (got.set_index("id")["rank"].sort_index() == want.sort_index()).all()
 
 
-def test_ranked_without_broadcast(rows, monkeypatch):
-    monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
-    got = skew.ranked(rows, ["k"], "v", ["id"], hot_rows=50).toPandas()
-    want = brute_rank(rows.toPandas(), True)
-    assert (got.set_index("id")["rank"].sort_index() == want.sort_index()).all()
+def test_equal_values_and_keys_without_a_name_split(spark, monkeypatch):
+    """One key of equal values, and NULL keys and values, are cut into ranges of about equal size."""
+    data = spark.range(20_000, numPartitions=8).select(
+        F.when(F.col("id") % 4 != 0, "hot").alias("k"), "id", F.when(F.col("id") % 5 != 0, F.lit(0.0)).alias("v")
+    )
+    sizes = []
+    real = skew.cut_lineage
+
+    def watched(df):
+        done = real(df)
+        if "_range" in done.columns:
+            sizes.extend(r["count"] for r in done.groupBy("_range").count().collect())
+        return done
+
+    monkeypatch.setattr(skew, "cut_lineage", watched)
+    got = skew.ranked(data, ["k"], "v", ["id"], ranges=20).toPandas()
+    assert len(sizes) == 20 and max(sizes) < 2_500
+    for _, group in got.groupby("k", dropna=False):
+        by = group.assign(null=group.v.isna()).sort_values(["null", "id"])
+        assert by["rank"].tolist() == list(range(1, len(by) + 1))
 
 
-@pytest.mark.parametrize("hot_rows", [20, 10_000])
-def test_exact_median(rows, hot_rows):
-    got = skew.exact_median(rows, ["k"], "v", ["id"], hot_rows).toPandas().set_index("k")["median"]
+@pytest.mark.parametrize("ranges", [1, 30])
+def test_exact_median(rows, ranges):
+    got = skew.exact_median(rows, ["k"], "v", ranges).toPandas().set_index("k")["median"]
     want = rows.toPandas().dropna().groupby("k")["v"].median()
     assert (got.sort_index() - want.sort_index()).abs().max() < 1e-12
 
 
-def test_salted_join_keeps_every_row(spark, rows):
+def test_attach_keeps_every_row(spark, rows):
     per_key = spark.createDataFrame([("hot", 1.0), ("k0", 2.0)], "k STRING, x DOUBLE")
-    left = skew.salted_join(rows, per_key, ["k"], ["id"])
+    left = skew.attach(rows, per_key, ["k"])
     assert left.count() == 900
     assert left.filter("k = 'hot' AND x = 1.0").count() == rows.filter("k = 'hot'").count()
-    assert skew.salted_join(rows, per_key, ["k"], ["id"], "inner").filter("k NOT IN ('hot', 'k0')").count() == 0
+    assert skew.attach(rows, per_key, ["k"], "inner").filter("k NOT IN ('hot', 'k0')").count() == 0
 
 
 def test_top_rows_prunes_before_the_shuffle(rows):
@@ -68,10 +83,10 @@ def test_top_rows_prunes_before_the_shuffle(rows):
     assert top.groupBy("k").count().agg(F.max("count")).first()[0] == 2
 
 
-@pytest.mark.parametrize("hot_rows", [5, 10_000])
-def test_mean_pairwise_overlap_with_a_hot_feature(spark, monkeypatch, hot_rows):
+@pytest.mark.parametrize("ranges", [1, 25])
+def test_mean_pairwise_overlap_with_a_hot_feature(spark, monkeypatch, ranges):
     real = skew.ranked
-    monkeypatch.setattr(similarity, "ranked", lambda *a, **k: real(*a, **{**k, "hot_rows": hot_rows}))
+    monkeypatch.setattr(similarity, "ranked", lambda *a, **k: real(*a, **{**k, "ranges": ranges}))
     rng = random.Random(5)
     cells = [(p, "all", round(rng.random(), 2)) for p in range(40)]
     cells += [(p, f"f{rng.randrange(6)}x{j}", rng.random()) for p in range(40) for j in range(2)]
