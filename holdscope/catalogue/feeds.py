@@ -332,9 +332,7 @@ def risk_case(source: str, column: str) -> str:
 
 
 def standard_case(column: str) -> str:
-    return "CASE " + " ".join(
-        f"WHEN {column} IN ({', '.join(repr(w) for w in words)}) THEN '{level}'" for level, words in C.RISK_LEVELS.items()
-    ) + " END"
+    return "CASE " + " ".join(f"WHEN {column} = '{w}' THEN '{level}'" for w, level in C.RISK_LEVELS.items()) + " END"
 
 
 def feed_sql(source: str) -> str:

@@ -534,7 +534,7 @@ CENTROIDS = ("centroids", """
     JOIN (SELECT cluster_id, count(*) AS n FROM members GROUP BY 1) USING (cluster_id) GROUP BY 1, 2""")
 
 
-def _centroids(d: Domain) -> DataFrame:
+def centroids(d: Domain) -> DataFrame:
     return clustering.label_means(all_cells(d), _regions(d))
 
 
@@ -542,7 +542,7 @@ def _centroids(d: Domain) -> DataFrame:
         PARTITION BY cluster_id ORDER BY value DESC, feature) AS rank FROM centroids) WHERE rank <= 10 AND value > 0""",
            "holdings", extra=(("members", REGIONS), CELLS, CENTROIDS)))
 def cluster_top_holdings(d: Domain) -> DataFrame:
-    return rounded(profiling.top_features(_centroids(d), 10), "value")
+    return rounded(profiling.top_features(centroids(d), 10), "value")
 
 
 CLUSTER_INDUSTRIES = ("cluster_industries", f"""
@@ -556,7 +556,7 @@ CLUSTER_INDUSTRIES = ("cluster_industries", f"""
            "holdings", "securities", extra=(("members", REGIONS), CELLS, CENTROIDS, INDUSTRIES, CLUSTER_INDUSTRIES)))
 def cluster_top_industries(d: Domain) -> DataFrame:
     industries = holdings.security_industries(d.securities())
-    return rounded(profiling.industries_of_assets(_centroids(d), industries), "value")
+    return rounded(profiling.industries_of_assets(centroids(d), industries), "value")
 
 
 @query(sql("""SELECT cluster_id, institution_code, count(*) AS products FROM members JOIN products USING (product_id)
@@ -657,7 +657,7 @@ def cluster_profiles(d: Domain) -> DataFrame:
     extra=(("members", REGIONS), CELLS, CENTROIDS, INDUSTRIES, CLUSTER_INDUSTRIES)).replace(")\nWITH top AS", "),\ntop AS"))
 def industry_cluster_matrix(d: Domain) -> DataFrame:
     industries = holdings.security_industries(d.securities())
-    top = cut_lineage(profiling.industries_of_assets(_centroids(d), industries))
+    top = cut_lineage(profiling.industries_of_assets(centroids(d), industries))
     rows = top.select("cluster_id", F.col("feature").alias("industry"), F.col("value").alias("weight"))
     ids = list(range(5))
     return rounded(profiling.industry_matrix(rows, ids), "peak", *[str(i) for i in ids])

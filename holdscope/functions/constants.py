@@ -100,33 +100,41 @@ MARKET_SYMBOL_SCHEMA = (
     "kline_id STRING, live_symbol STRING, currency STRING, volume_unit STRING"
 )
 
-# Risk label -> standard level.
+# Risk label -> standard level.
 RISK_LEVELS = {
-    "L1": ("R1", "低风险", "PR1", "低风险(R1)", "极低风险", "保守型(1R)"),
-    "L2": ("二星级", "R2", "中低风险", "PR2", "中低风险(R2)", "较低风险", "稳健型(2R)"),
-    "L3": ("三星级", "R3", "中风险", "PR3", "中风险(R3)", "中等风险", "平衡型(3R)"),
-    "L4": ("四星级", "R4", "中高风险", "PR4", "中高风险(R4)", "较高风险", "增长型(4R)"),
-    "L5": ("五星级", "R5", "高风险", "PR5", "高风险(R5)", "进取型(5R)"),
-}
-
-# Raw product type -> unified type.
-PRODUCT_TYPES = {
-    "股票型": "equity",
-    "权益类": "equity",
-    "混合型": "mixed",
-    "混合类": "mixed",
-    "债券型": "fixed_income",
-    "固定收益类": "fixed_income",
-    "指数型": "index",
-    "指数类": "index",
-    "货币型": "money_market",
-    "现金管理类": "money_market",
-    "QDII": "qdii",
-    "FOF": "fof",
-    "养老理财": "fof",
-    "商品型": "commodity",
-    "商品及金融衍生品类": "commodity",
-    "其他": "other",
+    "R1": "L1",
+    "低风险": "L1",
+    "PR1": "L1",
+    "低风险(R1)": "L1",
+    "极低风险": "L1",
+    "保守型(1R)": "L1",
+    "二星级": "L2",
+    "R2": "L2",
+    "中低风险": "L2",
+    "PR2": "L2",
+    "中低风险(R2)": "L2",
+    "较低风险": "L2",
+    "稳健型(2R)": "L2",
+    "三星级": "L3",
+    "R3": "L3",
+    "中风险": "L3",
+    "PR3": "L3",
+    "中风险(R3)": "L3",
+    "中等风险": "L3",
+    "平衡型(3R)": "L3",
+    "四星级": "L4",
+    "R4": "L4",
+    "中高风险": "L4",
+    "PR4": "L4",
+    "中高风险(R4)": "L4",
+    "较高风险": "L4",
+    "增长型(4R)": "L4",
+    "五星级": "L5",
+    "R5": "L5",
+    "高风险": "L5",
+    "PR5": "L5",
+    "高风险(R5)": "L5",
+    "进取型(5R)": "L5",
 }
 
 # Product type rules by source: (type, words in the name, words in the raw type, words in the

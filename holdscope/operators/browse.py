@@ -226,3 +226,16 @@ def named_holdings(top_holdings: DataFrame, securities: DataFrame) -> DataFrame:
         top_holdings.join(names, "asset_code", "left")
         .withColumn("asset_name", F.coalesce("asset_name", "asset_code", F.lit("—")))
     )
+
+
+def name_arrays(clusters: DataFrame, holdings: str, keys: Sequence[str], securities: DataFrame) -> DataFrame:
+    """The keys and the stored holding array with a display name in each entry, in stored order.
+
+    An entry without a code stays, shown as a dash. The arrays are short by definition (the top holdings
+    of a cluster).
+    """
+    entries = clusters.select(*keys, F.posexplode_outer(holdings).alias("pos", "held"))
+    named = named_holdings(entries.select(*keys, "pos", "held", F.col("held.asset_code").alias("asset_code")), securities)
+    entry = F.struct("pos", "asset_code", "asset_name", F.col("held.weight").alias("weight"))
+    lists = named.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), entry))).alias("_list"))
+    return lists.select(*keys, F.transform("_list", lambda x: x.dropFields("pos")).alias(holdings))

@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from holdscope.functions import constants as C
 from holdscope.functions.text import base_name, has_share_class, infer_market
@@ -140,6 +141,12 @@ def industry_weights(rows: DataFrame, industries: DataFrame) -> DataFrame:
     return industry_cells(filled, industries).orderBy("product_id", F.col("raw_weight").desc(), "feature")
 
 
+def with_positions(weights: DataFrame) -> DataFrame:
+    """Position of each industry inside its product, heaviest first; a product holds few industries."""
+    heaviest = Window.partitionBy("product_id").orderBy(F.col("raw_weight").desc(), F.col("feature").asc())
+    return weights.withColumn("position", F.row_number().over(heaviest))
+
+
 def l2_normalised(cells: DataFrame) -> DataFrame:
     """Cells with a unit-length weight next to the raw one; a zero vector stays zero."""
     norms = cells.groupBy("product_id").agg(

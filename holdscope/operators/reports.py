@@ -206,8 +206,3 @@ def holding_share(products: DataFrame, holdings: DataFrame) -> DataFrame:
     held = holdings.agg(F.countDistinct("product_id")).scalar()
     share = F.try_divide(held.cast("double"), F.count(F.lit(1)))
     return products.agg(F.concat(F.format_string("%.1f", F.coalesce(share, F.lit(0.0)) * 100.0), F.lit("%")).alias("share"))
-
-
-def distinct_products(products: DataFrame, keys: Sequence[str] = PRODUCT) -> DataFrame:
-    """Number of logical products."""
-    return products.agg(F.countDistinct(*[F.col(k) for k in keys]).alias("products"))

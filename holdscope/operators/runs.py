@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdscope.operators.browse import equals
-from holdscope.operators.skew import attach
+from holdscope.operators.skew import attach, top_rows
+from holdscope.sources.tables import as_json
 
 
 def run_id(*parts: Column) -> Column:
@@ -83,7 +84,8 @@ def memberships(members: DataFrame, runs: DataFrame, clusters: DataFrame) -> Dat
         members.select("cluster_run_id", "cluster_id", "product_id", "distance_to_center"),
         sizes,
         ["cluster_run_id", "cluster_id"],
-        "inner")
+        "inner",
+    )
     return attach(placed, about, ["cluster_run_id"], "inner")
 
 
@@ -174,3 +176,26 @@ def list_baselines(
     return baselines.filter(
         equals(report_date=report_date, algorithm=algorithm, feature_type=feature_type)
     ).orderBy(F.col("created_at").desc(), F.col("cluster_run_id").desc())
+
+
+def run_payload(runs: DataFrame, clusters: DataFrame, members: DataFrame, per_cluster: int = 50) -> DataFrame:
+    """Each run as one nested JSON object: the run, its clusters, and of each the nearest members.
+
+    A payload shows ``per_cluster`` members of a cluster; ``size`` tells how many there are.
+    """
+    nearest = [F.col("distance_to_center").asc_nulls_last(), F.col("product_id").asc()]
+    keys = ["cluster_run_id", "cluster_id"]
+    listed = top_rows(members.select(*keys, "product_id", "distance_to_center"), keys, nearest, per_cluster)
+    place = F.struct(F.col("distance_to_center").isNull().alias("unset"), "distance_to_center", "product_id")
+    lists = listed.groupBy(*keys).agg(F.sort_array(F.collect_list(place)).alias("_near"))
+    shown = clusters.join(lists, keys, "left").select(
+        "cluster_run_id",
+        F.struct(
+            "cluster_id",
+            "size",
+            F.coalesce(F.transform("_near", lambda x: x["product_id"]), F.array().cast("array<bigint>")).alias("members"),
+        ).alias("cluster"),
+    )
+    per_run = shown.groupBy("cluster_run_id").agg(F.sort_array(F.collect_list("cluster")).alias("clusters"))
+    about = runs.select(F.col("id").alias("cluster_run_id"), "report_date", "algorithm", "k", "n_products")
+    return as_json(about.join(per_run, "cluster_run_id", "left"))

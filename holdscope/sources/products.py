@@ -194,8 +194,7 @@ def risk_level(source: str, text: Column) -> Column:
 
 def standard_risk(label: Column) -> Column:
     """Standard level of a risk label, NULL when the label is not in the table."""
-    table = {word: level for level, words in C.RISK_LEVELS.items() for word in words}
-    return lookup(label, table)
+    return lookup(label, C.RISK_LEVELS)
 
 
 def risk_columns(source: str, text: Column) -> tuple[Column, Column]:
