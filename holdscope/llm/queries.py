@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from holdscope.llm import fingerprints, language_id, line_dedup, lm_scoring, packing, piece_encoding, rp_forest, simhash_trie, suffix_dedup, token_shards
 from holdscope.llm.common import crc_remainder
+from holdscope.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-#: DuckDB SQL of the queries that it can express.
-ORACLES: dict[str, str] = {}
 
 
 def query(name: str) -> Callable:
