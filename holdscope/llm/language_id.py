@@ -170,7 +170,9 @@ def training_runs(
         .distinct()
     )
     texts = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    texts = texts.join(chosen.withColumnRenamed("id", "chosen"), F.col("id").eqNullSafe(F.col("chosen")), "left_semi")
+    # At most ``sample_docs`` ids per language: few enough to broadcast, so that no text is shuffled.
+    few = F.broadcast(chosen.withColumnRenamed("id", "chosen"))
+    texts = texts.join(few, F.col("id").eqNullSafe(F.col("chosen")), "left_semi")
     runs = texts.select("lang", F.explode(F.expr(f"regexp_extract_all(lower(text), '(\\\\p{{L}}{{1,{RUN_LETTERS}}})', 1)")).alias("run"))
     often = Window.partitionBy("lang").orderBy(F.desc("count"), F.xxhash64("run"), "run")
     rows = (
