@@ -83,11 +83,12 @@ def likeness(bits: Column) -> Column:
     return F.greatest(F.lit(0.0), F.cos(F.lit(math.pi / BITS) * bits))
 
 
-def next_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(bucket, place, row, text, next)``: rows in descending order of ids with the text of the row after.
+def next_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``(bucket, place, text, next)``: texts in descending order of ids with the text after, and ``(bucket, place, row)``.
 
     Rows are dealt to buckets by quantiles of the id, and a window looks ahead in each; the last row of a bucket takes
-    the first text of the next bucket that has rows, and the last of all the very first.
+    the first text of the next bucket that has rows, and the last of all the very first. The other columns are placed
+    on their own, so that all that is made of the texts shares one shuffle of them.
     """
     spark = docs.sparkSession
     buckets = 4 * shuffle_width(spark)
@@ -105,7 +106,9 @@ def next_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = rows.withColumn("bucket", F.when(F.col("id").isNull(), spread).otherwise(above).cast("int"))
     order = [F.desc_nulls_last("id"), F.asc("key")]
     inside = Window.partitionBy("bucket").orderBy(*order)
-    placed = rows.withColumn("place", F.row_number().over(inside)).withColumn("after", F.lead("text").over(inside))
+    place = F.row_number().over(inside)
+    placed = rows.drop("row").withColumn("place", place).withColumn("after", F.lead("text").over(inside))
+    others = rows.drop("text").withColumn("place", place).select("bucket", "place", "row")
     # The first text of each bucket: as many rows as there are buckets.
     heads = rows.groupBy("bucket").agg(
         F.min(F.struct(F.col("id").isNull().alias("n"), (-F.col("id")).alias("m"), "key")).alias("least")
@@ -125,7 +128,7 @@ def next_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         ).alias("_head"),
     )
     met = placed.join(around, F.col("bucket") == F.col("_bucket"))
-    return met.select("bucket", "place", "row", "text", F.coalesce("after", "_head").alias("next"))
+    return met.select("bucket", "place", "text", F.coalesce("after", "_head").alias("next")), others
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -143,7 +146,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text, and repeated rows each return. A null text is empty. A text without words has the fingerprint of one empty
     word. An empty table gives an empty table. All columns but the text are in ``row``, so none can clash.
     """
-    follow = next_texts(docs, id_col, text_col)
+    follow, others = next_texts(docs, id_col, text_col)
     change = edited(F.col("text"), F.col("next"))
     kinds = F.array(
         F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), change.alias("text"))
@@ -161,9 +164,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         *[F.max(F.when(F.col("kind") == k, F.col(c))).alias(n) for k, c, n in ((0, "f0", "f0"), (0, "f1", "f1"), (1, "f0", "e0"), (1, "f1", "e1"))]
     )
     facts = follow.select(
-        "bucket", "place", "row", F.length("text").cast("bigint").alias("n_chars"), F.sha2(change, 256).alias("edited_sha256")
+        "bucket", "place", F.length("text").cast("bigint").alias("n_chars"), F.sha2(change, 256).alias("edited_sha256")
     )
-    known = materialise(facts.join(prints, ["bucket", "place"]), "fingerprints")
+    known = materialise(others.join(facts, ["bucket", "place"]).join(prints, ["bucket", "place"]), "fingerprints")
     # The next fingerprint: again ahead in the bucket, or the first one of the next bucket.
     inside = Window.partitionBy("bucket").orderBy("place")
     every = Window.orderBy("bucket")
