@@ -329,7 +329,11 @@ def near_groups(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the smallest id stays (nulls last, then by text hash)."""
-    groups = near_groups(docs, id_col, text_col, **kwargs)
+    return keep_first(docs, near_groups(docs, id_col, text_col, **kwargs), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each root in ``groups`` (``doc_id``, ``key`` and ``root`` of every row)."""
     first = groups.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
     )
