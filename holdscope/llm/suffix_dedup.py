@@ -297,9 +297,15 @@ def _compare_segments(length: int, sorted_windows: int):
         table = _table(batches)
         if table is None:
             return
-        table = table.take(pa.array(np.argsort(table.column("anchor").to_numpy(), kind="stable")))
         anchor = table.column("anchor").to_numpy()
         doc, key, start = _ids(table.column("doc_id")), table.column("key").to_numpy(), table.column("start").to_numpy()
+        # Rows that repeat id and text are one document: each brings the same segments, one of them is compared.
+        by = np.lexsort((start, key, doc, anchor))
+        new = np.ones(len(by), bool)
+        new[1:] = np.any([x[by][1:] != x[by][:-1] for x in (anchor, doc, key, start)], axis=0)
+        by = by[new]
+        table = table.take(pa.array(by))
+        anchor, doc, key, start = (x[by] for x in (anchor, doc, key, start))
         parts = table.column("bytes").to_pylist()
         counts = np.array([len(p) - length + 1 for p in parts], np.int64)
         edges = np.concatenate([[0], np.flatnonzero(np.diff(anchor)) + 1, [len(anchor)]])

@@ -69,6 +69,25 @@ def test_edge_rows(spark):
     assert len({bytes(r.kept) for r in done if r.row.doc_id == 12}) == 2
 
 
+@pytest.mark.parametrize("hot", [50_000, 1])
+def test_repeated_rows_with_anchors_elsewhere(spark, hot):
+    """Rows that repeat id and text lose only what starts earlier, as the one document that they are."""
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    phrases = [word(15) for _ in range(12)]
+    data = []
+    for i in range(12):
+        text = "".join(word(rnd.randint(3, 30)) + p for p in rnd.sample(phrases, 8))
+        data.append((i if i < 11 else None, text))
+    repeated = [r for i, r in enumerate(data) for _ in range(1 + i % 3)]
+    done = suffix_dedup.dedup_passages(table(spark, repeated), length=20, gram=6, hot_segments=hot, sorted_windows=100)
+    found = done.collect()
+    assert len(found) == len(repeated)
+    texts = [t.encode() for _, t in data]
+    want = {i: bytes(np.frombuffer(t, np.uint8)[~g]) for (i, _), t, g in zip(data, texts, brute(texts, 20), strict=True)}
+    assert all(bytes(r.kept) == want[r.row.doc_id] for r in found)
+
+
 def test_text_output_drops_cut_characters(spark):
     data = [(1, "x" * 99 + "é" + "y" * 120), (2, "q" + "©" + "y" * 120)]
     done = {r.row.doc_id: r for r in suffix_dedup.dedup_passages(table(spark, data), length=121, as_text=True).collect()}
