@@ -51,4 +51,23 @@ SELECT d.doc_id, any_value(d.n) AS n_bytes, any_value(coalesce(g.gone, 0)) AS n_
 FROM d LEFT JOIN (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS gone, count(*) AS k FROM spans GROUP BY 1) g USING (doc_id)
 JOIN pieces p USING (doc_id) GROUP BY 1"""
 
-ORACLES: dict[str, str] = {"op4_line_dedup": LINE_DEDUP, "op7_suffix_array_dedup": PASSAGES}
+#: Every anchor against every row.
+NEGATIVES = r"""
+WITH e AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)),
+met AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+        CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+    FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM met WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN met USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 10"""
+
+ORACLES: dict[str, str] = {"op4_line_dedup": LINE_DEDUP, "op7_suffix_array_dedup": PASSAGES, "op11_hard_negatives": NEGATIVES}

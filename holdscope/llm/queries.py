@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdscope.llm import fingerprints, language_id, line_dedup, lm_scoring, packing, piece_encoding, rp_forest, simhash_trie, suffix_dedup, token_shards
+from holdscope.llm import (
+    byte_encoding,
+    fingerprints,
+    hard_negatives,
+    language_id,
+    line_dedup,
+    lm_scoring,
+    merkle_manifest,
+    packing,
+    piece_encoding,
+    rp_forest,
+    simhash_trie,
+    suffix_dedup,
+    token_shards,
+)
 from holdscope.llm.common import crc_remainder
 from holdscope.llm.oracles import ORACLES  # noqa: F401
 
@@ -120,3 +134,30 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_token_shards")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.write_shards(documents(spark, sf_dir), word_bpe())[0]
+
+
+@query("op11_hard_negatives")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("bigint")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 100 == 0, noisy)
+
+
+@query("op12_byte_bpe")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_encoding.encode_decode(documents(spark, sf_dir), vocabulary, public_tokenizers.PATTERN)
+    return encoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op13_merkle_manifest")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    found = merkle_manifest.manifest(documents(spark, sf_dir), tampered, F.translate("text", "\n", ""))
+    proof = F.sha2(F.array_join("path", ""), 256).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")

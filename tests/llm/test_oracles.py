@@ -17,5 +17,5 @@ def test_query_against_sql(spark, name):
 
 def test_one_query_per_operator():
     names = entry.queries()
-    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14)) and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
