@@ -350,34 +350,96 @@ def kmeans_assign(d: Domain) -> DataFrame:
     return rounded(clustering.assign(v, wide, *clustering.measured(wide, k)), "d2")
 
 
-@query(sql("SELECT CAST(cluster_id AS INTEGER) AS cluster_id, feature, round(value, 6) AS value FROM c2",
-           "vectors", "vector_labels",
-           extra=(MEANS, assign_sql("l1", "means"), update_sql("c1", "l1", "means"),
-                  assign_sql("l2", "c1"), update_sql("c2", "l2", "c1"))))
-def kmeans_warm_two_rounds(d: Domain) -> DataFrame:
+# Whole k-means runs by recursion: a state row per k and round, with the centres as a list of vectors.
+VECS = ("vecs", "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings")
+
+
+def draw_sql(seed: int, turn: int) -> str:
+    return f"(CAST('0x' || substr(md5('{seed}:{turn}:' || id), 1, 13) AS BIGINT) + 1) / 4503599627370496.0"
+
+
+def plus_plus_sql(seed: int, k: int) -> list[tuple[str, str]]:
+    """The products drawn, ``p0`` to ``p{k-1}``, with the squared distances to the nearest so far."""
+    out = [
+        ("p0", f"SELECT id, x FROM vecs ORDER BY {draw_sql(seed, 0)}, id LIMIT 1"),
+        ("d0", "SELECT v.id, v.x, list_distance(v.x, p.x) ** 2 AS d2 FROM vecs v, p0 p"),
+    ]
+    for t in range(1, k):
+        u = draw_sql(seed, t)
+        key = f"d2 <= 0, CASE WHEN d2 > 0 THEN -ln({u}) / d2 ELSE {u} END, id"
+        out.append((f"p{t}", f"SELECT id, x FROM d{t - 1} ORDER BY {key} LIMIT 1"))
+        out.append((f"d{t}", f"SELECT v.id, v.x, least(v.d2, list_distance(v.x, p.x) ** 2) AS d2 FROM d{t - 1} v, p{t} p"))
+    return out
+
+
+def picked_sql(ks: list[int]) -> str:
+    return " UNION ALL ".join(f"SELECT {k} AS k, [{', '.join(f'(SELECT x FROM p{t})' for t in range(k))}] AS c" for k in ks)
+
+
+def lloyd_sql(parts: list[tuple[str, str]], starts: str, body: str, empty: str = "far", tol: float = 1e-4, rounds: int = 100) -> str:
+    """``body`` over ``last`` (k, it, c, new) and ``labels`` (k, it, id, cluster_id, d2) of runs from ``starts`` (k, c).
+
+    A cluster without members gets ``empty``: ``far``, the vector farthest from all centres, or ``c[j]``, its old centre.
+    """
+    loops = f"""SELECT k, 0 AS it, c, c AS old, 1e9 AS moved FROM ({starts}) UNION ALL
+        SELECT k, it + 1, m, c, sqrt(list_sum(list_transform(range(1, len(c) + 1), lambda j: list_distance(m[j], c[j]) ** 2)))
+        FROM (SELECT k, it, c, list_transform(range(1, len(c) + 1), lambda j: coalesce(means[j], {empty})) AS m FROM (
+            SELECT k, it, any_value(c) AS c, map_from_entries(list((j, m))) AS means, arg_max(far, top) AS far FROM (
+                SELECT k, it, j, any_value(c) AS c, list(a ORDER BY i) AS m, arg_max(far, top) AS far, max(top) AS top FROM (
+                    SELECT k, it, j, i, any_value(c) AS c, avg(x[i]) AS a, arg_max(x, low) AS far, max(low) AS top FROM (
+                        SELECT k, it, c, x, list_position(ds, list_min(ds)) AS j, list_min(ds) AS low,
+                            unnest(range(1, len(x) + 1)) AS i
+                        FROM (SELECT l.k, l.it, l.c, v.x, list_transform(l.c, lambda y: list_distance(v.x, y)) AS ds
+                              FROM loops l, vecs v WHERE l.moved >= {tol} AND l.it < {rounds}))
+                    GROUP BY k, it, j, i) GROUP BY k, it, j) GROUP BY k, it))"""
+    last = "SELECT k, it, old AS c, c AS new FROM loops QUALIFY row_number() OVER (PARTITION BY k ORDER BY it DESC) = 1"
+    labels = """SELECT k, it, id, list_position(ds, list_min(ds)) - 1 AS cluster_id, list_min(ds) ** 2 AS d2 FROM (
+        SELECT l.k, l.it, v.id, list_transform(l.c, lambda y: list_distance(v.x, y)) AS ds FROM last l, vecs v)"""
+    named = [VECS, *parts, ("loops", loops), ("last", last), ("labels", labels)]
+    ctes = [f"{n} AS {'' if n == 'loops' else 'MATERIALIZED '}({b})" for n, b in named]
+    return "WITH RECURSIVE " + ", ".join(ctes) + " " + body
+
+
+WARM = "SELECT max(cluster_id) + 1 AS k, list(m ORDER BY cluster_id) AS c FROM label_means"
+LABEL_MEANS = ("label_means", """SELECT cluster_id, list(a ORDER BY i) AS m FROM (
+    SELECT label AS cluster_id, i, avg(CAST(embedding[i] AS DOUBLE)) AS a
+    FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1""")
+
+
+@query(lloyd_sql([LABEL_MEANS], WARM, """SELECT CAST(j - 1 AS INTEGER) AS cluster_id, format('f{:02d}', CAST(i - 1 AS INTEGER))
+    AS feature, round(new[j][i], 6) AS value FROM (SELECT new, j, unnest(range(1, len(new[j]) + 1)) AS i
+    FROM (SELECT new, unnest(range(1, len(new) + 1)) AS j FROM last))""", "c[j]"))
+def kmeans_warm_centroids(d: Domain) -> DataFrame:
     v, wide, k = label_start(d)
-    result = clustering.kmeans_from(v, wide, k, max_iter=2, tol=0.0)
+    result = clustering.kmeans_from(v, wide, k)
     return rounded(clustering.long_centroids(result.centroids, k), "value")
 
 
-@query(sql("SELECT 2 AS n_iter, round(sum(d2), 6) AS inertia FROM l2", "vectors", "vector_labels",
-           extra=(MEANS, assign_sql("l1", "means"), update_sql("c1", "l1", "means"), assign_sql("l2", "c1"))))
+@query(lloyd_sql([LABEL_MEANS], WARM, "SELECT max(it) AS n_iter, round(sum(d2), 6) AS inertia FROM labels", "c[j]"))
 def kmeans_warm_inertia(d: Domain) -> DataFrame:
     v, wide, k = label_start(d)
-    result = clustering.kmeans_from(v, wide, k, max_iter=2, tol=0.0)
+    result = clustering.kmeans_from(v, wide, k)
     return d.spark.createDataFrame([(result.n_iter, round(result.inertia, 6))], "n_iter INT, inertia DOUBLE")
 
 
-@query()
+SIZES = """SELECT CAST(cluster_id AS INTEGER) AS cluster_id, count(*) AS size, round(sum(d2), 6) AS inertia
+    FROM labels GROUP BY 1"""
+
+
+def _cluster_sizes(result: clustering.Clustering) -> DataFrame:
+    found = result.labels.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.sum("d2").alias("inertia"))
+    return rounded(found, "inertia")
+
+
+@query(lloyd_sql(plus_plus_sql(42, 4), picked_sql([4]), SIZES))
 def kmeans_full(d: Domain) -> DataFrame:
-    result = clustering.kmeans(d.vectors(), 4)
-    return result.labels.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.sum("d2").alias("inertia"))
+    return _cluster_sizes(clustering.kmeans(d.vectors(), 4))
 
 
-@query()
+@query(lloyd_sql([], f"SELECT 4 AS k, list(x ORDER BY u, id) AS c FROM (SELECT *, {draw_sql(7, 0)} AS u FROM vecs ORDER BY u, id LIMIT 4)",
+                 SIZES))
 def kmeans_random_start(d: Domain) -> DataFrame:
-    result = clustering.kmeans(d.vectors(), 4, seed=7, init="random")
-    return result.labels.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.sum("d2").alias("inertia"))
+    return _cluster_sizes(clustering.kmeans(d.vectors(), 4, seed=7, init="random"))
 
 
 @query(sql("""SELECT d.product_id, d.cluster_id, round(sqrt(sum((v.weight - m.value) * (v.weight - m.value))), 6)
@@ -418,13 +480,32 @@ def silhouette_by_label(d: Domain) -> DataFrame:
     return rounded(selection.silhouettes(d.vectors(), [d.vector_labels()]), "silhouette").select("silhouette")
 
 
-@query()
+K_SEARCH = lloyd_sql(plus_plus_sql(42, 12), picked_sql(list(range(3, 13))), """,
+    dist AS MATERIALIZED (SELECT a.id AS i, b.id AS j, list_distance(a.x, b.x) AS d FROM vecs a, vecs b),
+    sums AS (SELECT x.k, i, x.cluster_id AS own, y.cluster_id AS other, sum(d) AS s, count(*) AS n
+        FROM dist JOIN labels x ON x.id = i JOIN labels y ON y.id = j AND y.k = x.k GROUP BY ALL),
+    scores AS (SELECT k, avg(CASE WHEN greatest(a, b) <> 0 THEN (b - a) / greatest(a, b) END) AS silhouette FROM (
+        SELECT k, i, coalesce(max(CASE WHEN own = other AND n > 1 THEN s / (n - 1) END), 0) AS a,
+            min(CASE WHEN own <> other THEN s / n END) AS b FROM sums GROUP BY 1, 2) GROUP BY 1),
+    searched AS (SELECT k, max(it) AS n_iter, sum(d2) AS inertia, any_value(silhouette) AS silhouette
+        FROM labels JOIN scores USING (k) GROUP BY 1),
+    curved AS (SELECT *, coalesce(2 * ln(inertia) - lag(ln(inertia)) OVER w - lead(ln(inertia)) OVER w, 0) AS curvature
+        FROM searched WINDOW w AS (ORDER BY k)),
+    scaled AS (SELECT *, (silhouette - min(silhouette) OVER ()) / (max(silhouette) OVER () - min(silhouette) OVER ()) AS sn,
+        (curvature - min(curvature) OVER ()) / (max(curvature) OVER () - min(curvature) OVER ()) AS cn FROM curved)
+    SELECT CAST(k AS INTEGER) AS k, round(inertia, 6) AS inertia, round(silhouette, 6) AS silhouette, n_iter,
+        round(curvature, 6) AS curvature, round(sn, 6) AS silhouette_norm, round(cn, 6) AS curvature_norm,
+        round(sn + 0.3 * cn, 6) AS composite FROM scaled""").replace(") ,", "),")
+
+
+@query(K_SEARCH)
 def k_search_composite(d: Domain) -> DataFrame:
     s = Settings()
     table, _ = selection.search_k(
         d.vectors(), range(s.k_min, s.k_max + 1), seed=s.random_seed, max_iter=s.max_iter, tol=s.tol
     )
-    return selection.composite_scores(table, s.elbow_weight)
+    scored = selection.composite_scores(table, s.elbow_weight)
+    return rounded(scored, "inertia", "silhouette", "curvature", "silhouette_norm", "curvature_norm", "composite")
 
 
 # Drift between two report years: centroids per nation on the older year's holdings.

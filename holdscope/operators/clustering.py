@@ -120,9 +120,27 @@ def assign(points: DataFrame, wide: DataFrame, norms: list[float], small: bool =
 
 
 def _uniform(seed: int, turn: int) -> Column:
-    """A repeatable number in (0, 1] per product, independent of partitioning."""
-    h = F.xxhash64(F.lit(seed), F.lit(turn), F.col("product_id").cast("string"))
-    return (F.pmod(h, F.lit(1 << 52)) + 1).cast("double") / float(1 << 52)
+    """A repeatable number in (0, 1] per product, independent of partitioning: 52 bits of an md5."""
+    text = F.concat(F.lit(f"{seed}:{turn}:"), F.col("product_id").cast("string"))
+    bits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+    return (bits + 1).cast("double") / float(1 << 52)
+
+
+def draw_first(products: DataFrame, seed: int):
+    """The product with the smallest draw."""
+    return products.agg(F.min_by("product_id", F.struct(_uniform(seed, 0), "product_id"))).first()[0]
+
+
+def draw_next(distances_: DataFrame, seed: int, turn: int):
+    """A product drawn with weight ``d2``: the smallest ``-ln(u) / d2``; the smallest ``u`` when all are zero."""
+    u = _uniform(seed, turn)
+    key = F.when(F.col("d2") > 0, -F.log(u) / F.col("d2"))
+    row = distances_.agg(
+        F.min_by("product_id", F.struct(key.isNull(), key, F.col("product_id"))).alias("far"),
+        F.min_by("product_id", F.struct(u, F.col("product_id"))).alias("any"),
+        F.max("d2").alias("top"),
+    ).first()
+    return row["far"] if row["top"] > 0 else row["any"]
 
 
 def _as_centroids(points: DataFrame, picks: list) -> DataFrame:
@@ -143,26 +161,15 @@ def seed_random(points: DataFrame, k: int, seed: int) -> DataFrame:
 def seed_plus_plus(points: DataFrame, k: int, seed: int) -> DataFrame:
     """k-means++ start: each next centre is drawn with weight d² to the nearest one so far.
 
-    A weighted draw is the row with the smallest ``-ln(u) / d²``, one min-aggregate per
-    centre. When every distance is zero the smallest ``u`` is taken.
+    One aggregate per centre.
     """
-    first = points.select("product_id").distinct().agg(
-        F.min_by("product_id", F.struct(_uniform(seed, 0), "product_id"))
-    )
-    picks = [first.first()[0]]
+    picks = [draw_first(points, seed)]
     while len(picks) < k:
         wide = _as_centroids(points, picks)
         low, _ = _nearest(len(picks))
         wide = cut_lineage(wide)
         d = distances(points, wide, *measured(wide, len(picks))).selectExpr("product_id", f"{low} AS d2")
-        u = _uniform(seed, len(picks))
-        key = F.when(F.col("d2") > 0, -F.log(u) / F.col("d2"))
-        row = d.agg(
-            F.min_by("product_id", F.struct(key.isNull(), key, F.col("product_id"))).alias("far"),
-            F.min_by("product_id", F.struct(u, F.col("product_id"))).alias("any"),
-            F.max("d2").alias("top"),
-        ).first()
-        picks.append(row["far"] if row["top"] > 0 else row["any"])
+        picks.append(draw_next(d, seed, len(picks)))
     return _as_centroids(points, picks)
 
 

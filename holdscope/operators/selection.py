@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from holdscope.operators import silhouette as bounded
 from holdscope.operators.clustering import Clustering, kmeans_of, prepare
+from holdscope.operators.kmeans_many import kmeans_many
+from holdscope.operators.packed import pack
 from holdscope.session import cut_lineage, ship_package
 
 BLOCK_ROWS = 512
@@ -70,30 +73,18 @@ def _block_sums(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataF
     return pd.concat(pieces)[columns]
 
 
-def silhouettes(points: DataFrame, labelings: list[DataFrame], block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Mean Euclidean silhouette of several labelings in one pass: (run, silhouette).
-
-    Each labeling is (product_id, cluster_id); ``run`` is its position in the list. The score
-    needs every pairwise distance, so the work is quadratic in products. It is cut into
-    tasks of two blocks of a fixed size, each pair of blocks once, that return one row per
-    (product, label), never a pair. A product alone in its cluster has a = 0. The score is NULL with fewer than two
-    labels or with as many labels as products.
-    """
+def _all_pairs(points: DataFrame, labeled: DataFrame, n: int, block_rows: int) -> DataFrame:
+    """Distance sums of every product to every label, from all pairs of blocks."""
     vectors = points.groupBy("product_id").agg(
         F.sort_array(F.collect_list(F.struct(F.col("feature").cast("string").alias("f"), "weight"))).alias("v")
     )
-    runs = None
-    for i, one in enumerate(labelings):
-        part = one.select("product_id", F.col("cluster_id").cast("long").alias(f"l{i}"))
-        runs = part if runs is None else runs.join(part, "product_id")
-    packed = runs.join(vectors, "product_id").select(
+    packed = labeled.join(vectors, "product_id").select(
         "product_id",
-        F.array(*[F.col(f"l{i}") for i in range(len(labelings))]).alias("labels"),
+        "labels",
         F.transform("v", lambda x: x["f"]).alias("features"),
         F.transform("v", lambda x: x["weight"]).alias("weights"),
     )
     packed = cut_lineage(packed)
-    n = packed.count()
     blocks = max(1, -(-n // block_rows))
     block = F.pmod(F.xxhash64(F.col("product_id").cast("string")), F.lit(blocks)).cast("int")
     left = packed.withColumn("bi", block).withColumn("bj", F.explode(F.sequence(F.col("bi"), F.lit(blocks - 1))))
@@ -105,10 +96,42 @@ def silhouettes(points: DataFrame, labelings: list[DataFrame], block_rows: int =
         .cogroup(right.groupBy("bi", "bj"))
         .applyInPandas(_block_sums, f"product_id {id_type}, run int, other long, total double, members long")
     )
-    per_label = partial.groupBy("product_id", "run", "other").agg(
+    return partial.groupBy("product_id", "run", "other").agg(
         F.sum("total").alias("total"), F.sum("members").alias("members")
     )
-    own = packed.select("product_id", F.posexplode("labels").alias("run", "own"))
+
+
+def label_sums(points: DataFrame, labelings: list[DataFrame], block_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(product_id, run, other, total, members) of the clusters each product has to visit, and (product_id, labels).
+
+    While centres of all clusters may be broadcast, products visit their own cluster and those that may be the nearest
+    other one; beyond that, all pairs of blocks are computed.
+    """
+    labeled = None
+    for i, one in enumerate(labelings):
+        part = one.select("product_id", F.col("cluster_id").cast("long").alias(f"l{i}"))
+        labeled = part if labeled is None else labeled.join(part, "product_id")
+    labeled = labeled.join(points.select("product_id").distinct(), "product_id", "left_semi")
+    labeled = cut_lineage(labeled.select("product_id", F.array(*[F.col(f"l{i}") for i in range(len(labelings))]).alias("labels")))
+    sizes = labeled.select(F.posexplode("labels").alias("run", "own")).groupBy("run", "own").count()
+    packed = pack(points, max(1, sizes.count()))
+    if packed is None:
+        return _all_pairs(points, labeled, labeled.count(), block_rows or BLOCK_ROWS), labeled
+    counted = {(r["run"], r["own"]): r["count"] for r in sizes.collect()}
+    names = [sorted(own for run, own in counted if run == i) for i in range(len(labelings))]
+    return bounded.mean_sums(packed, labeled, names, counted, block_rows or bounded.BLOCK_ROWS), labeled
+
+
+def silhouettes(points: DataFrame, labelings: list[DataFrame], block_rows: int | None = None) -> DataFrame:
+    """Mean Euclidean silhouette of several labelings in one pass: (run, silhouette).
+
+    Each labeling is (product_id, cluster_id); ``run`` is its position in the list. A product visits the clusters that can
+    decide its score, in blocks of bounded size, and returns one row per (product, label), never a pair. A product alone in
+    its cluster has a = 0. The score is NULL with fewer than two labels or with as many labels as products.
+    """
+    per_label, labeled = label_sums(points, labelings, block_rows)
+    n = labeled.count()
+    own = labeled.select("product_id", F.posexplode("labels").alias("run", "own"))
     same = F.col("other") == F.col("own")
     scores = (
         per_label.join(own, ["product_id", "run"])
@@ -130,6 +153,12 @@ def silhouettes(points: DataFrame, labelings: list[DataFrame], block_rows: int =
     )
 
 
+def visited_share(points: DataFrame, labels: DataFrame) -> float:
+    """Clusters that products visit, their own included, as a share of products times clusters."""
+    visits, labeled = label_sums(points, [labels])
+    return visits.count() / (labeled.count() * labels.select("cluster_id").distinct().count())
+
+
 def silhouette(points: DataFrame, labels: DataFrame) -> float | None:
     """Mean silhouette of one labeling."""
     return silhouettes(points, [labels]).first()["silhouette"]
@@ -140,14 +169,20 @@ def search_k(
 ) -> tuple[DataFrame, dict[int, Clustering]]:
     """k-means for every k and one shared silhouette pass: (k, inertia, silhouette, n_iter).
 
-    The points are laid out once for all k. An undefined silhouette counts as -1.
+    One loop carries the centres of all k; where these may not be broadcast together, each k runs on its own. An undefined
+    silhouette counts as -1.
     """
-    laid = prepare(points)
-    try:
-        n = laid.select("product_id").distinct().count()
-        runs = {k: kmeans_of(laid, n, k, seed, max_iter, tol) for k in ks}
-    finally:
-        laid.unpersist()
+    ks = list(ks)
+    packed = pack(points, sum(ks))
+    if packed is not None:
+        runs = kmeans_many(packed, ks, seed, max_iter, tol)
+    else:
+        laid = prepare(points)
+        try:
+            n = laid.select("product_id").distinct().count()
+            runs = {k: kmeans_of(laid, n, k, seed, max_iter, tol) for k in ks}
+        finally:
+            laid.unpersist()
     scores = {
         r["run"]: r["silhouette"] for r in silhouettes(points, [c.labels for c in runs.values()]).collect()
     }

@@ -17,7 +17,7 @@ from holdscope.catalogue import ORACLES, QUERIES
 FOLDER = "/root/testdata/sf0.001"
 MORE = (
     "product_search_page", "filter_menus", "fetch_work_list", "recent_failures", "last_rows_per_symbol",
-    "market_breakdown", "share_class_map", "concentration_hhi", "industry_update_counts", "kmeans_warm_two_rounds",
+    "market_breakdown", "share_class_map", "concentration_hhi", "industry_update_counts", "kmeans_warm_centroids",
     "distance_histogram", "drift_checks", "centroid_alignment", "cluster_representatives", "run_members",
     "run_comparison", "superseded_runs", "replace_rows", "close_stale_jobs", "product_feed_citic",
     "product_feed_funds", "index_weight_file", "summary_of_latest_quarter", "brinson_index_benchmark",

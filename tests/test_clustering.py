@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from holdscope.operators import baseline, clustering, selection
+from holdscope.operators import baseline, clustering, kmeans_many, selection
+from holdscope.operators.packed import Centres, Sparse, pack
 
 
 def blobs(seed, centres, sd, each, extra=0):
@@ -199,3 +200,61 @@ def test_feature_jaccard_of_empty_sets(spark):
     some = spark.createDataFrame([("a",)], "feature STRING")
     assert baseline.feature_jaccard(none, none).first()[0] == 1.0
     assert baseline.feature_jaccard(none, some).first()[0] == 0.0
+
+
+def test_all_k_in_one_loop_equal_single_runs(spark):
+    x = blobs(3, [*THREE, (10.0, 10.0), (5.0, 5.0)], 1.5, 15, extra=3)
+    points = frame(spark, x)
+    packed = pack(points, 20)
+    many = kmeans_many.kmeans_many(packed, [2, 3, 5, 6], 42, 100, 1e-4)
+    for k, got in many.items():
+        one = clustering.kmeans(points, k)
+        assert (labels_of(got) == labels_of(one)).all()
+        assert (got.n_iter, got.inertia) == (one.n_iter, pytest.approx(one.inertia))
+        cells = lambda r: {(c["cluster_id"], c["feature"]): c["value"] for c in clustering.long_centroids(r.centroids, k).collect()}
+        assert cells(got) == pytest.approx(cells(one))
+        assert got.labels.agg({"d2": "sum"}).first()[0] == pytest.approx(got.inertia)
+    with pytest.raises(ValueError):
+        kmeans_many.kmeans_many(packed, [2, len(x) + 1], 42, 100, 1e-4)
+
+
+def test_an_emptied_cluster_in_the_loop(spark):
+    # Ten equal products: all but one of the centres drawn lose all members.
+    points = spark.createDataFrame([(i, "a", 1.0) for i in range(10)] + [(10, "b", 2.0)], "product_id LONG, feature STRING, weight DOUBLE")
+    many = kmeans_many.kmeans_many(pack(points, 10), [2, 3, 4], 1, 20, 1e-4)
+    for k, got in many.items():
+        one = clustering.kmeans(points, k, 1, 20)
+        assert (labels_of(got) == labels_of(one)).all()
+        assert got.inertia == pytest.approx(one.inertia)
+
+
+def test_triangle_inequality_rules_out_distances_only(spark):
+    rng = np.random.default_rng(0)
+    x = blobs(5, [*THREE, (10.0, 10.0)], 0.4, 50)
+    rows = pack(frame(spark, x), 20).rows.toArrow()
+    sparse = Sparse(rows)
+    groups = [x[rng.choice(len(x), k, replace=False)] for k in (2, 3, 8, 5)]
+    labels, d2, computed = Centres(np.concatenate(groups), np.cumsum([0, 2, 3, 8, 5]).tolist()).nearest(sparse)
+    order = np.array(rows.column("product_id").to_pylist())
+    for g, centres in enumerate(groups):
+        full = ((x[order][:, None] - centres[None]) ** 2).sum(axis=2)
+        assert (labels[:, g] == full.argmin(axis=1)).all()
+        assert d2[:, g] == pytest.approx(full.min(axis=1), abs=1e-9)
+    assert computed < 0.8 * len(x) * 18
+
+
+def test_without_room_for_the_centres(spark, monkeypatch):
+    x = blobs(7, THREE, 0.4, 8)
+    points = frame(spark, x)
+    table, runs = selection.search_k(points, [2, 3])
+    monkeypatch.setattr(selection, "pack", lambda points, centres: None)
+    other, others = selection.search_k(points, [2, 3])
+    for a, b in zip(sorted(table.collect()), sorted(other.collect()), strict=True):
+        assert list(a) == pytest.approx(list(b))
+
+
+def test_far_clusters_are_not_visited(spark):
+    x = blobs(2, [(0.0, 0.0), (100.0, 0.0), (0.0, 100.0), (3.0, 0.0), (200.0, 200.0)], 0.3, 12)
+    labels = spark.createDataFrame([(i, i // 12) for i in range(len(x))], "product_id LONG, cluster_id INT")
+    assert selection.silhouette(frame(spark, x), labels) == pytest.approx(brute_silhouette(x, np.arange(60) // 12))
+    assert selection.visited_share(frame(spark, x), labels) <= 0.44
