@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdscope.llm.common import map_batches
+from holdscope.llm.common import map_batches, ragged_ranges
 
 #: White space as a pattern of the tokenizer has it; Python's own ``\s`` has four control characters more.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -32,6 +32,8 @@ KEPT_CHARS = 64
 SIDE_BY_SIDE, PIECES = 40, 1 << 17
 #: Pairs of tokens whose standing is remembered.
 KEPT_PAIRS = 1 << 18
+#: Tokens spelled out at a time.
+SPELLED = 1 << 18
 #: Bytes of decoded text in a batch of results.
 BATCH_BYTES = 8 << 20
 #: The longest look ahead of the pattern behind the end of a match.
@@ -310,7 +312,7 @@ class SideBySide:
 
 
 class ByteTable:
-    """Chunk to ids, as little-endian unsigned 32-bit integers, and to decoded bytes. A chunk is what stands between white space."""
+    """Chunk to ids, as little-endian unsigned 32-bit integers. A chunk is what stands between white space."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks = Ranks(path)
@@ -320,62 +322,78 @@ class ByteTable:
         # Whether letters are one match, with or without a space in front.
         self.letters = all(self.find(w) == [w] for w in ("a", " a", "Zq", " straßeÉ中ʰ", "ǅé"))
         self.ids: dict[str, bytes] = {}
-        self.decoded: dict[str, bytes] = {}
-        self._older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
-
-    def _pieces(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Ids and decoded bytes of each piece."""
-        rank, token = self.ranks.rank, self.ranks.token
-        short = [p for p in pieces if len(p) <= SIDE_BY_SIDE and p not in rank]
-        found: dict[bytes, tuple[bytes, bytes]] = {}
+        self._older: dict[str, bytes] = {}
+        # All tokens end to end, and where each begins.
+        tokens = [self.ranks.token.get(i, b"") for i in range(len(self.many.size))]
+        self._spelled = np.frombuffer(b"".join(tokens), np.uint8)
+        self._begin = np.cumsum(self.many.size) - self.many.size
+
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of each piece."""
+        rank = self.ranks.rank
+        out: list[bytes] = [b""] * len(pieces)
+        short, prefixes = [], Prefixes(self.ranks)
+        for i, piece in enumerate(pieces):
+            alone = rank.get(piece)
+            if alone is not None:
+                out[i] = alone.to_bytes(4, "little")
+            elif len(piece) <= SIDE_BY_SIDE:
+                short.append(i)
+            else:
+                prefixes.replace(piece)
+                out[i] = np.array(prefixes.ids(), "<u4").tobytes()
         for at in range(0, len(short), PIECES):
             some = short[at : at + PIECES]
-            ids, counts = self.many.ids(some)
-            stop = np.cumsum(counts)
-            end = np.concatenate([[0], np.cumsum(self.many.size[ids])])[stop].tolist()
-            packed, decoded = ids.astype("<u4").tobytes(), b"".join([token[i] for i in ids.tolist()])
-            stop = (4 * stop).tolist()
-            cuts = zip([0, *stop], stop, [0, *end], end, strict=False)
-            found.update(zip(some, [(packed[a:b], decoded[c:d]) for a, b, c, d in cuts], strict=True))
-        prefixes = Prefixes(self.ranks)
-        for piece in pieces:
-            entry = found.get(piece)
-            if entry is None:
-                ids = [rank[piece]] if piece in rank else (prefixes.replace(piece), prefixes.ids())[1]
-                entry = np.array(ids, "<u4").tobytes(), b"".join([token[i] for i in ids])
-            yield entry
+            ids, counts = self.many.ids([pieces[i] for i in some])
+            packed, begin = ids.astype("<u4").tobytes(), 0
+            for i, end in zip(some, (4 * np.cumsum(counts)).tolist(), strict=True):
+                out[i] = packed[begin:end]
+                begin = end
+        return out
 
     def _learn(self, chunks: set[str]) -> None:
-        alone = {c for c in chunks if (c[1:] if c[0] == " " else c).isalpha()} if self.letters else set()
-        split = {c: self.find(c) for c in chunks - alone}
-        pieces = list(alone.union(*split.values()))
+        alone = [c for c in chunks if (c[1:] if c[0] == " " else c).isalpha()] if self.letters else []
+        rest = list(chunks.difference(alone))
+        split = [self.find(c) for c in rest]
+        pieces = list(set(alone).union(*split))
         entry = dict(zip(pieces, self._pieces([p.encode() for p in pieces]), strict=True))
+        found = self.ids
         for chunk in alone:
-            self.ids[chunk], self.decoded[chunk] = entry[chunk]
-        for chunk, some in split.items():
-            entries = [entry[p] for p in some]
-            self.ids[chunk] = b"".join([e[0] for e in entries])
-            self.decoded[chunk] = b"".join([e[1] for e in entries])
-
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
-        """Ids and decoded bytes of each text; none of either for a null."""
+            found[chunk] = entry[chunk]
+        for chunk, some in zip(rest, split, strict=True):
+            found[chunk] = b"".join([entry[p] for p in some])
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of each text; none for a null."""
         cut = [self.cut(t) if t else [] for t in texts]
         wanted = set().union(*cut)
         new = wanted - self.ids.keys()
         if len(self.ids) + len(new) > TABLE_CHUNKS:
-            self._older = self.ids, self.decoded
-            self.ids, self.decoded = {}, {}
+            self._older, self.ids = self.ids, {}
             new = wanted
-        old = new & self._older[0].keys()
-        for kept, older in zip((self.ids, self.decoded), self._older, strict=True):
-            kept.update((c, older[c]) for c in old)
+        old = new & self._older.keys()
+        self.ids.update((c, self._older[c]) for c in old)
         self._learn(new - old)
-        ids, decoded = self.ids.__getitem__, self.decoded.__getitem__
-        for chunks in cut:
-            yield b"".join(map(ids, chunks)), b"".join(map(decoded, chunks))
+        found = self.ids.__getitem__
+        out = [b"".join(map(found, chunks)) for chunks in cut]
         for chunk in new:
             if len(chunk) > KEPT_CHARS:
-                del self.ids[chunk], self.decoded[chunk]
+                del self.ids[chunk]
+        return out
+
+    def decode(self, packed: list[bytes]) -> Iterator[bytes]:
+        """The bytes that the ids of each text stand for."""
+        ids = np.frombuffer(b"".join(packed), "<u4").astype(np.int64)
+        sizes = self.many.size[ids]
+        spelled = b"".join(
+            self._spelled[ragged_ranges(self._begin[ids[i : i + SPELLED]], sizes[i : i + SPELLED])].tobytes()
+            for i in range(0, len(ids), SPELLED)
+        )
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(p) // 4 for p in packed], dtype=np.int64)]
+        begin = 0
+        for end in ends.tolist():
+            yield spelled[begin:end]
+            begin = end
 
 
 @lru_cache(maxsize=2)
@@ -400,7 +418,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
         for batch in batches:
             texts = batch.column("text").to_pylist()
             begin, found, size = 0, [], 0
-            for i, entry in enumerate(table.encode(texts)):
+            packed = table.encode(texts)
+            for i, entry in enumerate(zip(packed, table.decode(packed), strict=True)):
                 found.append(entry)
                 size += len(entry[0]) + len(entry[1])
                 if size >= BATCH_BYTES or i == len(texts) - 1:

@@ -27,8 +27,8 @@ def library(table):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table.ranks.rank, special_tokens={})
 
 
-def _ids(entry):
-    return np.frombuffer(entry[0], "<u4").tolist()
+def _ids(packed):
+    return np.frombuffer(packed, "<u4").tolist()
 
 
 def test_characters(table, library):
@@ -77,12 +77,14 @@ def test_small_table_gives_the_same(table, library, monkeypatch):
     small = ByteTable(PATH, PATTERN)
     for _ in range(30):
         texts = ["".join(rnd.choice(ALPHABET) for _ in range(rnd.randint(0, 120))) for _ in range(8)]
-        assert [_ids(e) for e in small.encode(texts)] == [library.encode_ordinary(t) for t in texts]
+        packed = small.encode(texts)
+        assert [_ids(p) for p in packed] == [library.encode_ordinary(t) for t in texts]
+        assert list(small.decode(packed)) == [t.encode() for t in texts]
 
 
 def test_edge_rows(spark, library):
     found = byte_encoding.encode_decode(edges.table(spark), PATH, PATTERN).collect()
-    got = sorted((r["doc_id"] or 0, _ids((bytes(r["ids"]),)), bytes(r["decoded"])) for r in found)
+    got = sorted((r["doc_id"] or 0, _ids(bytes(r["ids"])), bytes(r["decoded"])) for r in found)
     wanted = [(i or 0, library.encode_ordinary(t or ""), (t or "").encode()) for i, t in edges.rows()]
     assert got == sorted(wanted)
     assert byte_encoding.encode_decode(edges.table(spark).limit(0), PATH, PATTERN).collect() == []
