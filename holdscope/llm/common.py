@@ -31,7 +31,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.__dict__["_table_path"] = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of materialised tables. All that is made from them must be in files itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.__dict__["_table_path"])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Bytes of a batch that a Python worker is given at a time.
@@ -97,3 +107,23 @@ def packed_row(df: DataFrame, names: Sequence[str] | None = None) -> Column:
 def key_of(doc_id: Column, text: Column) -> Column:
     """A row's key: rows that repeat both id and text share it."""
     return F.xxhash64(doc_id, text)
+
+
+#: Bits of a bitmap of keys.
+BITMAP_BITS = 1 << 27
+
+
+def key_bitmap(keys: DataFrame) -> np.ndarray:
+    """A bitmap of the bigint column ``key``, of bounded size: keys that share a place are taken together."""
+    place = F.pmod("key", F.lit(BITMAP_BITS)) + 1
+    rows = keys.select(place.alias("p")).select(F.bitmap_bucket_number("p").alias("bucket"), F.bitmap_bit_position("p").alias("bit"))
+    out = np.zeros(BITMAP_BITS // 8, np.uint8)
+    for r in rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+        begin = (r["bucket"] - 1) * len(r["bits"])
+        out[begin : begin + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = np.mod(keys, BITMAP_BITS)
+    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & np.uint8(1) == 1
