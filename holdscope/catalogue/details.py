@@ -46,15 +46,17 @@ def cluster_holdings_named(d: Domain) -> DataFrame:
 @query(sql("""
     SELECT '{"cluster_run_id":"' || r.id || '","report_date":"' || CAST(r.report_date AS VARCHAR) || '","algorithm":"'
         || r.algorithm || '","k":' || CAST(r.k AS VARCHAR) || ',"n_products":' || CAST(r.n_products AS VARCHAR)
-        || ',"clusters":' || coalesce('[' || c.body || ']', 'null') || '}' AS json
+        || coalesce(c.body, '') || '}' AS json
     FROM runs r LEFT JOIN (
-        SELECT cluster_run_id, string_agg('{"cluster_id":' || CAST(cluster_id AS VARCHAR) || ',"size":'
-            || CAST(size AS VARCHAR) || ',"members":[' || coalesce(m.ids, '') || ']}', ',' ORDER BY cluster_id) AS body
+        SELECT cluster_run_id, ',"cluster_id":' || CAST(cluster_id AS VARCHAR) || ',"size":' || CAST(size AS VARCHAR)
+            || ',"part":' || CAST(coalesce(part, 0) AS VARCHAR) || ',"members":[' || coalesce(m.ids, '') || ']' AS body
         FROM run_clusters LEFT JOIN (
-            SELECT cluster_run_id, cluster_id, string_agg(CAST(product_id AS VARCHAR), ',' ORDER BY rn) AS ids FROM (
+            SELECT cluster_run_id, cluster_id, (rn - 1) // 1000 AS part, string_agg('{"product_id":'
+                || CAST(product_id AS VARCHAR) || ',"distance":"' || format('{:.6f}', round(distance_to_center, 6)) || '"}',
+                ',' ORDER BY rn) AS ids FROM (
                 SELECT *, row_number() OVER (PARTITION BY cluster_run_id, cluster_id
-                    ORDER BY distance_to_center NULLS LAST, product_id) AS rn FROM run_members) WHERE rn <= 50
-            GROUP BY 1, 2) m USING (cluster_run_id, cluster_id) GROUP BY 1) c ON c.cluster_run_id = r.id""",
+                    ORDER BY distance_to_center NULLS LAST, product_id) AS rn FROM run_members)
+            GROUP BY 1, 2, 3) m USING (cluster_run_id, cluster_id)) c ON c.cluster_run_id = r.id""",
            "runs", "run_clusters", "run_members"))
 def runs_as_json(d: Domain) -> DataFrame:
     return runs.run_payload(d.runs(), d.run_clusters(), d.run_members())

@@ -688,44 +688,81 @@ LABEL = r"""(SELECT string_agg(s, ' + ' ORDER BY r) FROM (SELECT s, min(rank) AS
     WHERE p <= 3)"""
 
 
+# Weights in texts are whole millionths, which both engines write alike.
+MILLIONTHS = "CAST(CAST(round(value * 1000000) AS BIGINT) AS VARCHAR)"
+
+
+def _overlap_sql(weight: str) -> str:
+    return f"""(SELECT cluster_id, sum(least(a.{weight}, b.{weight})) AS s
+        FROM (SELECT c.*, m.cluster_id FROM cells c JOIN members m USING (product_id)) a
+        JOIN (SELECT c.*, m.cluster_id FROM cells c JOIN members m USING (product_id)) b
+            USING (cluster_id, feature) WHERE a.product_id < b.product_id GROUP BY 1)"""
+
+
 @query(sql(f"""
     SELECT m.cluster_id, count(*) AS size, {LABEL} AS cluster_label, round(max(v.hhi), 6) AS avg_hhi,
         coalesce({LABEL}, '簇 #' || CAST(m.cluster_id AS VARCHAR)) AS display_label,
         round(CASE WHEN count(*) < 2 THEN 0 ELSE coalesce(max(p.s), 0) / (count(*) * (count(*) - 1) / 2) END, 6)
             AS avg_overlap_raw,
-        (SELECT string_agg(feature, ',' ORDER BY rank) FROM (SELECT feature, row_number() OVER (ORDER BY value DESC,
-            feature) AS rank FROM centroids c WHERE c.cluster_id = m.cluster_id) WHERE rank <= 10) AS top_assets,
-        (SELECT string_agg(CAST(product_id AS VARCHAR), ',' ORDER BY rank) FROM (SELECT product_id, row_number() OVER (
-            ORDER BY round(x, 9), product_id) AS rank FROM distances t WHERE t.cluster_id = m.cluster_id) WHERE rank <= 5)
+        round(CASE WHEN count(*) < 2 THEN 0 ELSE coalesce(max(q.s), 0) / (count(*) * (count(*) - 1) / 2) END, 6)
+            AS avg_overlap,
+        (SELECT string_agg(feature || ':' || {MILLIONTHS}, ',' ORDER BY rank) FROM (SELECT feature, value, row_number() OVER (
+            ORDER BY value DESC, feature) AS rank FROM centroids c WHERE c.cluster_id = m.cluster_id)
+            WHERE rank <= 10 AND value > 0) AS top_holdings,
+        (SELECT string_agg(feature || ':' || {MILLIONTHS}, ',' ORDER BY rank) FROM cluster_industries i
+            WHERE i.cluster_id = m.cluster_id AND rank <= 5) AS top_industries,
+        (SELECT string_agg(institution_code || ':' || CAST(n AS VARCHAR), ',' ORDER BY institution_code) FROM (
+            SELECT institution_code, count(*) AS n FROM members x JOIN products USING (product_id)
+            WHERE x.cluster_id = m.cluster_id GROUP BY 1)) AS institutions,
+        round((sum(coalesce(g.n, 1)) - count(*)) / count(*), 6) AS ac_share_dominance_ratio,
+        (SELECT string_agg(CAST(product_id AS VARCHAR) || ' ' || product_code || ' ' || product_name, ',' ORDER BY rank)
+            FROM (SELECT product_id, row_number() OVER (ORDER BY round(x, 9), product_id) AS rank
+                FROM distances t WHERE t.cluster_id = m.cluster_id) JOIN products USING (product_id) WHERE rank <= 5)
             AS representatives
     FROM members m LEFT JOIN (
         SELECT cluster_id, avg(hhi) AS hhi FROM (SELECT product_id, sum(raw_weight * raw_weight) AS hhi FROM cells
         GROUP BY 1) JOIN members USING (product_id) GROUP BY 1) v USING (cluster_id)
-    LEFT JOIN (SELECT a.cluster_id, sum(least(a.raw_weight, b.raw_weight)) AS s
-        FROM (SELECT c.*, m.cluster_id FROM cells c JOIN members m USING (product_id)) a
-        JOIN (SELECT c.*, m.cluster_id FROM cells c JOIN members m USING (product_id)) b
-            ON a.cluster_id = b.cluster_id AND a.feature = b.feature AND a.product_id < b.product_id
-        GROUP BY 1) p USING (cluster_id)
-    GROUP BY m.cluster_id""", "holdings", "securities",
-    extra=(("members", REGIONS), CELLS, CENTROIDS, DISTANCES, INDUSTRIES, CLUSTER_INDUSTRIES)))
+    LEFT JOIN {_overlap_sql("raw_weight")} p USING (cluster_id) LEFT JOIN {_overlap_sql("weight")} q USING (cluster_id)
+    LEFT JOIN (SELECT kept_id AS product_id, count(*) AS n FROM merge_map GROUP BY 1) g USING (product_id)
+    GROUP BY m.cluster_id""", "holdings", "products", "securities",
+    extra=(("members", REGIONS), CELLS, CENTROIDS, DISTANCES, INDUSTRIES, CLUSTER_INDUSTRIES, CROSS, FAMILY, MERGE)))
 def cluster_profiles(d: Domain) -> DataFrame:
+    """Every part of the profiles, with the products that were folded into the members."""
     cells, labels, means, placed = _profile_inputs(d)
     industries = holdings.security_industries(d.securities())
-    rows = profiling.build_profiles(cells, labels, means, placed, d.products(), industries=industries)
-    shown = rows.withColumn("display_label", display_label(F.lit(None).cast("string"), F.col("cluster_label"), F.col("cluster_id")))
+    merge_map = cut_lineage(holdings.share_class_map(cross_rows(d)))
+    rows = profiling.build_profiles(cells, labels, means, placed, d.products(), merge_map, industries)
+    shown = display_label(F.lit(None).cast("string"), F.col("cluster_label"), F.col("cluster_id"))
+
+    def weighed(column: str, name: str):
+        whole = lambda x: F.concat(x[name], F.lit(":"), F.round(x["weight"] * 1000000).cast("bigint").cast("string"))
+        return F.array_join(F.transform(column, whole), ",").alias(column)
+
+    counts = F.transform(F.map_entries("institution_distribution"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    named = F.zip_with(
+        F.arrays_zip("representative_products", "representative_codes"),
+        "representative_names",
+        lambda p, n: F.concat_ws(" ", p["representative_products"].cast("string"), p["representative_codes"], n),
+    )
     return rounded(
-        shown.select(
+        rows.select(
             "cluster_id",
             "size",
             "cluster_label",
-            "display_label",
+            shown.alias("display_label"),
             "avg_hhi",
+            "avg_overlap",
             "avg_overlap_raw",
-            F.array_join(F.transform("top_holdings", lambda h: h["asset_code"]), ",").alias("top_assets"),
-            F.array_join(F.transform("representative_products", lambda x: x.cast("string")), ",").alias("representatives"),
+            "ac_share_dominance_ratio",
+            weighed("top_holdings", "asset_code"),
+            weighed("top_industries", "industry"),
+            F.array_join(counts, ",").alias("institutions"),
+            F.array_join(named, ",").alias("representatives"),
         ),
         "avg_hhi",
+        "avg_overlap",
         "avg_overlap_raw",
+        "ac_share_dominance_ratio",
     )
 
 

@@ -204,9 +204,9 @@ def upsert_rows(d: Domain) -> DataFrame:
     return writes.upserted(stored, known, KEYS, [F.col("o_orderkey").desc()])
 
 
-# Round trips through a stored table: one quote per customer group and month, many of a key in each batch.
-QUOTE_BATCH = """SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS quote_date, 'C' || (o_custkey % 40) AS symbol_code,
-    o_orderkey AS seq, CAST(round(o_totalprice, 2) AS DECIMAL(18, 4)) + {add} AS close_price FROM orders WHERE o_orderkey % 3 = {part}"""
+# Round trips through a stored table: one quote per customer and quarter; every order is in one of two batches.
+QUOTE_BATCH = """SELECT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quote_date, 'C' || o_custkey AS symbol_code,
+    o_orderkey AS seq, CAST(round(o_totalprice, 2) AS DECIMAL(18, 4)) + {add} AS close_price FROM orders WHERE o_orderkey % 2 = {part}"""
 FIRST, SECOND = QUOTE_BATCH.format(add=0, part=0), QUOTE_BATCH.format(add=1, part=1)
 
 
@@ -216,10 +216,10 @@ def _winner(batch: str, order: str) -> str:
 
 
 def _quote_batch(d: Domain, part: int, add: int) -> DataFrame:
-    return d.raw("orders").filter(F.col("o_orderkey") % 3 == part).select(
+    return d.raw("orders").filter(F.col("o_orderkey") % 2 == part).select(
         F.col("o_orderkey").alias("id"),
-        F.trunc(F.col("o_orderdate").cast("date"), "month").alias("quote_date"),
-        F.concat(F.lit("C"), (F.col("o_custkey") % 40).cast("string")).alias("symbol_code"),
+        F.trunc(F.col("o_orderdate").cast("date"), "quarter").alias("quote_date"),
+        F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("symbol_code"),
         F.lit("group").alias("symbol_name"),
         F.lit("domestic").alias("market_region"),
         F.lit("index").alias("asset_class"),

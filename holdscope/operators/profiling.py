@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from holdscope.functions import constants as C
 from holdscope.functions.text import cluster_label, infer_market
 from holdscope.operators.holdings import concentration
-from holdscope.operators.similarity import mean_pairwise_overlap
+from holdscope.operators.similarity import mean_pairwise_overlaps
 
 
 def _ordered(name: str, n: int) -> Column:
@@ -131,8 +131,7 @@ def build_profiles(
         holdings,
         inds,
         hhi,
-        mean_pairwise_overlap(cells, labels, "weight", "avg_overlap"),
-        mean_pairwise_overlap(cells, labels, "raw_weight", "avg_overlap_raw"),
+        mean_pairwise_overlaps(cells, labels, {"weight": "avg_overlap", "raw_weight": "avg_overlap_raw"}),
         places,
         reps,
     ]

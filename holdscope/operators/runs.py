@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdscope.operators.browse import equals
-from holdscope.operators.skew import attach, top_rows
+from holdscope.operators.skew import attach, ranked
+from holdscope.session import cut_lineage
 from holdscope.sources.tables import as_json
 
 
@@ -178,24 +179,24 @@ def list_baselines(
     ).orderBy(F.col("created_at").desc(), F.col("cluster_run_id").desc())
 
 
-def run_payload(runs: DataFrame, clusters: DataFrame, members: DataFrame, per_cluster: int = 50) -> DataFrame:
-    """Each run as one nested JSON object: the run, its clusters, and of each the nearest members.
+def run_payload(runs: DataFrame, clusters: DataFrame, members: DataFrame, per_row: int = 1000) -> DataFrame:
+    """Each cluster of each run as JSON objects with all of its members, nearest first.
 
-    A payload shows ``per_cluster`` members of a cluster; ``size`` tells how many there are.
+    A cluster of many members is several numbered ``part`` rows of at most ``per_row`` of them, so that nothing is cut and no
+    list is unbounded; ``size`` tells how many members there are. A cluster without members is one part. Unset distances
+    come last. A run without clusters is one row with an unset cluster.
     """
-    nearest = [F.col("distance_to_center").asc_nulls_last(), F.col("product_id").asc()]
     keys = ["cluster_run_id", "cluster_id"]
-    listed = top_rows(members.select(*keys, "product_id", "distance_to_center"), keys, nearest, per_cluster)
-    place = F.struct(F.col("distance_to_center").isNull().alias("unset"), "distance_to_center", "product_id")
-    lists = listed.groupBy(*keys).agg(F.sort_array(F.collect_list(place)).alias("_near"))
+    rows = members.select(*keys, "product_id", "distance_to_center")
+    placed = ranked(cut_lineage(rows), keys, "distance_to_center", ["product_id"], out="_rank", descending=False)
+    part = F.expr(f"cast((_rank - 1) div {per_row} as int)").alias("part")
+    lists = placed.groupBy(*keys, part).agg(
+        F.sort_array(F.collect_list(F.struct("_rank", "product_id", F.round("distance_to_center", 6).alias("distance")))).alias("_near")
+    )
+    listed = F.transform("_near", lambda x: F.struct(x["product_id"].alias("product_id"), F.format_string("%.6f", x["distance"]).alias("distance")))
+    none = F.array().cast("array<struct<product_id:bigint,distance:string>>")
     shown = clusters.join(lists, keys, "left").select(
-        "cluster_run_id",
-        F.struct(
-            "cluster_id",
-            "size",
-            F.coalesce(F.transform("_near", lambda x: x["product_id"]), F.array().cast("array<bigint>")).alias("members"),
-        ).alias("cluster"),
+        "cluster_run_id", "cluster_id", "size", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce(listed, none).alias("members")
     )
-    per_run = shown.groupBy("cluster_run_id").agg(F.sort_array(F.collect_list("cluster")).alias("clusters"))
     about = runs.select(F.col("id").alias("cluster_run_id"), "report_date", "algorithm", "k", "n_products")
-    return as_json(about.join(per_run, "cluster_run_id", "left"))
+    return as_json(about.join(shown, "cluster_run_id", "left"))

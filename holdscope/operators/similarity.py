@@ -77,30 +77,35 @@ def neighbors(
     return scored.orderBy(F.col("score").desc(), F.col("product_id").asc()).limit(top_n)
 
 
-def mean_pairwise_overlap(
-    cells: DataFrame, labels: DataFrame, value: str = "raw_weight", out: str = "avg_overlap"
-) -> DataFrame:
-    """Mean overlap over all product pairs of each cluster, without forming a pair.
+def mean_pairwise_overlaps(cells: DataFrame, labels: DataFrame, values: dict[str, str]) -> DataFrame:
+    """Mean overlap over all product pairs of each cluster, without forming a pair, for several weights at once.
 
-    For one feature, the sum of ``min`` over all pairs is each weight times the number of
-    products ranked above it. Equal weights are combined first and ranked as one row; a
-    feature held by very many products is ranked in value ranges, not in one task.
-    Weights are not negative, so absent cells add nothing.
+    ``values`` maps a weight column to the name of its mean. For one feature, the sum of ``min`` over all pairs is each
+    weight times the number of products ranked above it. Equal weights are combined first and ranked as one row; a
+    feature held by very many products is ranked in value ranges, not in one task. Weights are not negative, so absent
+    cells add nothing.
     """
     placed = cells.join(labels.select("product_id", "cluster_id"), "product_id")
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("w")) for i, c in enumerate(values)]))
     levels = cut_lineage(
-        placed.filter(F.col(value) > 0)
-        .groupBy("cluster_id", "feature", F.col(value).alias("w"))
+        placed.select("cluster_id", "feature", each.alias("v"))
+        .filter("v.w > 0")
+        .groupBy("cluster_id", "feature", "v.kind", "v.w")
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    keys = ["cluster_id", "feature"]
-    pos = ranked(levels, keys, "w", ["w"], out="_upto", descending=True, weight=F.col("c"))
+    pos = ranked(levels, ["cluster_id", "feature", "kind"], "w", ["w"], out="_upto", descending=True, weight=F.col("c"))
     c, above = F.col("c"), F.col("_upto") - F.col("c")
     pair_sum = F.col("w") * (c * above + c * (c - 1) / 2)
-    totals = pos.groupBy("cluster_id").agg(F.sum(pair_sum).alias("s"))
+    totals = pos.groupBy("cluster_id").agg(*[F.sum(F.when(F.col("kind") == i, pair_sum)).alias(f"s{i}") for i in range(len(values))])
     sizes = labels.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
     n = F.col("n")
-    mean = F.when(n < 2, 0.0).otherwise(
-        F.coalesce("s", F.lit(0.0)) / F.greatest(n * (n - 1) / 2, F.lit(1.0))
-    )
-    return sizes.join(totals, "cluster_id", "left").select("cluster_id", mean.alias(out))
+    pairs = F.greatest(n * (n - 1) / 2, F.lit(1.0))
+    means = [F.when(n < 2, 0.0).otherwise(F.coalesce(f"s{i}", F.lit(0.0)) / pairs).alias(out) for i, out in enumerate(values.values())]
+    return sizes.join(totals, "cluster_id", "left").select("cluster_id", *means)
+
+
+def mean_pairwise_overlap(
+    cells: DataFrame, labels: DataFrame, value: str = "raw_weight", out: str = "avg_overlap"
+) -> DataFrame:
+    """Mean overlap over all product pairs of each cluster by one weight."""
+    return mean_pairwise_overlaps(cells, labels, {value: out})
