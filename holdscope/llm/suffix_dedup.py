@@ -178,7 +178,7 @@ def _batch(doc: np.ndarray, key: np.ndarray, anchor: np.ndarray | None, prints,
     n = len(doc)
     none = lambda kind: pa.nulls(n, kind)
     columns = [
-        pa.array(doc, mask=doc == NO_ID),
+        pa.array(doc, mask=(doc == NO_ID) & (key >= 0)),
         pa.array(key.astype(np.int32)),
         none(pa.int64()) if anchor is None else pa.array(anchor.view(np.int64)),
         none(pa.int64()) if prints is None else pa.array(prints.view(np.int64)),
@@ -391,9 +391,11 @@ def dedup_passages(
     """
     spark = docs.sparkSession
     width = shuffle_width(spark)
+    hashed = F.hash(F.col(id_col), F.col(text_col))
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"),
-        F.hash(F.col(id_col), F.col(text_col)).alias("key"),
+        # Without an id the key is not negative, so null ids are told from the largest id and come after it.
+        F.when(F.col(id_col).isNull(), hashed.bitwiseAND(F.lit(0x7FFFFFFF))).otherwise(hashed.bitwiseOR(F.lit(-(1 << 31)))).alias("key"),
         F.col(text_col).cast("string").alias("text"),
         packed_row(docs, [c for c in docs.columns if c != text_col]).alias("row"),
     )
