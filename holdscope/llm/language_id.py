@@ -8,7 +8,9 @@ backpropagation through time on a bounded sample; a task runs each distinct run
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +25,25 @@ SAMPLE_DOCS = 400
 SAMPLE_RUNS = 6000
 #: Letters of a run; longer ones are cut into runs of this many.
 RUN_LETTERS = 24
-RUNS = re.compile(f"[^\\W\\d_]{{1,{RUN_LETTERS}}}").findall
 UNDETERMINED = "und"
 
 HIDDEN, EMBEDDING = 16, 8
+#: Ids that are broadcast at most.
+BROADCAST_IDS = 1 << 20
 EPOCHS, BATCH, RATE, SEED = 6, 256, 0.01, 17
 #: Distinct runs in a task's table before it is emptied, and bytes of text looked up at a time.
 TABLE_RUNS = 400_000
 BLOCK = 2 << 20
 
 
+@lru_cache(maxsize=1)
+def runs_of():
+    """Finds runs of letters. Word characters that count as numbers, such as fractions, are no letters."""
+    numbers = (chr(c) for c in range(sys.maxunicode + 1) if chr(c).isnumeric())
+    odd = "".join(c for c in numbers if not (c.isalpha() or c.isdecimal()))
+    return re.compile(f"[^\\W\\d_{odd}]{{1,{RUN_LETTERS}}}").findall
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -160,18 +171,25 @@ def training_runs(
 ) -> list[tuple[str, bytes, float]]:
     """The bounded sample: of each language the documents with the smallest id hashes, and their most frequent runs."""
     labelled = docs.filter(learns & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    pick = F.xxhash64(F.col(id_col))
+    ids = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("pick"))
+    # Only hashes below a bound that lets some four times the sample pass are put in order, however many tasks there are.
+    found = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    share = F.least(F.lit(1.0), F.lit(4.0 * max(sample_docs, 64)) / F.col("rows"))
+    bound = (F.lit(-(2.0**63)) + share * F.lit(2.0**64)).alias("bound")
     first = Window.partitionBy("lang").orderBy("pick", "id")
     chosen = (
-        labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), pick.alias("pick"))
+        ids.join(found.select("lang", bound), "lang")
+        .filter(F.col("pick") <= F.col("bound"))
         .withColumn("n", F.row_number().over(first))
         .filter(F.col("n") <= sample_docs)
         .select("id")
         .distinct()
     )
     texts = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    # At most ``sample_docs`` ids per language: few enough to broadcast, so that no text is shuffled.
-    few = F.broadcast(chosen.withColumnRenamed("id", "chosen"))
+    # At most ``sample_docs`` ids per language. While these are few, they are broadcast and no text is shuffled.
+    few = chosen.withColumnRenamed("id", "chosen")
+    if found.count() * sample_docs <= BROADCAST_IDS:
+        few = F.broadcast(few)
     texts = texts.join(few, F.col("id").eqNullSafe(F.col("chosen")), "left_semi")
     runs = texts.select("lang", F.explode(F.expr(f"regexp_extract_all(lower(text), '(\\\\p{{L}}{{1,{RUN_LETTERS}}})', 1)")).alias("run"))
     often = Window.partitionBy("lang").orderBy(F.desc("count"), F.xxhash64("run"), "run")
@@ -218,7 +236,8 @@ class RunTable(dict):
         """Mean distribution over all bytes of each text's runs; zeros if it has none."""
         if len(self) > TABLE_RUNS:
             self.clear()
-        found = [RUNS(t.lower()) for t in texts]
+        letters = runs_of()
+        found = [letters(t.lower()) for t in texts]
         places = [np.fromiter(map(self.__getitem__, runs), np.int64, len(runs)) for runs in found]
         self.settle()
         pooled = np.zeros((len(texts), self.classes))

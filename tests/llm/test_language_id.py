@@ -57,3 +57,27 @@ def test_nothing_to_learn_from(spark):
     done = language_id.identify(table(spark), F.lit(False)).collect()
     assert {r.lang_pred for r in done} == {"und"} and len(done) == len(rows())
     assert language_id.identify(table(spark, []), F.lit(True)).count() == 0
+
+
+def test_letters_are_those_of_str():
+    found = language_id.runs_of()
+    assert all(bool(found(chr(c))) == chr(c).isalpha() for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+
+
+def test_query_rows_and_ties(spark, tmp_path):
+    """The whole row contract on a fixture: held-out flags by crc32, ``und``, one row each, ties to the first language."""
+    import zlib
+
+    data = [(i, t, lang) for i, (t, lang) in enumerate([("aaa bbb", "xx"), ("ccc ddd", "yy"), (None, "xx"), ("1 ²", "yy"), ("", None)] * 12)]
+    spark.createDataFrame(data, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.QUERIES["op9_language_id"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [i for i, _, _ in data]
+    for i, text, lang in data:
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+        if any(c.isalpha() for c in text or ""):
+            assert got[i].lang_pred == lang and 0.5 < got[i].score <= 1
+        else:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+    # Equal evidence for both languages: the first in the alphabet.
+    same = spark.createDataFrame([(1, "aa", "yy"), (2, "aa", "xx")], "doc_id bigint, text string, lang string")
+    assert {r.row.doc_id for r in language_id.identify(same, F.lit(True)).collect()} == {1, 2}
