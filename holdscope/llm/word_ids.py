@@ -9,10 +9,9 @@ the tokenizer.
 from __future__ import annotations
 
 import re
-from array import array
 from functools import lru_cache
+from os.path import commonprefix
 
-import numpy as np
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
@@ -29,17 +28,23 @@ ODD_CASE = "İ"
 PROBES = ("the", "thanonontioniner", "\xe9leai", "stra\xdfe", "\xf1andu", "zqxj", "a", "internationalization")
 
 
-def _pack(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes() if array("I").itemsize == 4 else np.array(ids, "<u4").tobytes()
-
-
 class WordTable(dict):
     """Word to the little-endian unsigned 32-bit ids that the tokenizer gives it."""
 
     def __init__(self, path: str):
         super().__init__()
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        added = tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens of this tokenizer depend on what stands around them")
+        packed = [i.to_bytes(4, "little") for i in range(max([tokenizer.get_vocab_size() - 1, *added]) + 1)]
+        self._packed = packed.__getitem__
+        # A text is cut at its added tokens first; what stands between is encoded apart.
+        self._added = {t.content: packed[i] for i, t in added.items()}
+        contents = sorted(self._added, key=len, reverse=True)
+        self._opens = commonprefix(contents)
+        self._cut = re.compile("(" + "|".join(map(re.escape, contents)) + ")").split if contents else None
+        tokenizer.encode_special_tokens = True  # a word that looks like one in small letters is none
         self._encode = tokenizer.encode
         self._model = tokenizer.model
         shown = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
@@ -63,17 +68,21 @@ class WordTable(dict):
             word = word.encode().decode("latin-1").translate(self._bytes)
         return [t.id for t in self._model.tokenize(word)]
 
+    def _pack(self, ids: list[int]) -> bytes:
+        return b"".join(map(self._packed, ids))
+
     def segment(self, word: str) -> bytes:
-        if self._apart and len(word) <= KEPT_CHARS and max(word) < COMBINING and ODD_CASE not in word:
+        plain = word.isascii() or (max(word) < COMBINING and ODD_CASE not in word)
+        if plain and self._apart and len(word) <= KEPT_CHARS:
             small = word.lower()
             if small != word:
                 return self[small]
             if word.isalpha():
-                return _pack(self.letters(word))
+                return self._pack(self.letters(word))
             stem = word.rstrip(CLOSING)
             if stem and stem != word and stem.isalpha():
                 return self[stem] + self[word[len(stem) :]]
-        return _pack(self._encode(word, add_special_tokens=False).ids)
+        return self._pack(self._encode(word, add_special_tokens=False).ids)
 
     def __missing__(self, word: str) -> bytes:
         if not word:
@@ -92,6 +101,13 @@ class WordTable(dict):
         """All ids of a text; none for a null."""
         if not text:
             return b""
+        if self._cut and self._opens in text:
+            parts = self._cut(text)
+            if len(parts) > 1:
+                return b"".join([self._added.get(p) or self._words(p) for p in parts])
+        return self._words(text)
+
+    def _words(self, text: str) -> bytes:
         words = text.split(" ") if NOT_SPACE.search(text) else text.split()
         return b"".join(map(self.__getitem__, words))
 

@@ -25,6 +25,8 @@ def rows(seed: int = 1) -> list[tuple[int | None, str | None]]:
         (9, passage), (10, texts[1] + "\n" + passage), (11, passage + "\n" + texts[2]), (None, texts[3]),
         (None, None), (12, texts[4]), (12, texts[4]), (12, texts[5]), (13, "ab " * 30_000), (14, "z" * 50_000),
         (15, "one line\none line\n\none line."), (2**62, texts[6]), (-5, texts[7]), (16, "\x1c nul\x00 \x1f"),
+        (17, "a <|endoftext|> b<|ENDOFTEXT|> <|endoftext"), (18, "<|startoftext|><|endoftext|>é<|endoftext|>\u0301's"),
+        (19, "² ½ Ⅷ ①"), (2**63 - 1, texts[3]), (2**63 - 1, passage),
     ]
     out += [(20 + i, t) for i, t in enumerate(texts)]
     rnd.shuffle(out)

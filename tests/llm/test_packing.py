@@ -17,7 +17,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 @pytest.fixture(scope="module")
 def ids():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return lambda text: np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
 
 
