@@ -22,7 +22,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and go on from the files.
 
     This cuts lineage like a checkpoint, but keeps columns apart, so that later reads
@@ -30,7 +30,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     found = spark.read.schema(df.schema).parquet(path)
     found.__dict__["_table_path"] = path
     return found

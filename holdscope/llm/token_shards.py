@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,7 +101,7 @@ def _batch(rows: list[tuple], schema: str, kinds: list) -> pa.RecordBatch:
 def sequences(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, length: int) -> DataFrame:
     """All sequences with their task and their number in it, written to the shared folder.
 
-    ``packed`` holds the ids as compressed unsigned 16-bit integers; a larger id is refused.
+    ``packed`` holds the ids as unsigned 16-bit integers, compressed by the file format; a larger id is refused.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kinds = [pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64(), pa.binary()]
@@ -110,7 +109,6 @@ def sequences(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, lengt
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, cutter = word_table(tokenizer), Cutter(length)
         task, end = TaskContext.get().partitionId(), END_ID.to_bytes(4, "little")
-        compress = zstandard.ZstdCompressor(level=3).compress
         found, n = [], 0
 
         def row(sequence: tuple[int | None, int, bytes]) -> tuple:
@@ -118,7 +116,7 @@ def sequences(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, lengt
             values = np.frombuffer(ids, "<u4")
             if values.max() > 0xFFFF:
                 raise ValueError("token ids above 65535 do not fit a record")
-            return task, n, doc_id, start, len(values), zlib.crc32(ids), compress(values.astype("<u2").tobytes())
+            return task, n, doc_id, start, len(values), zlib.crc32(ids), values.astype("<u2").tobytes()
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -131,18 +129,23 @@ def sequences(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, lengt
         if cutter.size:
             yield _batch([row(cutter.flush())], SEQUENCES, kinds)
 
-    return materialise(map_batches(rows, run, SEQUENCES), "sequences")
+    return materialise(map_batches(rows, run, SEQUENCES), "sequences", compression="zstd")
 
 
-SLOTS = "slot bigint, shard int, offset bigint, doc_id bigint, start bigint, n_tokens int, ids_crc32 bigint, packed binary"
-
-
-def with_slots(found: DataFrame, key: int, length: int, shard_sequences: int) -> tuple[DataFrame, int]:
-    """Sequences with their slots. One count per task comes to the driver, as for ``zipWithIndex``."""
+def counted(found: DataFrame) -> tuple[dict[int, int], int]:
+    """The sequences before each task and their total. One count per task comes to the driver, as for ``zipWithIndex``."""
     begin, total = {}, 0
     for r in found.groupBy("task").count().orderBy("task").collect():
         begin[r["task"]], total = total, total + r["count"]
+    return begin, total
+
+
+def with_slots(found: DataFrame, begin: dict[int, int], total: int, key: int, length: int, shard_sequences: int) -> DataFrame:
+    """``slot``, ``shard`` and ``offset`` in front of the columns of ``found``, in place of ``task`` and ``n``."""
     stride = 2 * length + 1
+    kept = [c for c in found.columns if c not in ("task", "n")]
+    names = ["slot", "shard", "offset", *kept]
+    schema = "slot bigint, shard int, offset bigint" + "".join(f", {c} {found.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,10 +155,9 @@ def with_slots(found: DataFrame, key: int, length: int, shard_sequences: int) ->
             slot = feistel(first + batch.column("n").to_numpy(), total, key)
             shard, place = slot // shard_sequences, slot % shard_sequences
             columns = [pa.array(slot), pa.array(shard.astype(np.int32)), pa.array(place * stride)]
-            columns += [batch.column(c) for c in ("doc_id", "start", "n_tokens", "ids_crc32", "packed")]
-            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SLOTS.split(", ")])
+            yield pa.RecordBatch.from_arrays([*columns, *[batch.column(c) for c in kept]], names)
 
-    return map_batches(found, run, SLOTS), total
+    return map_batches(found, run, schema)
 
 
 def write_shards(
@@ -181,26 +183,27 @@ def write_shards(
     sequences alone.
     """
     path = path or shared_path(docs.sparkSession, "shards")
-    found, total = with_slots(sequences(docs, tokenizer, id_col, text_col, length), key, length, shard_sequences)
+    found = sequences(docs, tokenizer, id_col, text_col, length)
+    begin, total = counted(found)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decompress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            records = [decompress(p).ljust(2 * length, b"\0") for p in batch.column("packed").to_pylist()]
+            records = [p.ljust(2 * length, b"\0") for p in batch.column("packed").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("slot"), batch.column("shard"), pa.array(records, pa.binary())], ["slot", "shard", "record"]
             )
 
-    dealt = found.select("slot", "shard", "packed").repartitionById(max(1, -(-total // shard_sequences)), "shard")
+    packed = with_slots(found.select("task", "n", "packed"), begin, total, key, length, shard_sequences)
+    dealt = packed.drop("offset").repartitionById(max(1, -(-total // shard_sequences)), "shard")
     records = map_batches(dealt, unpack, "slot bigint, shard int, record binary").sortWithinPartitions("shard", "slot")
     records.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").text(path)
-    return found.drop("packed"), path
+    # The manifest reads and ships no ids.
+    return with_slots(found.drop("packed"), begin, total, key, length, shard_sequences), path
 
 
 def read_shards(spark: SparkSession, path: str, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, first: int = 0) -> DataFrame:
     """``(slot, ids)`` of all slots from ``first`` on; shards before it are not opened."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    shard = F.regexp_extract("path", r"shard=(\d+)/", 1).cast("int")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     stride = 2 * length + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,5 +213,6 @@ def read_shards(spark: SparkSession, path: str, length: int = LENGTH, shard_sequ
                 ids = [np.frombuffer(content, "<u2", length, i * stride).tolist() for i in range(len(slots))]
                 yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["slot", "ids"])
 
-    wanted = files.select(shard.alias("shard"), "content").filter(F.col("shard") >= first // shard_sequences)
+    # ``shard`` is the partition column, so the filter is settled before any file is opened.
+    wanted = files.filter(F.col("shard") >= first // shard_sequences).select(F.col("shard").cast("int").alias("shard"), "content")
     return map_batches(wanted, run, "slot bigint, ids array<int>").filter(F.col("slot") >= first)
