@@ -40,9 +40,11 @@ PROBES = 4
 PRIOR = 500.0
 #: Bytes of filter and vocabulary that are broadcast at a time.
 SHARD_BYTES = 192 << 20
+#: Bytes of text for each part of the filter, so that a part's counts fit a task however much there is to count.
+PART_BYTES = 12 << 20
 #: Tokens that a task counts before it passes the counts on, and bytes of text hashed at a time.
 COUNTED_TOKENS = 2_000_000
-BLOCK = 1 << 20
+BLOCK = 3 << 20
 
 U = np.uint64
 FACTOR = 0x9E3779B97F4A7C15
@@ -110,20 +112,31 @@ def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> U(32)) * U(parts)) >> U(32)
 
 
-def places(hashes: np.ndarray, level: int, probe: int, bits: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """Byte and bit of one probe for the pair (n-gram, level) in a filter of so many bits."""
+LOW = U(0xFFFFFFFF)
+
+
+def probed(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """First place and stride, of 32 bits, of the probes for the pairs (n-gram, level)."""
     h = mixed(hashes + U(FACTOR * (level + 1) % (1 << 64)))
-    at = ((h & U(0xFFFFFFFF)) + U(probe) * ((h >> U(33)) | U(1))) % bits
+    return h & LOW, (h >> U(32)) | U(1)
+
+
+def place(first: np.ndarray, stride: np.ndarray, probe: int, bits: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Byte and bit of one probe in a filter of so many bits, fewer than 2^32."""
+    at = (((first + U(probe) * stride) & LOW) * bits) >> U(32)
     return (at >> U(3)).astype(np.int64), (at & U(7)).astype(np.uint8)
 
 
 def build_filter(hashes: np.ndarray, levels: np.ndarray, bits_per_item: int) -> np.ndarray:
     """A Bloom filter, as bytes, of the pairs (hash, 1) to (hash, level)."""
     filled = np.zeros(max(8, int(levels.sum()) * bits_per_item // 8 + 1), np.uint8)
+    if 8 * len(filled) >= 1 << 32:
+        raise ValueError("a part's filter has 2^32 bits or more; take more parts")
     level = 1
     while len(hashes):
+        first, stride = probed(hashes, level)
         for probe in range(PROBES):
-            byte, bit = places(hashes, level, probe, U(8 * len(filled)))
+            byte, bit = place(first, stride, probe, U(8 * len(filled)))
             np.bitwise_or.at(filled, byte, np.left_shift(np.uint8(1), bit))
         more = levels > level
         hashes, levels, level = hashes[more], levels[more], level + 1
@@ -154,10 +167,12 @@ class Shard:
         begin, bits = (np.cumsum(self.sizes) - self.sizes)[part], (8 * self.sizes).astype(U)[part]
         level = 1
         while len(alive) and level <= LEVELS:
+            first, stride = probed(hashes, level)
+            held = np.arange(len(alive))
             for probe in range(PROBES):
-                byte, bit = places(hashes, level, probe, bits)
-                found = (self.filled[begin + byte] >> bit) & np.uint8(1) == 1
-                alive, hashes, begin, bits = alive[found], hashes[found], begin[found], bits[found]
+                byte, bit = place(first[held], stride[held], probe, bits[held])
+                held = held[(self.filled[begin[held] + byte] >> bit) & np.uint8(1) == 1]
+            alive, hashes, begin, bits = alive[held], hashes[held], begin[held], bits[held]
             out[alive] = level
             level += 1
         return out
@@ -330,8 +345,12 @@ def _read_levels(shared, order: int, totals: Totals):
                 distinct, where = np.unique(tokens, return_inverse=True)
                 mine = shard.mine(distinct)
                 exact = shard.exact(distinct)
-                grams = gram_hashes(tokens, counts, order)
-                levels = np.stack([shard.levels(distinct)[where], *[shard.levels(g) for g in grams[1:]]])
+                levels = [shard.levels(distinct)[where]]
+                for grams in gram_hashes(tokens, counts, order)[1:]:
+                    # A run that repeats in the block is probed once.
+                    runs, at = np.unique(grams, return_inverse=True)
+                    levels.append(shard.levels(runs)[at])
+                levels = np.stack(levels)
                 first = np.cumsum(counts) - counts
                 base = np.add.reduceat(np.where(mine, np.log10((exact + 1) / floor), 0.0)[where], first)
                 known = np.add.reduceat((exact > 0).astype(np.int64)[where], first)
@@ -394,7 +413,9 @@ def score(
     too high, with a chance of about 2 % at 8 bits an item; counts beyond the scale's last level read as that level.
     """
     spark = docs.sparkSession
-    parts = parts or max(16, shuffle_width(spark))
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+        parts = max(16, shuffle_width(spark), -(-size // PART_BYTES))
     model, totals = fit(docs.filter(F.coalesce(learns, F.lit(False))), text_col, order, bits_per_item, parts)
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"),
