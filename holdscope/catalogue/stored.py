@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdscope.catalogue.domain import Domain, sql
+from holdscope.catalogue.portfolio import ASSET, CROSS, FAMILY, INDUSTRIES, INDUSTRY, KEPT, MERGE
 from holdscope.catalogue.registry import query, rounded
 from holdscope.operators import runs
 from holdscope.plans import analysis
@@ -328,20 +329,41 @@ def load_store(d: Domain, root: str) -> None:
     )
 
 
-@query()
+FEATURE_COUNTS = ("counts", """
+    SELECT 'asset' AS kind, count(DISTINCT product_id) AS n_products, count(DISTINCT feature) AS n_features FROM asset_cells
+    UNION ALL SELECT 'industry', count(DISTINCT product_id), count(DISTINCT feature) FROM industry_cells""")
+
+
+@query(sql("""
+    SELECT kind, CAST(turn AS INTEGER) AS turn, CASE turn WHEN 1 THEN 'full' ELSE 'incremental' END AS mode, n_products, n_features,
+        turn = 2 AS has_baseline, n_products AS members, n_products AS in_clusters, true AS a_row_per_cluster
+    FROM counts, (SELECT unnest([1, 2]) AS turn)""", "holdings", "products", "securities",
+    extra=(CROSS, FAMILY, MERGE, KEPT, ASSET, INDUSTRIES, INDUSTRY, FEATURE_COUNTS)))
 def auto_incremental_runs(d: Domain) -> DataFrame:
-    """Two automatic runs per feature type: the first searches k in full, the second starts from it."""
+    """Two automatic runs per feature type, as stored: the first searches k in full, the second starts from it."""
     root = store_root(d)
     load_store(d, root)
     day = analysis.latest_report_date(d.spark, root)
     out = []
     for kind in ("asset", "industry"):
+        features = analysis.build_features(d.spark, root, day, analysis.Settings(), kind)
         for i in (1, 2):
-            r = analysis.cluster(d.spark, root, day, analysis.Settings(), kind, "auto", now=datetime(2002, 1, i))
-            out.append((kind, i, r["mode"], r["k"], r["n_products"], r["n_features"], r["baseline_run_id"] is not None))
-    return d.spark.createDataFrame(
-        out, "kind STRING, turn INT, mode STRING, k INT, n_products BIGINT, n_features BIGINT, has_baseline BOOLEAN"
+            now = datetime(2002, 1, i)
+            r = analysis.cluster(d.spark, root, day, analysis.Settings(), kind, "auto", now, features)
+            out.append((r["cluster_run_id"], kind, i, r["mode"], r["k"], r["n_products"], r["n_features"], r["baseline_run_id"] is not None))
+    told = d.spark.createDataFrame(
+        out,
+        "cluster_run_id STRING, kind STRING, turn INT, mode STRING, k INT, n_products BIGINT, n_features BIGINT, has_baseline BOOLEAN",
+    )
+    members = read_table(d.spark, root, "similarity_cluster_members").groupBy("cluster_run_id").agg(F.count(F.lit(1)).alias("members"))
+    clusters = read_table(d.spark, root, "similarity_clusters").groupBy("cluster_run_id").agg(
+        F.sum("size").alias("in_clusters"), F.countDistinct("cluster_id").alias("clusters")
     )
+    rows = told.join(members, "cluster_run_id", "left").join(clusters, "cluster_run_id", "left")
+    return rows.select(
+        "kind", "turn", "mode", "n_products", "n_features", "has_baseline", "members", "in_clusters",
+        (F.col("clusters") == F.col("k")).alias("a_row_per_cluster"),
+    )
 
 
 def store_root(d: Domain) -> str:
