@@ -21,7 +21,7 @@ def tokens(text: str | None) -> list[bytes | None]:
 
 def expected(data, prior, order):
     """The model in plain dictionaries, with exact filters."""
-    learnt = [tokens(t) for d, t in data if d is not None and math.fmod(d, 3) != 1]
+    learnt = [tokens(t) for d, t in data if d is not None and (abs(d) % 3 if d > 0 else -(abs(d) % 3)) != 1]
     counts: Counter = Counter(w for doc in learnt for w in doc)
     total, distinct = sum(counts.values()), len(counts)
     runs: Counter = Counter()
