@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,7 +102,8 @@ def _batch(rows: list[tuple], schema: str, kinds: list) -> pa.RecordBatch:
 def sequences(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, length: int) -> DataFrame:
     """All sequences with their task and their number in it, written to the shared folder.
 
-    ``packed`` holds the ids as unsigned 16-bit integers, compressed by the file format; a larger id is refused.
+    ``packed`` holds the ids as compressed unsigned 16-bit integers, so that the shuffle stays small too; a larger id is
+    refused.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kinds = [pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64(), pa.binary()]
@@ -109,6 +111,7 @@ def sequences(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, lengt
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, cutter = word_table(tokenizer), Cutter(length)
         task, end = TaskContext.get().partitionId(), END_ID.to_bytes(4, "little")
+        compress = zstandard.ZstdCompressor(level=3).compress
         found, n = [], 0
 
         def row(sequence: tuple[int | None, int, bytes]) -> tuple:
@@ -116,7 +119,7 @@ def sequences(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, lengt
             values = np.frombuffer(ids, "<u4")
             if values.max() > 0xFFFF:
                 raise ValueError("token ids above 65535 do not fit a record")
-            return task, n, doc_id, start, len(values), zlib.crc32(ids), values.astype("<u2").tobytes()
+            return task, n, doc_id, start, len(values), zlib.crc32(ids), compress(values.astype("<u2").tobytes())
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -129,7 +132,7 @@ def sequences(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, lengt
         if cutter.size:
             yield _batch([row(cutter.flush())], SEQUENCES, kinds)
 
-    return materialise(map_batches(rows, run, SEQUENCES), "sequences", compression="zstd")
+    return materialise(map_batches(rows, run, SEQUENCES), "sequences")
 
 
 def counted(found: DataFrame) -> tuple[dict[int, int], int]:
@@ -187,8 +190,9 @@ def write_shards(
     begin, total = counted(found)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decompress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            records = [p.ljust(2 * length, b"\0") for p in batch.column("packed").to_pylist()]
+            records = [decompress(p).ljust(2 * length, b"\0") for p in batch.column("packed").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("slot"), batch.column("shard"), pa.array(records, pa.binary())], ["slot", "shard", "record"]
             )
