@@ -1,8 +1,9 @@
 """Nearest neighbours by inner product through a forest of random-projection trees.
 
 The trees are grown on a bounded sample; every vector is then routed to its leaf in each tree. A query keeps one priority
-queue over the nodes of all trees, nearest side first, and opens leaves from it. Only vectors in open leaves are
-compared with the query, by their exact inner product.
+queue over the nodes of all trees, nearest side first, and opens leaves from it until some share of all vectors is
+expected in them, a share that falls as the table grows. The distinct vectors of the open leaves are compared with the
+query, each once, by their exact inner product.
 """
 
 from __future__ import annotations
@@ -17,16 +18,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from holdscope.llm.common import map_batches, materialise
+from holdscope.llm.common import map_batches, materialise, ragged_ranges
 from holdscope.session import ship_package
 
-TREES, DEPTH = 4, 6
-#: Share of all leaves that a query opens.
-OPENED = 0.34
+TREES, LEAF_ROWS = 32, 32
+#: A query examines ``EXAMINED * rows ** -0.2`` of all vectors, as if trees were independent; in fact somewhat less.
+EXAMINED = 3.1
 #: Bound of the sample that the trees are grown on, and its least rows per leaf.
-SAMPLE_ROWS, LEAF_SAMPLE = 8192, 8
-#: Vectors of a block, and queries that meet it at a time and in one task.
-BLOCK_ROWS, TURN, QUERY_ROWS = 16_384, 128, 131_072
+SAMPLE_ROWS, LEAF_SAMPLE = 16_384, 8
+#: Vectors of a block, and queries of a task.
+BLOCK_ROWS, QUERY_ROWS = 16_384, 131_072
+#: Rows that go down the trees at a time.
+ROUTED_ROWS = 2048
 SEED = 5
 
 
@@ -46,37 +49,46 @@ class Forest:
             return np.hstack([x * (self.reach / norm), np.zeros_like(norm)])
         return np.hstack([x, np.sqrt(np.maximum(self.reach**2 - norm**2, 0))])
 
-    def margins(self, lifted: np.ndarray) -> list[np.ndarray]:
-        return [lifted @ n.T - o for n, o in zip(self.normals, self.offsets, strict=True)]
-
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """Leaf of each vector in each tree."""
-        out = []
-        rows = np.arange(len(x))
-        for margin in self.margins(self.lifted(x)):
-            node = np.zeros(len(x), np.int64)
+        x = self.lifted(x)
+        out = np.zeros((len(x), len(self.normals)), np.int64)
+        for t, (normals, offsets) in enumerate(zip(self.normals, self.offsets, strict=True)):
+            node = out[:, t]
             for _ in range(self.depth):
-                node = 2 * node + 1 + (margin[rows, node] >= 0)
-            out.append(node - ((1 << self.depth) - 1))
-        return np.stack(out, axis=1)
+                for at in range(0, len(x), ROUTED_ROWS):
+                    some = slice(at, at + ROUTED_ROWS)
+                    along = np.einsum("ij,ij->i", x[some], normals[node[some]])
+                    node[some] = 2 * node[some] + 1 + (along >= offsets[node[some]])
+            node -= (1 << self.depth) - 1
+        return out
 
     def opened(self, x: np.ndarray, share: float) -> np.ndarray:
-        """For each query and tree, a mask of the leaves opened through the shared queue."""
-        inner = (1 << self.depth) - 1
-        wanted = max(1, round(share * len(self.normals) * (inner + 1)))
-        margins = self.margins(self.lifted(x, query=True))
-        masks = np.zeros((len(x), len(self.normals)), np.uint64)
+        """For each query a mask over the leaves of all trees, opened through the shared queue.
+
+        Leaves are opened until a share of all vectors is expected in them: with a part c of the leaves of a tree open, it
+        misses 1 - c of the vectors, and all trees together the product of these.
+        """
+        inner, trees = (1 << self.depth) - 1, len(self.normals)
+        lifted = self.lifted(x, query=True)
+        open_leaves = np.zeros((len(x), trees, inner + 1), bool)
+        least = np.log(max(1 - share, 1e-12))
         for q in range(len(x)):
-            queue = [(0.0, t, 0) for t in range(len(self.normals))]
-            for _ in range(wanted):
+            margins = [(n @ lifted[q] - o).tolist() for n, o in zip(self.normals, self.offsets, strict=True)]
+            queue = [(0.0, t, 0) for t in range(trees)]
+            counts, missed = [0] * trees, 0.0
+            while queue and missed > least:
                 far, t, node = heapq.heappop(queue)
-                margin = margins[t][q]
+                margin = margins[t]
                 while node < inner:
                     side = margin[node] >= 0
                     heapq.heappush(queue, (max(far, abs(margin[node])), t, 2 * node + 2 - side))
                     node = 2 * node + 1 + side
-                masks[q, t] |= np.uint64(1) << np.uint64(node - inner)
-        return masks
+                open_leaves[q, t, node - inner] = True
+                rest = inner + 1 - counts[t]
+                counts[t] += 1
+                missed += np.log((rest - 1) / rest) if rest > 1 else -np.inf
+        return open_leaves.reshape(len(x), -1)
 
 
 def grow(sample: np.ndarray, reach: float, trees: int, depth: int) -> Forest:
@@ -122,8 +134,8 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     trees: int = TREES,
-    depth: int = DEPTH,
-    opened: float = OPENED,
+    depth: int | None = None,
+    examined: float | None = None,
     sample_rows: int = SAMPLE_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
@@ -131,8 +143,10 @@ def nearest(
 
     Nearness is the largest inner product in double precision, ties go to the smaller id; a query is never its own
     neighbour. ``asks`` is a condition on a column named ``id``. Every vector is indexed; the trees are grown on at most
-    ``sample_rows`` of them, and a query opens the share ``opened`` of all leaves, so neighbours may be missed. With few
-    vectors there is one leaf, and the search is exact.
+    ``sample_rows`` of them, ``depth`` levels deep (by default so that a leaf has some 32 rows, as far as the sample
+    allows). A query opens leaves until it is expected to examine the share ``examined`` of all vectors (by default one
+    that falls with the number of rows), so neighbours may be missed. With few vectors there is one leaf, and with a
+    share of 1 all are open: then the search is exact.
 
     Null ids and vectors that are null, zero or hold null or non-finite components take no part; nor do vectors
     whose size is not the most common one (the smaller of equals). Of rows that share an id the smallest vector counts.
@@ -151,6 +165,9 @@ def nearest(
     facts = index.agg(F.count("*").alias("n"), F.max(norm).alias("reach")).first()
     chosen = index.orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()
     sample = np.array([r["v"] for r in chosen], np.float64).reshape(-1, dim)
+    n = max(1, facts["n"])
+    depth = max(0, int(np.log2(max(1, n // LEAF_ROWS)))) if depth is None else depth
+    share = min(1.0, EXAMINED * n**-0.2) if examined is None else examined
     shared = spark.sparkContext.broadcast(grow(sample, facts["reach"] or 1.0, trees, depth))
     ship_package(spark)
 
@@ -163,16 +180,17 @@ def nearest(
         for batch in batches:
             if batch.num_rows:
                 x, v = packed(batch)
-                leaves = pa.array([r.tobytes() for r in shared.value.leaves(x).astype("<u1")], pa.binary())
+                leaves = pa.array([r.tobytes() for r in shared.value.leaves(x).astype("<u2")], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("id"), v, leaves], ["id", "v", "leaves"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, v = packed(batch)
-                masks = pa.array([r.tobytes() for r in shared.value.opened(x, opened).astype("<u8")], pa.binary())
+                masks = pa.array([np.packbits(r).tobytes() for r in shared.value.opened(x, share)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("id"), v, masks], ["id", "v", "opened"])
 
+    n_leaves = 1 << shared.value.depth
     n_blocks = max(1, -(-facts["n"] // block_rows))
     n_asked = rows.filter(asks).count()
     n_turns = max(1, -(-n_asked // QUERY_ROWS))
@@ -195,11 +213,10 @@ def nearest(
             members = members.sort_by("id")
             x, q = _matrix(members.column("v"), dim), _matrix(queries.column("v"), dim)
             ids, asking = members.column("id").to_numpy(), queries.column("id").to_numpy()
-            leaves = np.frombuffer(b"".join(members.column("leaves").to_pylist()), "<u1").reshape(len(ids), -1)
-            masks = np.frombuffer(b"".join(queries.column("opened").to_pylist()), "<u8").reshape(len(asking), -1)
-            inside = [[np.flatnonzero(leaves[:, t] == leaf) for leaf in range(1 << DEPTH)] for t in range(leaves.shape[1])]
-            for at in range(0, len(asking), TURN):
-                _meet_some(x, ids, inside, q[at : at + TURN], asking[at : at + TURN], masks[at : at + TURN], k, found)
+            inside = Cells(np.frombuffer(b"".join(members.column("leaves").to_pylist()), "<u2").reshape(len(ids), -1), n_leaves)
+            for i, mask in enumerate(queries.column("opened").to_pylist()):
+                some = inside.members(np.unpackbits(np.frombuffer(mask, np.uint8), count=trees * n_leaves).astype(bool))
+                _keep_best(x, ids, some, q[i], asking[i], k, found)
         kinds = (pa.int64(), pa.int64(), pa.float64())
         columns = [pa.array(np.concatenate(c) if c else [], t) for c, t in zip(found, kinds, strict=True)]
         return pa.table(columns, names=["query_id", "vec_id", "score"])
@@ -215,26 +232,33 @@ def nearest(
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _meet_some(x, ids, inside, q, asking, masks, k: int, found: list[list]) -> None:
-    """Products of some queries with the members of their open leaves; the best ``k`` of each go to ``found``."""
-    scores = np.full((len(q), len(x)), -np.inf)
-    for t, leaves in enumerate(inside):
-        for leaf, members in enumerate(leaves):
-            who = np.flatnonzero((masks[:, t] >> np.uint64(leaf)) & np.uint64(1))
-            if len(who) and len(members):
-                scores[np.ix_(who, members)] = q[who] @ x[members].T
-    scores[asking[:, None] == ids[None, :]] = -np.inf
-    for i in range(len(q)):
-        row = scores[i]
-        if len(row) > k:
-            least = np.partition(row, len(row) - k)[len(row) - k]
-            # Block products differ in the last bits; all that may belong to the best are computed alike.
-            floor = least - 1e-9 * (1 + abs(least)) if np.isfinite(least) else least
-            some = np.flatnonzero((row > -np.inf) & (row >= floor))
-        else:
-            some = np.flatnonzero(row > -np.inf)
-        exact = (x[some] * q[i]).sum(axis=1)
-        first = np.lexsort((ids[some], -exact))[:k]
-        found[0].append(np.full(len(first), asking[i]))
-        found[1].append(ids[some[first]])
-        found[2].append(exact[first])
+class Cells:
+    """Rows of a block by tree and leaf."""
+
+    def __init__(self, leaves: np.ndarray, n_leaves: int):
+        self.rows, trees = len(leaves), leaves.shape[1]
+        cell = leaves.astype(np.int64) + n_leaves * np.arange(trees)[None, :]
+        order = np.argsort(cell.T, axis=None, kind="stable")
+        self.order = order % self.rows
+        self.counts = np.bincount(cell.ravel(), minlength=trees * n_leaves)
+        self.begin = np.cumsum(self.counts) - self.counts
+
+    def members(self, opened: np.ndarray) -> np.ndarray:
+        """The distinct rows of the open leaves."""
+        cells = np.flatnonzero(opened)
+        seen = np.zeros(self.rows, bool)
+        seen[self.order[ragged_ranges(self.begin[cells], self.counts[cells])]] = True
+        return np.flatnonzero(seen)
+
+
+def _keep_best(x, ids, some: np.ndarray, q: np.ndarray, asking: int, k: int, found: list[list]) -> None:
+    """One product of the query with each of ``some`` rows; the best ``k`` go to ``found``."""
+    some = some[ids[some] != asking]
+    exact = (x[some] * q).sum(axis=1)
+    if len(some) > k:
+        best = np.flatnonzero(exact >= np.partition(exact, len(exact) - k)[len(exact) - k])
+        some, exact = some[best], exact[best]
+    first = np.lexsort((ids[some], -exact))[:k]
+    found[0].append(np.full(len(first), asking))
+    found[1].append(ids[some[first]])
+    found[2].append(exact[first])

@@ -47,15 +47,36 @@ def test_all_leaves_open_is_exact(spark):
     rng = np.random.default_rng(3)
     x = np.round(rng.normal(0, 1, (300, 6)), 1) * rng.choice([1, 10], (300, 1))
     data = [(int(i), row.tolist()) for i, row in enumerate(x) if row.any()]
-    found = rp_forest.nearest(frame(spark, data), asks(), k=7, opened=1.0, block_rows=64).collect()
+    found = rp_forest.nearest(frame(spark, data), asks(), k=7, examined=1.0, block_rows=64).collect()
     got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in found)
     assert got == [(q, r, i, round(s, 9)) for q, r, i, s in exact(data, 7)]
 
 
+@pytest.mark.parametrize("depth", [0, 3, 10])
+def test_any_depth_loses_no_leaf(spark, depth):
+    x = np.random.default_rng(4).normal(0, 1, (900, 5))
+    data = [(int(i), row.tolist()) for i, row in enumerate(x)]
+    found = rp_forest.nearest(frame(spark, data), asks(), k=5, depth=depth, examined=1.0, block_rows=200, trees=3).collect()
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in found)
+    assert got == [(q, r, i, round(s, 9)) for q, r, i, s in exact(data, 5)]
+
+
+def test_a_share_is_examined(spark):
+    x = np.random.default_rng(6).normal(0, 1, (4000, 16))
+    forest = rp_forest.grow(x, float(np.linalg.norm(x, axis=1).max()), 32, 7)
+    cells = rp_forest.Cells(forest.leaves(x), 128)
+    sizes = [len(cells.members(m)) for m in forest.opened(x[:40], 0.4)]
+    assert 0.25 * 4000 < np.mean(sizes) <= 0.42 * 4000
+    for row, leaves in zip(range(0, 4000, 500), forest.leaves(x)[::500], strict=True):
+        own = np.zeros((32, 128), bool)
+        own[np.arange(32), leaves] = True
+        assert row in cells.members(own.ravel())
+
+
 def test_a_third_of_equal_vectors(spark):
     rng = np.random.default_rng(5)
     data = [(i, [1.0, 2.0, 3.0] if i % 3 else rng.normal(0, 1, 3).tolist()) for i in range(240)]
-    found = rp_forest.nearest(frame(spark, data), asks(), opened=1.0).collect()
+    found = rp_forest.nearest(frame(spark, data), asks(), examined=1.0).collect()
     got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in found)
     assert got == [(q, r, i, round(s, 9)) for q, r, i, s in exact(data)]
 
