@@ -14,6 +14,7 @@ from holdscope.operators import (
     baseline,
     clustering,
     holdings,
+    neighbours,
     profiling,
     returns,
     selection,
@@ -508,6 +509,36 @@ def k_search_composite(d: Domain) -> DataFrame:
     return rounded(scored, "inertia", "silhouette", "curvature", "silhouette_norm", "curvature_norm", "composite")
 
 
+ALL_SCORES = {
+    "overlap": "sum(least(a.raw_weight, b.raw_weight))",
+    "cosine": "sum(a.weight * b.weight)",
+    "jaccard": "count(b.feature) * 1.0 / (max(a.n) + max(b.n) - count(b.feature))",
+}
+
+
+def _neighbors_of_all(metric: str):
+    """The five nearest of every product; the oracle scores all pairs."""
+    oracle = sql(f"""
+        SELECT product_id, CAST(rn AS INTEGER) AS rank, neighbor_id, round(score, 6) AS score FROM (
+            SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY score DESC, neighbor_id) AS rn FROM (
+                SELECT p.product_id, q.product_id AS neighbor_id, round(coalesce(s.score, 0), 9) AS score
+                FROM (SELECT DISTINCT product_id FROM cells) p JOIN (SELECT DISTINCT product_id FROM cells) q
+                    ON p.product_id <> q.product_id
+                LEFT JOIN (SELECT a.product_id, b.product_id AS other, {ALL_SCORES[metric]} AS score
+                    FROM (SELECT *, count(*) OVER (PARTITION BY product_id) AS n FROM cells) a
+                    JOIN (SELECT *, count(*) OVER (PARTITION BY product_id) AS n FROM cells) b USING (feature)
+                    WHERE a.product_id <> b.product_id GROUP BY 1, 2) s ON s.product_id = p.product_id AND s.other = q.product_id))
+        WHERE rn <= 5""", "holdings", extra=(CELLS,))
+
+    @query(oracle, f"neighbors_of_all_{metric}")
+    def run(d: Domain) -> DataFrame:
+        return rounded(neighbours.neighbors_of_all(cut_lineage(all_cells(d)), metric, 5), "score")
+
+
+for _metric in similarity.METRICS:
+    _neighbors_of_all(_metric)
+
+
 # Drift between two report years: centroids per nation on the older year's holdings.
 def yearly_cells(d: Domain, year: int) -> DataFrame:
     lines = d.raw("lineitem").filter(F.year("l_shipdate") == year)
