@@ -7,13 +7,11 @@ backpropagation through time on a bounded sample; a task runs each distinct run
 
 from __future__ import annotations
 
-import re
-import sys
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,6 +23,8 @@ SAMPLE_DOCS = 400
 SAMPLE_RUNS = 6000
 #: Letters of a run; longer ones are cut into runs of this many.
 RUN_LETTERS = 24
+#: Letters alone; Python's own word characters hold numbers such as fractions, too.
+RUNS = regex.compile(f"\\p{{L}}{{1,{RUN_LETTERS}}}").findall
 UNDETERMINED = "und"
 
 HIDDEN, EMBEDDING = 16, 8
@@ -36,14 +36,6 @@ TABLE_RUNS = 400_000
 BLOCK = 2 << 20
 
 
-@lru_cache(maxsize=1)
-def runs_of():
-    """Finds runs of letters. Word characters that count as numbers, such as fractions, are no letters."""
-    numbers = (chr(c) for c in range(sys.maxunicode + 1) if chr(c).isnumeric())
-    odd = "".join(c for c in numbers if not (c.isalpha() or c.isdecimal()))
-    return re.compile(f"[^\\W\\d_{odd}]{{1,{RUN_LETTERS}}}").findall
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -236,8 +228,7 @@ class RunTable(dict):
         """Mean distribution over all bytes of each text's runs; zeros if it has none."""
         if len(self) > TABLE_RUNS:
             self.clear()
-        letters = runs_of()
-        found = [letters(t.lower()) for t in texts]
+        found = [RUNS(t.lower()) for t in texts]
         places = [np.fromiter(map(self.__getitem__, runs), np.int64, len(runs)) for runs in found]
         self.settle()
         pooled = np.zeros((len(texts), self.classes))

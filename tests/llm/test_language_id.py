@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pytest
 from edges import rows, table
@@ -60,8 +62,9 @@ def test_nothing_to_learn_from(spark):
 
 
 def test_letters_are_those_of_str():
-    found = language_id.runs_of()
-    assert all(bool(found(chr(c))) == chr(c).isalpha() for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    # Characters that Python's tables do not know yet may be letters of a newer standard.
+    known = (chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs"))
+    assert all(bool(language_id.RUNS(c)) == c.isalpha() for c in known)
 
 
 def test_query_rows_and_ties(spark, tmp_path):
