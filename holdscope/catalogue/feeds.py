@@ -295,10 +295,18 @@ def feed_rows(d: Domain, source: str) -> DataFrame:
         "min_purchase_amount": F.lit("1,000.5"),
         "nav_date": F.date_format(F.date_add(F.lit("2001-01-01").cast("date"), F.col("c_nationkey")), "yyyyMMdd"),
         "establish_date": F.lit("2001/02/03"),
+        "maturity_date": F.when(F.col("c_nationkey") % 2 == 0, "2005-06-07").otherwise("长期"),
+        "cumulative_nav": number_text(cents("c_acctbal")),
+        "min_additional_amount": F.when(F.col("c_nationkey") % 3 != 0, "200").otherwise("--"),
+        "currency": F.when(F.col("c_nationkey") % 4 != 0, "USD").otherwise(""),
+        "performance_benchmark": F.when(F.col("c_nationkey") % 5 != 0, F.concat(F.lit("LPR+"), F.col("c_nationkey").cast("string"))).otherwise(""),
         "org_name": F.when(F.col("c_nationkey") < 20, "光大理财有限责任公司").otherwise("other"),
         "product_status": F.when(F.col("c_nationkey") == 3, "终止").otherwise("存续"),
     }
-    fields = {f: by_name[c] for c, (_, f) in products.FIELDS[source].items() if c in by_name}
+    fields: dict[str, Column] = {}
+    for c, (_, f) in products.FIELDS[source].items():
+        # Where two columns read one field, it has the first one's value.
+        fields.setdefault(f, by_name[c] if c in by_name else F.concat(F.lit(f"{c} "), F.col("c_custkey").cast("string")))
     obj = F.struct(*[v.alias(f) for f, v in fields.items()])
     return d.raw("customer").select(
         F.col("c_custkey").alias("arrival"),
@@ -345,19 +353,52 @@ def feed_sql(source: str) -> str:
         "JX": "CASE WHEN regexp_matches(upper(rl), '^R[1-5]$') THEN 'L' || substr(rl, 2) ELSE 'L3' END",
         "SPD": risk_case("SPD", "rl") if source == "SPD" else "rl",
     }.get(source, "rl")
-    number = "c_acctbal"
+    null = "CAST(NULL AS VARCHAR)"
+
+    def given(column: str, value: str, otherwise: str = null) -> str:
+        return value if column in fields else otherwise
+
+    code = "'K' || CAST(c_custkey // 2 AS VARCHAR)"
+    registration = code if source in ("BOC", "CITIC", "CEB") else given("registration_code", "'registration_code ' || c_custkey")
+    benchmark = "CASE WHEN c_nationkey % 5 <> 0 THEN 'LPR+' || c_nationkey {} END".format("" if source == "ZY" else "ELSE ''")
+    sub_type = "'product_sub_type ' || c_custkey" if source == "CITIC" else given("product_type_raw", "nullif(raw, '')")
+    kind, institution, custodian = C.INSTITUTIONS[source]
+    columns = {
+        "institution_type": f"'{kind}'",
+        "institution_name": f"'{institution}'",
+        "institution_code": f"'{source}'",
+        "product_code": code,
+        "product_name": "name",
+        "product_short_name": given("product_short_name", "'product_short_name ' || c_custkey") if source != "ZY" else null,
+        "product_type": type_case(source, "product_type_raw" in fields),
+        "product_sub_type": sub_type,
+        "registration_code": registration,
+        "sales_code": null,
+        "establish_date": given("establish_date", "DATE '2001-02-03'", "CAST(NULL AS DATE)"),
+        "maturity_date": given("maturity_date", "CASE WHEN c_nationkey % 2 = 0 THEN DATE '2005-06-07' END", "CAST(NULL AS DATE)"),
+        "risk_level": raw_risk,
+        "currency": given("currency", "CASE WHEN c_nationkey % 4 <> 0 THEN 'USD' ELSE 'CNY' END", "'CNY'"),
+        "manager": f"'{institution}'",
+        "custodian": f"'{custodian}'" if custodian else null,
+        "fund_manager": null,
+        "investment_target": null,
+        "investment_scope": null,
+        "investment_strategy": null,
+        "performance_benchmark": given("performance_benchmark", benchmark),
+        "benchmark_type": null,
+        "min_purchase_amount": given("min_purchase_amount", "1000.5", "CAST(NULL AS DOUBLE)"),
+        "min_additional_amount": given("min_additional_amount", "CASE WHEN c_nationkey % 3 <> 0 THEN 200.0 END", "CAST(NULL AS DOUBLE)"),
+        "status": "CASE WHEN c_nationkey = 3 THEN 'inactive' ELSE 'active' END" if source == "SPD" else "'active'",
+        "data_source": "'feed'",
+        "collect_date": "DATE '2002-01-01'",
+        "unit_nav": given("unit_nav", "c_acctbal", "CAST(NULL AS DOUBLE)"),
+        "cumulative_nav": given("cumulative_nav", "c_acctbal", "CAST(NULL AS DOUBLE)"),
+        "nav_date": given("nav_date", "DATE '2001-01-01' + CAST(c_nationkey AS INTEGER)", "CAST(NULL AS DATE)"),
+    }
+    inner = ", ".join(f"{v} AS {c}" for c, v in columns.items())
     return f"""
-    SELECT product_code, product_name, product_type, rl AS risk_level, coalesce({standard_case("rl")}, {fallback}) AS
-        risk_level_standard, status, product_sub_type, unit_nav, nav_date, establish_date, institution_code
-    FROM (SELECT 'K' || CAST(c_custkey // 2 AS VARCHAR) AS product_code, name AS product_name,
-              {type_case(source, "product_type_raw" in fields)} AS product_type, {raw_risk} AS rl,
-              {"CASE WHEN c_nationkey = 3 THEN 'inactive' ELSE 'active' END" if source == "SPD" else "'active'"} AS status,
-              {"nullif(raw, '')" if "product_type_raw" in fields and source != "CITIC" else "CAST(NULL AS VARCHAR)"} AS product_sub_type,
-              {number if "unit_nav" in fields else "CAST(NULL AS DOUBLE)"} AS unit_nav,
-              {"DATE '2001-01-01' + CAST(c_nationkey AS INTEGER)" if "nav_date" in fields else "CAST(NULL AS DATE)"} AS nav_date,
-              {"DATE '2001-02-03'" if "establish_date" in fields else "CAST(NULL AS DATE)"} AS establish_date,
-              '{source}' AS institution_code,
-              row_number() OVER (PARTITION BY c_custkey // 2 ORDER BY c_custkey) AS rn
+    SELECT * EXCLUDE (rn), coalesce({standard_case("risk_level")}, {fallback.replace("rl", "risk_level")}) AS risk_level_standard
+    FROM (SELECT {inner}, row_number() OVER (PARTITION BY c_custkey // 2 ORDER BY c_custkey) AS rn
           FROM (SELECT *, {pick_sql(NAMES)} || CAST(c_custkey AS VARCHAR) AS name, {pick_sql(RAWS)} AS raw,
                     {pick_sql(RISKS)} AS risk FROM customer
                 {"WHERE c_nationkey < 20" if source == "CEB" else ""}))
@@ -367,19 +408,16 @@ def feed_sql(source: str) -> str:
 def _feed(source: str) -> None:
     @query(feed_sql(source), f"product_feed_{source.lower()}")
     def run(d: Domain) -> DataFrame:
+        """All unified columns, and the feed's own value columns beside them."""
         rows = products.bank_rows(feed_rows(d, source), source)
         extra = [
             (F.col(c) if c in rows.columns else F.lit(None).cast(t)).alias(c)
-            for c, t in (("unit_nav", "double"), ("nav_date", "date"))
+            for c, t in (("unit_nav", "double"), ("cumulative_nav", "double"), ("nav_date", "date"))
         ]
-        # The feed's own columns ride along under the unified ones.
         wide = products.normalise(rows, source)
         joined = rows.select("product_code", F.coalesce("product_name", F.lit("")).alias("product_name"), *extra)
-        keep = ["product_code", "product_name"]
-        return wide.join(joined, keep).select(
-            *keep, "product_type", "risk_level", "risk_level_standard", "status", "product_sub_type",
-            "unit_nav", "nav_date", "establish_date", "institution_code",
-        )
+        amounts = {c: F.col(c).cast("double") for c in ("min_purchase_amount", "min_additional_amount")}
+        return wide.join(joined, ["product_code", "product_name"]).withColumns(amounts)
 
 
 for _source in products.FIELDS:
