@@ -424,12 +424,21 @@ for _source in products.FIELDS:
     _feed(_source)
 
 
-@query(f"""SELECT product_code, product_name, product_type, 'R3' AS risk_level, 'L3' AS risk_level_standard,
-        '混合型' AS product_sub_type, unit_nav, daily_return, return_1y
-    FROM (SELECT 'F' || CAST(c_custkey AS VARCHAR) AS product_code, name AS product_name,
-              {type_case("fund", False)} AS product_type, c_acctbal AS unit_nav, 1.25 AS daily_return,
-              CASE WHEN c_custkey % 2 = 0 THEN 12.5 END AS return_1y
-          FROM (SELECT *, {pick_sql(NAMES)} AS name FROM customer WHERE c_custkey % 3 <> 2))""")
+NO_TEXT = ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in (
+    "product_short_name", "registration_code", "sales_code", "custodian", "fund_manager", "investment_target",
+    "investment_scope", "investment_strategy", "performance_benchmark", "benchmark_type"))
+
+
+@query(f"""SELECT 'fund_company' AS institution_type, '广发基金' AS institution_name, 'GF' AS institution_code,
+        '广发基金' AS manager, 'F' || CAST(c_custkey AS VARCHAR) AS product_code, name AS product_name,
+        {type_case("fund", False)} AS product_type, '混合型' AS product_sub_type, {NO_TEXT},
+        CAST(NULL AS DATE) AS establish_date, CAST(NULL AS DATE) AS maturity_date, 'R3' AS risk_level,
+        'L3' AS risk_level_standard, 'CNY' AS currency, CAST(NULL AS DOUBLE) AS min_purchase_amount,
+        CAST(NULL AS DOUBLE) AS min_additional_amount, 'active' AS status, 'feed' AS data_source,
+        DATE '2002-01-01' AS collect_date, c_acctbal AS unit_nav, CAST(NULL AS DOUBLE) AS cumulative_nav,
+        1.25 AS daily_return, 1.0 AS return_1m, 2.0 AS return_3m, CASE WHEN c_custkey % 2 = 0 THEN 3.0 END AS return_6m,
+        CASE WHEN c_custkey % 2 = 0 THEN 12.5 END AS return_1y
+    FROM (SELECT *, {pick_sql(NAMES)} AS name FROM customer WHERE c_custkey % 3 <> 2)""")
 def product_feed_funds(d: Domain) -> DataFrame:
     """Fund list arrays; every third customer's array is too short."""
     key = F.col("c_custkey")
@@ -453,10 +462,9 @@ def product_feed_funds(d: Domain) -> DataFrame:
     )
     rows = products.fund_rows(lists)
     wide = products.normalise(rows, "fund", "GF")
-    return wide.join(rows.select("product_code", "unit_nav", "daily_return", "return_1y"), "product_code").select(
-        "product_code", "product_name", "product_type", "risk_level", "risk_level_standard", "product_sub_type",
-        "unit_nav", "daily_return", "return_1y",
-    )
+    values = ["unit_nav", "cumulative_nav", "daily_return", "return_1m", "return_3m", "return_6m", "return_1y"]
+    amounts = {c: F.col(c).cast("double") for c in ("min_purchase_amount", "min_additional_amount")}
+    return wide.join(rows.select("product_code", *values), "product_code").withColumns(amounts)
 
 
 @query("""SELECT c.c_custkey AS arrival, 'K' || CAST(c.c_custkey AS VARCHAR) AS product_code, n.o_totalprice AS unit_nav,
