@@ -69,7 +69,9 @@ def search_products(
     if keyword:
         wanted.append(match_any([F.col("product_code"), F.col("product_name")], keyword))
     hits = products.filter(all_of(wanted))
-    last = latest_value(nav, "product_id", "nav_date", ["unit_nav"], tiebreak="id")
+    # Only the values of the hits are reduced.
+    theirs = nav.join(hits.select("product_id"), "product_id", "left_semi")
+    last = latest_value(theirs, "product_id", "nav_date", ["unit_nav"], tiebreak="id")
     return hits.join(last, "product_id", "left").select(
         "product_id",
         *PRODUCT,

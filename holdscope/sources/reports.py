@@ -24,6 +24,9 @@ def plain(c: Column) -> Column:
     """Text without tags, trimmed, entities resolved."""
     return unescape(strip(F.regexp_replace(c, r"<[^>]+>", "")))
 
+#: What marks the two ends of a title.
+OPEN, CLOSE = "\x01", "\x02"
+
 
 def elements(html: Column, tag: str) -> Column:
     """Inner HTML of every element with this tag, in order."""
@@ -38,12 +41,15 @@ def quarter_end(year: Column, quarter: Column) -> Column:
 def quarter_sections(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row per quarter section of each page: title, report date and the section's HTML.
 
-    The date is the stated cut-off, else the quarter's last day.
+    The date is the stated cut-off, else the quarter's last day. Titles are looked for once: each is put between two
+    control characters, which no page holds as such, and the page is then cut at these.
     """
-    titles = F.regexp_extract_all(F.col(html), F.lit(TITLE), 1)
+    marked = F.regexp_replace(F.translate(F.col(html), OPEN + CLOSE, ""), TITLE, f"{OPEN}$1{CLOSE}")
     # Everything before the first title is not a section.
-    bodies = F.slice(F.split(F.col(html), TITLE), F.lit(2), F.lit(2147483647))
-    rows = pages.withColumn("_s", F.explode(F.arrays_zip(titles.alias("title"), bodies.alias("body"))))
+    pieces = F.slice(F.split(marked, OPEN), F.lit(2), F.lit(2147483647))
+    rows = pages.withColumn("_p", F.explode(pieces))
+    title = F.substring_index("_p", CLOSE, 1)
+    rows = rows.select("*", F.struct(title.alias("title"), F.expr(f"substr(_p, instr(_p, '{CLOSE}') + 1)").alias("body")).alias("_s")).drop("_p")
     title = F.col("_s.title")
     year, quarter = F.regexp_extract(title, r"^(\d{4})", 1), F.regexp_extract(title, r"年(\d)季", 1)
     stated = to_date(F.regexp_extract(F.col("_s.body"), CUTOFF, 1))
