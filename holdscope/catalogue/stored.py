@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from holdscope.catalogue.domain import Domain, sql
 from holdscope.catalogue.portfolio import ASSET, CROSS, FAMILY, INDUSTRIES, INDUSTRY, KEPT, MERGE
 from holdscope.catalogue.registry import query, rounded
-from holdscope.operators import runs
+from holdscope.operators import keywords, pages, runs
 from holdscope.plans import analysis
 from holdscope.schemas import DDL
+from holdscope.session import cut_lineage
 from holdscope.sources import store, writes
 from holdscope.sources.tables import create_table, read_table, write_table
 
@@ -329,6 +330,33 @@ def load_store(d: Domain, root: str) -> None:
     )
 
 
+ORDERED = "SELECT *, row_number() OVER (ORDER BY institution_code, product_code, product_id) - 1 AS place FROM snapshots"
+
+
+@query(sql(f"""SELECT place, product_id, institution_code, product_code, product_name FROM ({ORDERED})
+    WHERE place >= (SELECT (count(*) - 1) // 40 * 40 FROM snapshots)""", "snapshots"))
+def deepest_product_page(d: Domain) -> DataFrame:
+    """The last page of all products, read from the one stored range that holds it."""
+    path = f"{store_root(d)}/order"
+    order = [F.col(c).asc() for c in ("institution_code", "product_code", "product_id")]
+    pages.store_order(d.snapshots(), order, path, range_rows=1000)
+    found = pages.read_page(d.spark, path, pages.last_page(d.spark, path, 40), 40)
+    return found.select("place", "product_id", "institution_code", "product_code", "product_name")
+
+
+@query(sql("""SELECT product_id, product_code, product_name FROM snapshots
+    WHERE product_code ILIKE '%1_5%' OR product_name ILIKE '%1_5%'
+    UNION ALL SELECT product_id, product_code, product_name FROM snapshots
+    WHERE product_code ILIKE '%c10%' OR product_name ILIKE '%c10%'""", "snapshots"))
+def products_by_keyword(d: Domain) -> DataFrame:
+    """Two keywords: one of three letters goes by the trigrams, one cut by a wild card reads all rows."""
+    columns = ["product_code", "product_name"]
+    rows = d.snapshots().select("product_id", *columns)
+    index = cut_lineage(keywords.trigram_index(rows, "product_id", columns))
+    found = [keywords.search(rows, index, "product_id", columns, k) for k in ("1_5", "C10")]
+    return found[0].unionByName(found[1])
+
+
 FEATURE_COUNTS = ("counts", """
     SELECT 'asset' AS kind, count(DISTINCT product_id) AS n_products, count(DISTINCT feature) AS n_features FROM asset_cells
     UNION ALL SELECT 'industry', count(DISTINCT product_id), count(DISTINCT feature) FROM industry_cells""")
