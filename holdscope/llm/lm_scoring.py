@@ -44,7 +44,7 @@ SHARD_BYTES = 192 << 20
 PART_BYTES = 12 << 20
 #: Tokens that a task counts before it passes the counts on, and bytes of text hashed at a time.
 COUNTED_TOKENS = 2_000_000
-BLOCK = 3 << 20
+BLOCK = 1 << 20
 
 U = np.uint64
 FACTOR = 0x9E3779B97F4A7C15
