@@ -5,7 +5,8 @@ column per cluster (``c0 .. c{k-1}``), so assigning points is one join on the fe
 map-side-combined aggregate per product: a feature meets its k centroid values in one row and
 no point x cluster x feature rows exist. The centroid table is counted once and broadcast
 while features x k stays small; then an iteration shuffles no points at all. A larger table is
-joined by a shuffle on the feature.
+joined by a shuffle on the feature. While the centres may also be collected, whole runs go through
+``kmeans_many``, a job per iteration; the loop here serves larger tables by the same rules.
 
 Points are hashed by product once and reused by every iteration. The centroid table is
 checkpointed each iteration, which keeps the plan short and survives lost executors.
@@ -152,10 +153,15 @@ def _as_centroids(points: DataFrame, picks: list) -> DataFrame:
     return points.filter(F.col("product_id").isin(*picks)).groupBy("feature").agg(*columns)
 
 
+def draw_some(products: DataFrame, k: int, seed: int) -> list:
+    """The k products with the smallest draws."""
+    drawn = products.select("product_id").orderBy(_uniform(seed, 0), "product_id").limit(k)
+    return [r["product_id"] for r in drawn.collect()]
+
+
 def seed_random(points: DataFrame, k: int, seed: int) -> DataFrame:
     """k distinct products drawn by hash as starting centroids."""
-    drawn = points.select("product_id").distinct().orderBy(_uniform(seed, 0), "product_id").limit(k)
-    return _as_centroids(points, [r["product_id"] for r in drawn.collect()])
+    return _as_centroids(points, draw_some(points.select("product_id").distinct(), k, seed))
 
 
 def seed_plus_plus(points: DataFrame, k: int, seed: int) -> DataFrame:
@@ -237,6 +243,13 @@ def lloyd(
         centroids, norms = moved.select("feature", *_names(k)), list(row)[1:]
 
 
+def check_start(n: int, k: int, init: str = "k-means++") -> None:
+    if init not in ("k-means++", "random"):
+        raise ValueError(f"unknown init: {init}")
+    if not 0 < k <= n:
+        raise ValueError(f"invalid k={k} for {n} products")
+
+
 def kmeans(
     points: DataFrame,
     k: int,
@@ -246,6 +259,13 @@ def kmeans(
     init: str = "k-means++",
 ) -> Clustering:
     """Full k-means; an emptied cluster restarts at the point farthest from all centres."""
+    from holdscope.operators import kmeans_many, packed  # they build on this module
+
+    rows = packed.pack(points, k) if k > 0 else None
+    if rows is not None:
+        check_start(rows.n, k, init)
+        draw = {"k-means++": kmeans_many.plus_plus, "random": kmeans_many.drawn_at_random}[init]
+        return kmeans_many.lloyd_many(rows, {k: draw(rows, k, seed)}, max_iter, tol)[k]
     laid = prepare(points)
     try:
         return kmeans_of(laid, laid.select("product_id").distinct().count(), k, seed, max_iter, tol, init)
@@ -263,11 +283,8 @@ def kmeans_of(
     init: str = "k-means++",
 ) -> Clustering:
     """Full k-means of ``n`` products that ``prepare`` laid out."""
+    check_start(n, k, init)
     seeds = {"k-means++": seed_plus_plus, "random": seed_random}
-    if init not in seeds:
-        raise ValueError(f"unknown init: {init}")
-    if not 0 < k <= n:
-        raise ValueError(f"invalid k={k} for {n} products")
     return lloyd(laid, seeds[init](laid, k, seed), k, max_iter, tol)
 
 
@@ -275,9 +292,14 @@ def kmeans_from(
     points: DataFrame, centroids: DataFrame, k: int, max_iter: int = 100, tol: float = 1e-4
 ) -> Clustering:
     """k-means from given wide centroids (warm start); an emptied cluster keeps its centre."""
-    n = points.select("product_id").distinct().count()
-    if not 0 < k <= n:
-        raise ValueError(f"invalid k={k} for {n} products")
+    from holdscope.operators import kmeans_many, packed  # they build on this module
+
+    rows = packed.pack(points, k) if k > 0 and fits_broadcast(centroids.count(), 8 * (k + 8)) else None
+    if rows is not None:
+        check_start(rows.n, k)
+        start, outside = kmeans_many.given(rows, centroids, k)
+        return kmeans_many.lloyd_many(rows, {k: start}, max_iter, tol, keep_empty=True, outside=outside)[k]
+    check_start(points.select("product_id").distinct().count(), k)
     laid = prepare(points)
     try:
         return lloyd(laid, centroids, k, max_iter, tol, keep_empty=True)

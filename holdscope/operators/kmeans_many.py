@@ -1,4 +1,4 @@
-"""k-means for several k in one loop.
+"""k-means on packed products, for one start or for several k in one loop.
 
 The centres of all k stand side by side. A round is one job: every task assigns its products for all k that still move,
 with most distances ruled out by the triangle inequality, and returns sums per centre. Each k ends on its own, by the same
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdscope.operators.clustering import Clustering, draw_first, draw_next
+from holdscope.operators.clustering import Clustering, draw_first, draw_next, draw_some
 from holdscope.operators.packed import Centres, Packed, Sparse, cells_of, map_packed
 from holdscope.session import cut_lineage
 
@@ -102,14 +102,49 @@ def kmeans_many(packed: Packed, ks: Sequence[int], seed: int, max_iter: int, tol
     if not all(0 < k <= packed.n for k in ks):
         raise ValueError(f"invalid k among {list(ks)} for {packed.n} products")
     start = plus_plus(packed, max(ks), seed)
-    now = {k: start[:k] for k in ks}
-    done: dict[int, tuple[np.ndarray, np.ndarray, float, int]] = {}
+    return lloyd_many(packed, {k: start[:k] for k in ks}, max_iter, tol)
+
+
+def drawn_at_random(packed: Packed, k: int, seed: int) -> np.ndarray:
+    """The vectors of k distinct products drawn by hash."""
+    return np.stack([vector_of(packed, p) for p in draw_some(packed.rows, k, seed)])
+
+
+def given(packed: Packed, wide: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Wide centroids over the packed features, and the squared length of what each has in other features."""
+    at = {name: i for i, name in enumerate(packed.names)}
+    start, outside = np.zeros((k, len(at))), np.zeros(k)
+    for row in wide.select("feature", *[f"c{j}" for j in range(k)]).collect():
+        values = np.array([0.0 if v is None else v for v in row[1:]])
+        if row[0] in at:
+            start[:, at[row[0]]] = values
+        else:
+            outside += values * values
+    return start, outside
+
+
+def lloyd_many(
+    packed: Packed,
+    starts: dict[int, np.ndarray],
+    max_iter: int,
+    tol: float,
+    keep_empty: bool = False,
+    outside: np.ndarray | None = None,
+) -> dict[int, Clustering]:
+    """The loop from one start per k, by the rules of ``clustering.lloyd``.
+
+    ``outside`` is what centres of a single start have besides the packed features; it ends with the first update.
+    """
+    ks, now = list(starts), dict(starts)
+    done: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, float, int]] = {}
     n_iter = 0
     while now:
         n_iter += 1
         active = list(now)
         edges = np.cumsum([0, *active]).tolist()
         centres = Centres(np.concatenate([now[k] for k in active]), edges)
+        if outside is not None and n_iter == 1:
+            centres.norms = centres.norms + outside
         found = _round(packed, centres)
         sums = np.zeros_like(centres.values)
         cells = found[found["at"] >= 0]
@@ -121,18 +156,21 @@ def kmeans_many(packed: Packed, ks: Sequence[int], seed: int, max_iter: int, tol
             new = sums[a:b] / np.maximum(sizes[a:b], 1)[:, None]
             empty = sizes[a:b] == 0
             if empty.any():
-                new[empty] = vector_of(packed, told[FAR].loc[g, "id"])
+                new[empty] = now[k][empty] if keep_empty else vector_of(packed, told[FAR].loc[g, "id"])
             if np.sqrt(((new - now[k]) ** 2).sum()) < tol or n_iter >= max_iter:
-                done[k] = now.pop(k), new, float(told[INERTIA].loc[g, "value"]), n_iter
+                done[k] = centres.values[a:b], centres.norms[a:b], new, float(told[INERTIA].loc[g, "value"]), n_iter
+                del now[k]
             else:
                 now[k] = new
-    return _finished(packed, list(ks), done)
+    return _finished(packed, ks, done)
 
 
 def _finished(packed: Packed, ks: list[int], done: dict) -> dict[int, Clustering]:
     """The labels of all k from one pass with their last centres but one."""
     spark = packed.rows.sparkSession
-    shared = spark.sparkContext.broadcast(Centres(np.concatenate([done[k][0] for k in ks]), np.cumsum([0, *ks]).tolist()))
+    last = Centres(np.concatenate([done[k][0] for k in ks]), np.cumsum([0, *ks]).tolist())
+    last.norms = np.concatenate([done[k][1] for k in ks])
+    shared = spark.sparkContext.broadcast(last)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +183,7 @@ def _finished(packed: Packed, ks: list[int], done: dict) -> dict[int, Clustering
     shared.unpersist()
     out = {}
     for i, k in enumerate(ks):
-        _, centres, inertia, n_iter = done[k]
+        _, _, centres, inertia, n_iter = done[k]
         own = labels.select("product_id", F.col("labels")[i].alias("cluster_id"), F.col("d2")[i].alias("d2"))
         table = pd.DataFrame(centres.T, columns=[f"c{j}" for j in range(k)])
         table.insert(0, "feature", packed.names)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from holdscope.operators import baseline, clustering, kmeans_many, selection
+from holdscope.operators import baseline, clustering, kmeans_many, packed, selection
 from holdscope.operators.packed import Centres, Sparse, pack
 
 
@@ -202,6 +202,35 @@ def test_feature_jaccard_of_empty_sets(spark):
     assert baseline.feature_jaccard(none, some).first()[0] == 0.0
 
 
+@pytest.mark.parametrize("init", ["k-means++", "random"])
+def test_runs_take_one_pass_an_iteration(spark, monkeypatch, init):
+    x = blobs(11, [*THREE, (4.0, 4.0)], 1.5, 20, extra=3)
+    points = frame(spark, x)
+    monkeypatch.setattr(packed, "pack", lambda points, centres: None)
+    want = clustering.kmeans(points, 4, 7, init=init)
+    monkeypatch.undo()
+    # The loop of one job per step is not needed here.
+    monkeypatch.setattr(clustering, "lloyd", None)
+    got = clustering.kmeans(points, 4, 7, init=init)
+    assert (labels_of(got) == labels_of(want)).all()
+    assert (got.n_iter, got.inertia) == (want.n_iter, pytest.approx(want.inertia))
+
+
+def test_warm_start_with_an_empty_cluster_and_a_vanished_feature(spark, monkeypatch):
+    x = blobs(42, THREE, 0.5, 20)
+    start = np.array([[1.0, 1.0, 0.0], [9.0, 1.0, 3.0], [1.0, 8.0, 0.0], [500.0, 500.0, 0.0]])
+    points, centres = frame(spark, x), wide(spark, start)
+    for max_iter in (1, 100):
+        monkeypatch.setattr(packed, "pack", lambda points, centres: None)
+        want = clustering.kmeans_from(points, centres, 4, max_iter)
+        monkeypatch.undo()
+        got = clustering.kmeans_from(points, centres, 4, max_iter)
+        assert (labels_of(got) == labels_of(want)).all()
+        assert (got.n_iter, got.inertia) == (want.n_iter, pytest.approx(want.inertia))
+        cells = lambda r: {(c["cluster_id"], c["feature"]): c["value"] for c in clustering.long_centroids(r.centroids, 4).collect()}
+        assert cells(got) == pytest.approx(cells(want))
+
+
 def test_all_k_in_one_loop_equal_single_runs(spark):
     x = blobs(3, [*THREE, (10.0, 10.0), (5.0, 5.0)], 1.5, 15, extra=3)
     points = frame(spark, x)
