@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
@@ -59,6 +60,41 @@ def test_every_product_against_all_pairs(spark, metric, n, block_rows, top_n):
     assert got == brute_force(rows, metric, top_n)
 
 
+def test_a_block_is_searched_without_a_step_per_pair(spark):
+    """Products that all share a few features each: no list ends early, and all members of a block are met."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(3000):
+        w = {f"f{f}": rnd.random() + 0.01 for f in rnd.sample(range(1500), 60)}
+        norm = sum(x * x for x in w.values()) ** 0.5
+        rows += [(i, f, x, x / norm) for f, x in w.items()]
+    table = spark.createDataFrame(rows, SCHEMA).cache()
+    start = time.time()
+    found = neighbours.neighbors_of_all(table, "cosine", 5).collect()
+    assert time.time() - start < 60
+    assert len(found) == 15000
+    some = {0, 1500, 2999}
+    own = {i: {f: unit for j, f, _, unit in rows if j == i} for i in some}
+    scores = {i: {} for i in some}
+    for j, f, _, unit in rows:
+        for i in some:
+            if i != j and f in own[i]:
+                scores[i][j] = scores[i].get(j, 0.0) + own[i][f] * unit
+    for i in some:
+        want = sorted((-round(s, 9), j) for j, s in scores[i].items())[:5]
+        got = [(r["neighbor_id"], r["score"]) for r in sorted(found, key=lambda r: r["rank"]) if r["product_id"] == i]
+        assert [j for j, _ in got] == [j for _, j in want]
+        assert [s for _, s in got] == pytest.approx([-s for s, _ in want])
+
+
+def test_copies_of_a_product_grow_with_blocks_of_bounded_cells(spark, monkeypatch):
+    table = spark.createDataFrame(cells(4, 200, 6, 0.3), SCHEMA)
+    assert neighbours.laid_out(table, "overlap", None, None).select("block").distinct().count() <= neighbours.BLOCKS
+    monkeypatch.setattr(neighbours, "BLOCK_CELLS", 50)
+    total = table.filter("raw_weight <> 0").count()
+    assert neighbours.laid_out(table, "overlap", None, None).agg({"block": "max"}).first()[0] <= -(-total // 50)
+
+
 def test_blocks_of_other_styles_are_not_visited(spark):
     table = spark.createDataFrame(cells(3, 300, 6, 0.05), SCHEMA)
     assert neighbours.visited_share(table, "overlap", 3, block_rows=20) < 0.5
