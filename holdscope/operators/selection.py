@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,92 +13,56 @@ from pyspark.sql.window import Window
 from holdscope.operators import silhouette as bounded
 from holdscope.operators.clustering import Clustering, kmeans_of, prepare
 from holdscope.operators.kmeans_many import kmeans_many
-from holdscope.operators.packed import pack
+from holdscope.operators.packed import Sparse, pack
+from holdscope.operators.skew import attach
 from holdscope.session import cut_lineage, ship_package
 
-BLOCK_ROWS = 512
-# Feature columns expanded at once inside a task; bounds the dense buffer of a block.
-FEATURE_CHUNK = 4096
-
-
-def _dense(pdf: pd.DataFrame, names: np.ndarray) -> np.ndarray:
-    """Block rows x the given features, absent cells zero."""
-    out = np.zeros((len(pdf), len(names)))
-    for i, (feats, weights) in enumerate(zip(pdf["features"], pdf["weights"])):
-        at = np.searchsorted(names, feats)
-        at[at == len(names)] = 0
-        hit = names[at] == feats
-        out[i, at[hit]] = np.asarray(weights)[hit]
-    return out
-
-
-def _label_sums(dist: np.ndarray, rows: pd.DataFrame, members: pd.DataFrame) -> list[pd.DataFrame]:
-    """Distance sums of some products to the members of each label, per run."""
-    labels = np.stack(members["labels"].to_list())
-    pieces = []
-    for run in range(labels.shape[1]):
-        others = np.unique(labels[:, run])
-        member = (labels[:, run][:, None] == others[None, :]).astype("float64")
-        pieces.append(
-            pd.DataFrame(
-                {
-                    "product_id": np.repeat(rows["product_id"].to_numpy(), len(others)),
-                    "run": run,
-                    "other": np.tile(others, len(rows)),
-                    "total": (dist @ member).ravel(),
-                    "members": np.tile(member.sum(axis=0).astype("int64"), len(rows)),
-                }
-            )
-        )
-    return pieces
-
-
-def _block_sums(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Both directions of one pair of blocks: each product's distance sums to the other block's labels."""
-    columns = ["product_id", "run", "other", "total", "members"]
-    if left.empty or right.empty:
-        return pd.DataFrame({c: pd.Series(dtype="float64" if c == "total" else "int64") for c in columns})
-    names = np.unique(np.concatenate([np.concatenate(list(b["features"])) for b in (left, right)]))
-    shape = (len(left), len(right))
-    square, cross = np.zeros(shape), np.zeros(shape)
-    for at in range(0, len(names), FEATURE_CHUNK):
-        part = names[at : at + FEATURE_CHUNK]
-        a, b = _dense(left, part), _dense(right, part)
-        square += (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :]
-        cross += a @ b.T
-    dist = np.sqrt(np.maximum(square - 2.0 * cross, 0.0))
-    pieces = _label_sums(dist, left, right)
-    if key[0] != key[1]:
-        pieces += _label_sums(dist.T, right, left)
-    return pd.concat(pieces)[columns]
-
-
-def _all_pairs(points: DataFrame, labeled: DataFrame, n: int, block_rows: int) -> DataFrame:
-    """Distance sums of every product to every label, from all pairs of blocks."""
-    vectors = points.groupBy("product_id").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("feature").cast("string").alias("f"), "weight"))).alias("v")
-    )
-    packed = labeled.join(vectors, "product_id").select(
-        "product_id",
-        "labels",
-        F.transform("v", lambda x: x["f"]).alias("features"),
-        F.transform("v", lambda x: x["weight"]).alias("weights"),
+
+def _all_pairs(points: DataFrame, labeled: DataFrame, names: list[list], sizes: dict, block_rows: int | None) -> DataFrame:
+    """(product_id, run, other, total, members): sums of every product over every label, from all pairs of blocks."""
+    numbers = cut_lineage(points.select("feature").distinct()).select("feature", F.monotonically_increasing_id().alias("at"))
+    vectors = (
+        attach(points, numbers, ["feature"])
+        .groupBy("product_id")
+        .agg(F.sort_array(F.collect_list(F.struct("at", "weight"))).alias("v"))
+        .select("product_id", F.col("v.at").alias("at"), F.col("v.weight").alias("w"))
     )
-    packed = cut_lineage(packed)
-    blocks = max(1, -(-n // block_rows))
+    packed = cut_lineage(labeled.join(vectors, "product_id"))
+    n, cells = packed.agg(F.count(F.lit(1)), F.sum(F.size("at"))).first()
+    rows = block_rows or bounded.rows_of(n, cells or 0, len(sizes))
+    # A few blocks fill the cores; more keep a block within its bound.
+    blocks = max(1, min(bounded.TURNS, n), -(-n // rows))
     block = F.pmod(F.xxhash64(F.col("product_id").cast("string")), F.lit(blocks)).cast("int")
     left = packed.withColumn("bi", block).withColumn("bj", F.explode(F.sequence(F.col("bi"), F.lit(blocks - 1))))
     right = packed.withColumn("bj", block).withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("bj"))))
+    edges = np.cumsum([0, *map(len, names)])
+    shared = points.sparkSession.sparkContext.broadcast([np.array(x) for x in names])
+
+    def own(table: pa.Table) -> np.ndarray:
+        labels = np.array(table.column("labels").to_pylist(), np.int64)
+        return np.stack([edges[r] + np.searchsorted(x, labels[:, r]) for r, x in enumerate(shared.value)], axis=1)
+
+    def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            x, y = Sparse(left), Sparse(right)
+            (met_x, in_x), (met_y, in_y) = (bounded.members_of(own(t)) for t in (left, right))
+            to_y, to_x = np.zeros((len(x), len(met_y))), np.zeros((len(y), len(met_x)))
+            for a, b, d in bounded.strips(x, y):
+                to_y[a:b] = d @ in_y
+                to_x += d.T @ in_x[a:b]
+            sides = [(left, met_y, to_y), (right, met_x, to_x)]
+            for table, met, sums in sides[: 1 if key[0].as_py() == key[1].as_py() else 2]:
+                who = np.repeat(np.arange(len(sums)), len(met))
+                out.append(bounded.lists_of(table.column("product_id"), who, np.tile(met, len(sums)), sums.ravel(), len(sums)))
+        none = bounded.lists_of(left.column("product_id").slice(0, 0), *[np.empty(0, np.int64)] * 3, 0)
+        return pa.concat_tables(out) if out else none
+
     ship_package(packed.sparkSession)
     id_type = packed.schema["product_id"].dataType.simpleString()
-    partial = (
-        left.groupBy("bi", "bj")
-        .cogroup(right.groupBy("bi", "bj"))
-        .applyInPandas(_block_sums, f"product_id {id_type}, run int, other long, total double, members long")
-    )
-    return partial.groupBy("product_id", "run", "other").agg(
-        F.sum("total").alias("total"), F.sum("members").alias("members")
-    )
+    schema = f"product_id {id_type}, label array<int>, total array<double>"
+    partial = left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj")).applyInArrow(meet, schema)
+    return bounded.added_up(partial, names, sizes)
 
 
 def label_sums(points: DataFrame, labelings: list[DataFrame], block_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -115,11 +79,11 @@ def label_sums(points: DataFrame, labelings: list[DataFrame], block_rows: int |
     labeled = cut_lineage(labeled.select("product_id", F.array(*[F.col(f"l{i}") for i in range(len(labelings))]).alias("labels")))
     sizes = labeled.select(F.posexplode("labels").alias("run", "own")).groupBy("run", "own").count()
     packed = pack(points, max(1, sizes.count()))
-    if packed is None:
-        return _all_pairs(points, labeled, labeled.count(), block_rows or BLOCK_ROWS), labeled
     counted = {(r["run"], r["own"]): r["count"] for r in sizes.collect()}
     names = [sorted(own for run, own in counted if run == i) for i in range(len(labelings))]
-    return bounded.mean_sums(packed, labeled, names, counted, block_rows or bounded.BLOCK_ROWS), labeled
+    if packed is None:
+        return _all_pairs(points, labeled, names, counted, block_rows), labeled
+    return bounded.mean_sums(packed, labeled, names, counted, block_rows), labeled
 
 
 def silhouettes(points: DataFrame, labelings: list[DataFrame], block_rows: int | None = None) -> DataFrame:

@@ -2,8 +2,9 @@
 
 The mean distance of a product to a cluster is at least its distance to the centre and, by Jensen's inequality, at most
 the root of that distance squared plus the cluster's variance. A product visits its own cluster and those whose interval
-may hold the least mean. Members are laid out by the clusters of the finest labeling; a task gets a bounded block of
-members and a bounded number of products that visit them.
+may hold the least mean. Members are laid out by the clusters of the finest labeling; a task gets a block of members and
+products that visit them, both bounded by their cells. A task computes distances in strips, from the cells that two
+vectors share or, where most cells are filled, by dense products; it returns one row per product.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from holdscope.operators.packed import SLACK, Centres, Packed, Sparse, cells_of,
 from holdscope.operators.skew import fits_broadcast
 from holdscope.session import cut_lineage, ship_package
 
-#: Members of a block, and products that visit it at a time.
-BLOCK_ROWS = 1024
-#: Feature columns expanded at once inside a task; bounds the dense buffer of a block.
-FEATURE_CHUNK = 4096
-SIZE, SQUARES = -1, -2
+#: Cells of a block of members, and of the products that visit it at a time; turns of a small table.
+BLOCK_CELLS, TURNS = 3 << 20, 8
+#: Distances at a time, and bytes of the sums of a block.
+STRIP, SUM_BYTES = 4 << 20, 256 << 20
+#: Vectors that fill so much of their features are multiplied as dense ones.
+DENSE = 0.1
+SQUARES = -2
 
 
 class Shape:
@@ -94,30 +97,94 @@ def shape_of(rows: DataFrame, names: list[list], sizes: dict, features: int) ->
     return Shape(names, centres, np.maximum(squares / count - centres.norms, 0), count, together)
 
 
-def _dense(x: Sparse, rows: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """Rows x the given features, absent cells zero."""
-    out = np.zeros((len(x), len(features)))
-    at = np.minimum(np.searchsorted(features, x.at), len(features) - 1)
-    hit = features[at] == x.at
-    out[rows[hit], at[hit]] = x.w[hit]
-    return out
+def rows_of(n: int, cells: int, clusters: int) -> int:
+    """Products of a block, by its cells and the sums that it may return."""
+    return max(1, min(BLOCK_CELLS * n // max(cells, 1), max(512, SUM_BYTES // (8 * clusters))))
+
+
+class Columns:
+    """The vectors of a block by feature: members and weights of ``names[i]`` are ``begin[i]`` to ``begin[i + 1]``."""
+
+    def __init__(self, y: Sparse):
+        order = np.argsort(y.at, kind="stable")
+        self.names, first = np.unique(y.at[order], return_index=True)
+        self.begin = np.append(first, len(order))
+        self.members = np.repeat(np.arange(len(y)), y.sizes)[order]
+        self.w = y.w[order]
+        self.xx = y.xx
+        self.dense = None
+        if len(order) >= DENSE * len(y) * len(self.names):
+            self.dense = np.zeros((len(self.names), len(y)))
+            self.dense[np.repeat(np.arange(len(first)), np.diff(self.begin)), self.members] = self.w
+
+    def __len__(self) -> int:
+        return len(self.xx)
+
+    def distances(self, x: Sparse, a: int, b: int) -> np.ndarray:
+        """Euclidean distances of the vectors ``a`` to ``b`` of ``x`` to all members."""
+        cells = slice(x.begin[a], x.begin[b - 1] + x.sizes[b - 1])
+        at, w, row = x.at[cells], x.w[cells], np.repeat(np.arange(b - a), x.sizes[a:b])
+        found = np.minimum(np.searchsorted(self.names, at), len(self.names) - 1)
+        here = self.names[found] == at
+        found, w, row = found[here], w[here], row[here]
+        if self.dense is not None:
+            wide = np.zeros((b - a, len(self.names)))
+            wide[row, found] = w
+            cross = wide @ self.dense
+        else:
+            size = self.begin[found + 1] - self.begin[found]
+            ends = np.cumsum(size)
+            entries = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[found] - ends + size, size)
+            places = np.repeat(row * len(self), size) + self.members[entries]
+            cross = np.bincount(places, np.repeat(w, size) * self.w[entries], (b - a) * len(self))
+            cross = cross.astype(np.float64, copy=False).reshape(b - a, len(self))  # without a cell they are integers
+        cross *= -2
+        cross += x.xx[a:b, None]
+        cross += self.xx[None, :]
+        return np.sqrt(np.maximum(cross, 0, out=cross), out=cross)
+
+
+def strips(x: Sparse, y: Sparse) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Distances of all vectors of two blocks, some of ``x`` at a time."""
+    columns = Columns(y)
+    step = max(1, STRIP // len(y))
+    for a in range(0, len(x), step):
+        b = min(a + step, len(x))
+        yield a, b, columns.distances(x, a, b)
 
 
 def distances(a: Sparse, b: Sparse) -> np.ndarray:
     """Euclidean distances of all vectors of two blocks."""
-    names = np.unique(np.concatenate([a.at, b.at]))
-    rows = [np.repeat(np.arange(len(x)), x.sizes) for x in (a, b)]
-    cross = np.zeros((len(a), len(b)))
-    for i in range(0, len(names), FEATURE_CHUNK):
-        part = names[i : i + FEATURE_CHUNK]
-        cross += _dense(a, rows[0], part) @ _dense(b, rows[1], part).T
-    return np.sqrt(np.maximum(a.xx[:, None] + b.xx[None, :] - 2 * cross, 0))
+    return np.concatenate([d for _, _, d in strips(a, b)])
 
 
-SUMS = "run int, other long, total double, members long"
+def members_of(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the labels met in (product, run), and for each product and label whether it has it."""
+    met = np.unique(own)
+    out = np.zeros((len(own), len(met)))
+    out[np.arange(len(own))[:, None], np.searchsorted(met, own)] = 1.0
+    return met, out
 
 
-def mean_sums(packed: Packed, labeled: DataFrame, names: list[list], sizes: dict, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def lists_of(ids: pa.ChunkedArray, who: np.ndarray, label: np.ndarray, total: np.ndarray, n: int) -> pa.Table:
+    """(product_id, label, total): a row per product with what it has to add to labels; ``who`` ascends."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(who, minlength=n))]), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(c, k)) for c, k in ((label, pa.int32()), (total, pa.float64()))]
+    return pa.table([ids, *lists], names=["product_id", "label", "total"])
+
+
+def added_up(partial: DataFrame, names: list[list], sizes: dict) -> DataFrame:
+    """(product_id, run, other, total, members) from rows of lists; a total has all members of its label."""
+    spark = partial.sparkSession
+    of = [(i, r, int(name), int(sizes[r, name])) for i, (r, name) in enumerate((r, x) for r, n in enumerate(names) for x in n)]
+    told = spark.createDataFrame(of, "label INT, run INT, other LONG, members LONG")
+    # Lists are small to shuffle; what they hold then is where it is added up.
+    each = partial.repartition("product_id").select("product_id", F.explode(F.arrays_zip("label", "total")).alias("c"))
+    sums = each.groupBy("product_id", F.col("c.label").alias("label")).agg(F.sum("c.total").alias("total"))
+    return sums.join(F.broadcast(told), "label").select("product_id", "run", "other", "total", "members")
+
+
+def mean_sums(packed: Packed, labeled: DataFrame, names: list[list], sizes: dict, block_rows: int | None = None) -> DataFrame:
     """(product_id, run, other, total, members): distance sums of products to the clusters they visit, in blocks.
 
     ``labeled`` has product_id and ``labels``, one per run; ``names`` the sorted labels of each run, ``sizes`` the number of
@@ -128,8 +195,9 @@ def mean_sums(packed: Packed, labeled: DataFrame, names: list[list], sizes: dict
     shape = shape_of(rows, names, sizes, len(packed.names))
     finest = int(np.argmax([len(n) for n in names]))
     first, edges = shape.centres.edges[finest], shape.centres.edges
-    slices = np.maximum(1, -(-shape.sizes[first : edges[finest + 1]].astype(int) // block_rows))
-    turns = max(1, -(-packed.n // block_rows))
+    per_block = block_rows or rows_of(packed.n, rows.agg(F.sum(F.size("at"))).first()[0] or 0, edges[-1])
+    slices = np.maximum(1, -(-shape.sizes[first : edges[finest + 1]].astype(int) // per_block))
+    turns = max(1, min(TURNS, packed.n), -(-packed.n // per_block))
     shared = spark.sparkContext.broadcast(shape)
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,31 +228,21 @@ def mean_sums(packed: Packed, labeled: DataFrame, names: list[list], sizes: dict
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         s: Shape = shared.value
-        columns: list[list] = [[] for _ in range(5)]
-        if left.num_rows and right.num_rows:
-            x, y = Sparse(left), Sparse(right)
-            dist = distances(x, y)
-            own = s.numbers(right.column("labels").combine_chunks())
-            width = len(s.sizes)
-            seen = np.frombuffer(b"".join(left.column("seen").to_pylist()), np.uint8).reshape(len(x), -1)
-            seen = np.unpackbits(seen, axis=1, count=width).astype(bool)
-            for r in range(len(s.names)):
-                a = s.centres.edges[r]
-                for c in np.unique(own[:, r]):
-                    who, inside = np.flatnonzero(seen[:, c]), own[:, r] == c
-                    if len(who):
-                        values = (who, np.full(len(who), r), np.full(len(who), s.names[r][c - a]))
-                        values += (dist[np.ix_(who, inside)].sum(axis=1), np.full(len(who), int(inside.sum())))
-                        for column, value in zip(columns, values, strict=True):
-                            column.append(value)
-        who, *rest = (np.concatenate(c) if c else np.empty(0, np.int64) for c in columns)
-        kinds = (pa.int32(), pa.int64(), pa.float64(), pa.int64())
-        ids = left.column("product_id").take(pa.array(who, pa.int64()))
-        return pa.table([ids, *[pa.array(c, k) for c, k in zip(rest, kinds, strict=True)]], names=["product_id", "run", "other", "total", "members"])
+        n, width = left.num_rows, len(s.sizes)
+        if not n or not right.num_rows:
+            return lists_of(left.column("product_id").slice(0, 0), *[np.empty(0, np.int64)] * 3, 0)
+        x, y = Sparse(left), Sparse(right)
+        met, inside = members_of(s.numbers(right.column("labels").combine_chunks()))
+        seen = np.frombuffer(b"".join(left.column("seen").to_pylist()), np.uint8).reshape(n, -1)
+        seen = np.unpackbits(seen, axis=1, count=width).astype(bool)[:, met]
+        sums = np.concatenate([d @ inside for _, _, d in strips(x, y)])
+        who, at = np.nonzero(seen)
+        return lists_of(left.column("product_id"), who, met[at], sums[who, at], n)
 
     ship_package(spark)
-    partial = asks.groupBy("grp", "slice", "turn").cogroup(members.groupBy("grp", "slice", "turn")).applyInArrow(meet, f"product_id {packed.id_type}, {SUMS}")
-    return partial.groupBy("product_id", "run", "other").agg(F.sum("total").alias("total"), F.sum("members").alias("members"))
+    schema = f"product_id {packed.id_type}, label array<int>, total array<double>"
+    partial = asks.groupBy("grp", "slice", "turn").cogroup(members.groupBy("grp", "slice", "turn")).applyInArrow(meet, schema)
+    return added_up(partial, names, sizes)
 
 
 def fits(labels: int, features: int) -> bool:

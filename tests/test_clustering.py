@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from holdscope.operators import baseline, clustering, kmeans_many, packed, selection
+from holdscope.operators import baseline, clustering, kmeans_many, packed, selection, silhouette
 from holdscope.operators.packed import Centres, Sparse, pack
 
 
@@ -128,6 +128,27 @@ def test_silhouette_equals_brute_force(spark, block_rows):
     assert got[1] == pytest.approx(brute_silhouette(x, other))
 
 
+@pytest.mark.parametrize("room", [True, False])
+def test_silhouette_of_sparse_vectors_copies_few_blocks(spark, monkeypatch, room):
+    """Vectors of some of many features: no dense products, and a product goes to few tasks."""
+    rng = np.random.default_rng(4)
+    x = np.zeros((300, 900))
+    for row in x:
+        row[rng.choice(900, 6, replace=False)] = rng.random(6) + 0.1
+    labels = rng.integers(0, 3, len(x))
+    table = spark.createDataFrame([(i, int(c)) for i, c in enumerate(labels)], "product_id LONG, cluster_id INT")
+    if not room:
+        monkeypatch.setattr(selection, "pack", lambda points, centres: None)
+    got = selection.silhouette(frame(spark, x), table)
+    assert got == pytest.approx(brute_silhouette(x, labels))
+    # Within the bound on cells the number of blocks does not grow with the rows.
+    assert silhouette.rows_of(50_000, 50_000 * 64, 75) > 40_000
+    assert silhouette.rows_of(10, 10, 10_000_000) >= 1
+    monkeypatch.setattr(silhouette, "BLOCK_CELLS", 100)
+    monkeypatch.setattr(silhouette, "STRIP", 50)
+    assert selection.silhouette(frame(spark, x), table) == pytest.approx(got)
+
+
 def test_silhouette_is_undefined_for_one_label(spark):
     x = blobs(9, THREE, 1.0, 3)
     one = spark.createDataFrame([(i, 0) for i in range(9)], "product_id LONG, cluster_id INT")
