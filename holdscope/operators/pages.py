@@ -15,17 +15,18 @@ from pyspark.sql.types import StructType
 
 from holdscope.functions.parsing import page_number, page_size
 
-#: Rows of a range, about.
-RANGE_ROWS = 100_000
+#: Rows of a range, about, and ranges at most; a range of a larger table has more rows.
+RANGE_ROWS, MAX_RANGES = 100_000, 512
 
 
 def store_order(rows: DataFrame, order: Sequence[Column], path: str, range_rows: int = RANGE_ROWS) -> None:
     """Write ``rows`` in ranges of a total order below ``path``, and the rows of each range beside them.
 
-    The order is that of all pages read later. Columns named ``_range`` and ``_place`` are added. A rerun replaces the files.
+    The order is that of all pages read later. The ranges are bounded in number, since each is a task and a folder that the
+    driver hears of. Columns named ``_range`` and ``_place`` are added. A rerun replaces the files.
     """
     n = rows.count()
-    dealt = rows.repartitionByRange(max(1, -(-n // range_rows)), *order).sortWithinPartitions(*order)
+    dealt = rows.repartitionByRange(max(1, min(MAX_RANGES, -(-n // range_rows))), *order).sortWithinPartitions(*order)
     placed = dealt.withColumn("_range", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     placed.write.mode("overwrite").partitionBy("_range").parquet(f"{path}/rows")
     spark, schema = rows.sparkSession, placed.schema

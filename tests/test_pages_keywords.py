@@ -55,3 +55,11 @@ def test_keywords_against_a_plain_search(spark, keyword):
     some = keywords.candidates(index, keyword)
     if some is not None:
         assert want.count() <= some.count() < 1500
+
+
+def test_ranges_are_bounded_in_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pages, "MAX_RANGES", 7)
+    pages.store_order(spark.range(1000), [F.col("id").asc()], f"{tmp_path}/o", range_rows=10)
+    assert len(list(Path(f"{tmp_path}/o/rows").glob("_range=*"))) <= 7
+    page = pages.read_page(spark, f"{tmp_path}/o", pages.last_page(spark, f"{tmp_path}/o", 40), 40)
+    assert [(r["place"], r["id"]) for r in page.collect()] == [(i, i) for i in range(960, 1000)]
