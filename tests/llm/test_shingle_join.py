@@ -7,8 +7,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from edges import rows, table
+from pyspark.sql import functions as F
 
-from holdscope.llm import shingle_join
+from holdscope.llm import components, shingle_join
 
 
 def shingles(text: str | None, words: int = 5) -> frozenset[bytes]:
@@ -80,6 +81,24 @@ def test_near_copies_against_all_pairs(spark, monkeypatch, seed, looked_at, bloc
     assert {r.doc_id: least[r.root] for r in found} == dict(enumerate(want))
 
 
+def test_fingerprints_propose_near_copies(spark):
+    """Most near copies are linked through the pairs of neighbouring fingerprints alone."""
+    data = near_copies()
+    want = brute([t for _, t in data])
+    names = [shingle_join.set_name(shingle_join.shingle_set(t.encode())) for _, t in data]
+    known = spark.sparkContext.broadcast(np.empty(0, np.int64))
+    texts = table(spark, data).select(F.col("doc_id").cast("bigint"), F.xxhash64("doc_id", "text").alias("key"), "text")
+    facts = shingle_join.map_batches(texts, shingle_join._facts(known, 5), shingle_join.FACTS)
+    pairs = shingle_join.materialise(shingle_join.fingerprint_pairs(facts), "pairs")
+    assert all(u < v for u, v in pairs.collect())
+    links = shingle_join._near(pairs, texts, shingle_join.materialise(facts, "facts"), 5)
+    group = dict(zip(names, want, strict=True))
+    assert all(group[u] == group[v] for u, v in links.collect())
+    linked = {r.node for r in components.components(links).collect()}
+    near = {n for n, w in zip(names, want, strict=True) if want.count(w) > 1}
+    assert len(near & linked) >= 0.8 * len(near)
+
+
 def test_keep_one_of_edge_rows(spark):
     docs = table(spark)
     kept = shingle_join.keep_one(docs)
