@@ -7,7 +7,9 @@ import random
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from holdscope.catalogue.domain import Domain
 from holdscope.operators import similarity, skew
 
 
@@ -101,3 +103,28 @@ def test_mean_pairwise_overlap_with_a_hot_feature(spark, monkeypatch, ranges):
         n = len(own)
         total = sum(min(a, b) for i in range(n) for j in range(i) for a, b in zip(own[i], own[j]))
         assert got[c] == pytest.approx(total / (n * (n - 1) / 2))
+
+
+def partitions(df) -> list[int]:
+    """Rows of each task that ends with this frame."""
+    return [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+
+
+def test_tasks_grow_with_the_holdings(spark, monkeypatch):
+    monkeypatch.setattr(skew, "TASK_ROWS", 200)
+    d = Domain(spark, "/root/testdata/sf0.001")
+    tasks = -(-d.raw("lineitem").count() // 200)
+    assert d.held().rdd.getNumPartitions() == tasks
+    assert d.holdings().rdd.getNumPartitions() == tasks
+
+
+def test_ranges_grow_with_the_rows(spark, monkeypatch):
+    """Keys that fill several ranges, nulls among them, and keys that share one."""
+    monkeypatch.setattr(skew, "TASK_ROWS", 50)
+    rows = [(k, i * 7 % 31 if i % 5 else None, i) for k, n in ((None, 400), (1, 3), (2, 700), (3, 1), (4, 96)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k int, v int, i int")
+    got = skew.ranked(df, ["k"], "v", ["i"])
+    assert max(partitions(got)) < 400
+    want = df.withColumn("want", F.row_number().over(Window.partitionBy("k").orderBy(F.col("v").desc_nulls_last(), "i")))
+    assert {(r.k, r.i): r["rank"] for r in got.collect()} == {(r.k, r.i): r.want for r in want.collect()}
+    assert got.count() == len(rows)
