@@ -297,7 +297,7 @@ def stale_job_count(d: Domain) -> DataFrame:
     WHERE (asset_code, coalesce(market, 'UNKNOWN')) NOT IN (SELECT (asset_code, market) FROM securities)
     GROUP BY 1, 2""", "holdings", "securities"))
 def missing_securities(d: Domain) -> DataFrame:
-    rows = writes.security_rows(d.holdings().withColumn("industry_name", F.lit(None).cast("string")))
+    rows = writes.security_rows(d.held().withColumn("industry_name", F.lit(None).cast("string")))
     new = writes.rows_to_append(
         d.securities(), rows, ["asset_code", "market"], [F.col("asset_name").asc(), F.col("asset_type").asc()]
     )
