@@ -12,6 +12,7 @@ from holdscope.catalogue.domain import Domain, case, cents, sql
 from holdscope.catalogue.registry import query, rounded
 from holdscope.functions import constants as C
 from holdscope.functions import text
+from holdscope.operators.skew import width_of
 from holdscope.session import cut_lineage
 from holdscope.sources import mappings, products, quotes, reports
 
@@ -168,9 +169,13 @@ def html_list_items(d: Domain) -> DataFrame:
 
 
 def report_pages(d: Domain) -> DataFrame:
-    """One page per order with a section per quarter and a table row per line item."""
-    joined = d.spread(d.raw("lineitem")).join(d.parts(), F.col("l_partkey") == F.col("p_partkey"))
-    year, quarter = F.year("l_shipdate"), F.quarter("l_shipdate")
+    """One page per order with a section per quarter and a table row per line item.
+
+    Line items are dealt by order before they become text, as many to a task as the counted rows ask for.
+    """
+    lines = d.raw("lineitem").select("l_orderkey", "l_partkey", "l_shipdate", "l_discount", "l_quantity", "l_extendedprice")
+    joined = lines.join(d.parts().select("p_partkey", "p_name", "asset_code"), F.col("l_partkey") == F.col("p_partkey"))
+    dealt = joined.repartition(width_of(d.spark, lines.count()), "l_orderkey")
 
     def td(*parts: Column) -> Column:
         return F.concat(F.lit("<td class='x'>"), *parts, F.lit("</td>"))
@@ -187,22 +192,27 @@ def report_pages(d: Domain) -> DataFrame:
         td(F.format_number("l_extendedprice", 2)),
         F.lit("</tr>"),
     )
-    section = joined.groupBy("l_orderkey", year.alias("y"), quarter.alias("q")).agg(
-        F.array_join(F.sort_array(F.collect_list(row)), "\n").alias("rows")
-    )
-    y, q = F.col("y").cast("string"), F.col("q").cast("string")
+    y, q = F.year("l_shipdate").cast("string"), F.quarter("l_shipdate").cast("string")
     end = F.date_format(reports.quarter_end(y, q), "yyyy-MM-dd")
-    stated = F.when(F.col("q") % 2 == 1, F.concat(F.lit("截止至： <font class='px12'>"), end, F.lit("</font>")))
-    html = F.concat(
+    stated = F.when(F.quarter("l_shipdate") % 2 == 1, F.concat(F.lit("截止至： <font class='px12'>"), end, F.lit("</font>")))
+    head = F.concat(
         F.lit("<h4 class='t'><label>Fund "), y, F.lit("年"), q, F.lit("季度股票投资明细</label></h4>"),
         F.coalesce(stated, F.lit("")),
-        F.lit("<table><tr><th>no</th><td>header</td></tr>"), F.col("rows"), F.lit("</table>"),
+        F.lit("<table><tr><th>no</th><td>header</td></tr>"),
     )
-    return landed(
-        section.groupBy("l_orderkey").agg(
-            F.concat(F.lit("<html>head "), F.array_join(F.sort_array(F.collect_list(html)), "")).alias("html")
-        )
-    )
+    # Sections come in the order of their heads, rows in that of their text; a head stands before its first row alone.
+    pages = dealt.select("l_orderkey", F.when(head.isNotNull(), F.struct(head.alias("head"), row.alias("row"))).alias("line"))
+    pages = pages.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+
+    def with_head(line: Column, i: Column) -> Column:
+        before = F.get("lines", i - 1)
+        begin = F.concat(F.when(i > 0, "</table>").otherwise(""), line["head"])
+        start = F.when((i == 0) | (before["head"] != line["head"]), begin).when(before["row"].isNull(), "").otherwise("\n")
+        return F.concat(start, F.coalesce(line["row"], F.lit("")))
+
+    text = F.array_join(F.transform("lines", with_head), "")
+    foot = F.when(F.size("lines") > 0, "</table>").otherwise("")
+    return landed(pages.select("l_orderkey", F.concat(F.lit("<html>head "), text, foot).alias("html")))
 
 
 SECTION_ROWS = """
@@ -219,7 +229,8 @@ SECTION_ROWS = """
 
 @query(sql(SECTION_ROWS, "parts"))
 def parse_report_html(d: Domain) -> DataFrame:
-    rows = reports.holding_rows(reports.quarter_sections(report_pages(d)))
+    sections = reports.quarter_sections(report_pages(d)).drop("year", "quarter")
+    rows = reports.holding_rows(sections)
     return rounded(rows, "weight").select(
         "l_orderkey", "report_period", "report_date", "sort_order", "asset_code", "asset_name", "weight",
         "share_quantity", "market_value", "market",

@@ -20,14 +20,14 @@ def to_decimal(c: Column, kind: str = "decimal(18,4)") -> Column:
 
 def to_int(c: Column) -> Column:
     """Whole part of a number text."""
-    d = to_decimal(c, "decimal(28,10)")
-    return F.when(d >= 0, F.floor(d)).otherwise(F.ceil(d)).cast("bigint")
+    return to_decimal(c, "decimal(28,10)").cast("bigint")
 
 
 def to_float(c: Column) -> Column:
     """Number text with commas and percent signs dropped."""
     t = F.replace(F.replace(strip(c), F.lit(","), F.lit("")), F.lit("%"), F.lit(""))
-    return F.when(~strip(c).isin(*_NO_FLOAT), t.try_cast("double"))
+    # Trimmed once; other texts for "no value" are no numbers either.
+    return F.when(c != "", t.try_cast("double"))
 
 
 def to_fraction(c: Column) -> Column:
@@ -38,14 +38,14 @@ def to_fraction(c: Column) -> Column:
 
 
 def to_date(c: Column, first_ten: bool = True) -> Column:
-    """First of the known date formats that fits.
+    """First of the known date formats that fits; empty text, which fits none, is not tried with each.
 
     ``first_ten`` cuts a longer text such as a timestamp before parsing.
     """
     t = strip(c)
     if first_ten:
         t = F.substring(t, 1, 10)
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)).cast("date") for f in DATE_FORMATS])
+    return F.when(t != "", F.coalesce(*[F.try_to_timestamp(t, F.lit(f)).cast("date") for f in DATE_FORMATS]))
 
 
 def to_date_or_today(c: Column, today: Column) -> Column:

@@ -8,9 +8,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from holdscope.catalogue import feeds
+from holdscope.catalogue.domain import Domain
 from holdscope.functions import constants as C
 from holdscope.functions import parsing, text
-from holdscope.operators import browse, holdings, returns, similarity, timeseries
+from holdscope.operators import browse, holdings, returns, similarity, skew, timeseries
 from holdscope.sources import mappings, products, quotes, reports
 
 
@@ -116,6 +118,48 @@ def test_report_sections(spark):
     assert (got["weight"], got["market_value"], got["share_quantity"]) == (pytest.approx(0.095), 1234.0, 12.5)
 
 
+def test_odd_report_pages(spark):
+    cell, title = "<td>{}</td>", "2026年1季度股票投资明细"
+    row = "".join(map(cell.format, (" 1", "<b>00700</b>", "&nbsp;x&amp;lt; ", "", "--", "5", "1,000.5", "2%")))
+    pages = [
+        # An opening tag over a closing one, headings in headings, other headings, text between the cells.
+        f"<h4 <h4>{title}</h4><tr></tr>y<tr a='1'>z{row}</tr><h4>other</h4><tr>\n{row}\n</tr></tr><tr {row}</tr><h4>{title}",
+        f"<h4>a<h4>b{title}</h4>截止至： <font>0000-01-01</font><tr></tr><tr><td x</td>{row}</tr><trx>{row}</tr>",
+        None, "", f"<h4>{title}",
+    ]
+    df = spark.createDataFrame(list(enumerate(pages)), "id INT, html STRING")
+    sections = reports.quarter_sections(df)
+    assert [(r["id"], r["report_date"], r["year"], r["quarter"]) for r in sections.orderBy("id").collect()] == [
+        (0, date(2026, 3, 31), "2026", "1"), (1, date(2026, 3, 31), "2026", "1"),
+    ]
+    want = (1, "00700", "\xa0x&lt;", pytest.approx(0.02), 1000.5, 5.0)
+    rows = reports.holding_rows(sections).orderBy("id").collect()
+    names = ("sort_order", "asset_code", "asset_name", "weight", "market_value", "share_quantity")
+    assert [r["id"] for r in rows if tuple(r[n] for n in names) == want] == [0, 0, 1]
+    for text in (*filter(None, pages), "<td>a</td> <td>b<td>c</td><td>d", "x<td\ty>a</td>\n<tdx>b</td><td>c</td>"):
+        assert [(m.start(), m.end(), m[1]) for m in reports.TITLE.finditer(text)] == reports.titles_of(text)
+        for tag in ("tr", "td"):
+            assert apply(spark, [text], lambda c, tag=tag: reports.elements(c, tag)) == [reports.inner_html(tag)(text)]
+
+
+def test_report_cells_are_read_once(spark):
+    df = spark.createDataFrame([(7, "")], "id INT, html STRING")
+    plan = reports.holding_rows(reports.quarter_sections(df))._jdf.queryExecution().executedPlan().toString()
+    # Neither matched again for the rows that have enough cells, nor dates tried that are not there.
+    assert plan.count("</td>") < 2
+    assert "gettimestamp" not in plan
+
+
+def test_report_pages_are_dealt_once(spark, monkeypatch):
+    monkeypatch.setattr(feeds, "landed", lambda rows: rows)
+    monkeypatch.setattr(skew, "TASK_ROWS", 500)
+    pages = feeds.report_pages(Domain(spark, "/root/testdata/sf0.001"))
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(l_orderkey") == 1
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert pages.rdd.getNumPartitions() == -(-rows // 500)
+
+
 def test_mapping_keys(spark):
     df = spark.createDataFrame([('{"600519|SH": "白酒", "AAPL": "科技", "A|B|C": "x"}',)], "payload STRING")
     got = {tuple(r) for r in mappings.read_industry_mapping(df).collect()}
