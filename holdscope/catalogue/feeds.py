@@ -187,7 +187,7 @@ def report_pages(d: Domain) -> DataFrame:
         td(F.lit("<a href='#'>"), F.col("asset_code"), F.lit("</a>")),
         td(F.lit(" "), F.col("p_name"), F.lit(" &amp; co ")),
         td(F.lit("")),
-        td(number_text(cents("l_discount") * 100), F.lit("%")),
+        td(cents("l_discount").cast("string"), F.lit(".00%")),
         td(F.format_number("l_quantity", 2)),
         td(F.format_number("l_extendedprice", 2)),
         F.lit("</tr>"),
