@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdscope.llm.common import ASCII_LOWER, map_batches, materialise, packed_row, shuffle_width, text_bytes
+from holdscope.llm.common import ASCII_LOWER, discard, map_batches, materialise, packed_row, shuffle_width, text_bytes
 
 #: Shorter lines are compared for equality alone: an edit makes another word of a short line.
 MIN_CHARS = 20
@@ -258,5 +258,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy(F.col("at.doc_id").alias("_id"), F.col("at.key").alias("_key"))
         .agg(F.collect_list("at.pos").alias("stay"))
     )
+    stay = materialise(stay, "stay")
+    discard(lines, candidates)
     schema = f"row {rows.schema['row'].dataType.simpleString()}, text string, n_lines bigint, n_removed bigint"
     return map_batches(rows.join(stay, same(stay), "left").select("text", "stay", "row"), _keep_lines, schema)

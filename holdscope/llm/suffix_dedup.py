@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdscope.llm.common import map_batches, materialise, packed_row, ragged_ranges, shuffle_width, text_bytes
+from holdscope.llm.common import discard, map_batches, materialise, packed_row, ragged_ranges, shuffle_width, text_bytes
 
 LENGTH = 100
 GRAM = 24
@@ -403,15 +403,15 @@ def dedup_passages(
     met = found.repartition(width, F.coalesce("anchor", F.xxhash64("doc_id", "key")))
     resolved = materialise(map_batches(met, _resolve_segments(hot_segments), CUTS), "segments")
 
-    by_doc = rows.repartition(width, "doc_id", "key")
-    same = lambda other: by_doc["doc_id"].eqNullSafe(other["_id"]) & (by_doc["key"] == other["_key"])
+    # Texts are shuffled twice, but no step keeps the files of the one before it.
+    same = lambda other: rows["doc_id"].eqNullSafe(other["_id"]) & (rows["key"] == other["_key"])
     wanted = (
         resolved.filter("anchor is not null")
         .groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
         .agg(F.collect_list(F.struct("anchor", "start", "size", "hot")).alias("parts"))
     )
     fetched = map_batches(
-        by_doc.join(wanted, same(wanted)).drop("_id", "_key"),
+        rows.join(wanted, same(wanted)).select("doc_id", "key", "text", "parts"),
         _fetch_segments(length),
         "anchor bigint, doc_id bigint, key int, start bigint, bytes binary",
     )
@@ -422,7 +422,9 @@ def dedup_passages(
         .groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
         .agg(F.collect_list("start").alias("starts"), F.collect_list("size").alias("sizes"))
     )
-    cut = by_doc.join(spans, same(spans), "left").select("text", "starts", "sizes", "row")
+    spans = materialise(spans, "spans")
+    discard(resolved)
+    cut = rows.join(spans, same(spans), "left").select("text", "starts", "sizes", "row")
     kind = "string" if as_text else "binary"
     schema = f"row {rows.schema['row'].dataType.simpleString()}, kept {kind}, removed array<bigint>"
     return map_batches(cut, partial(_cut_texts, as_text=as_text), schema)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import random
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,3 +44,21 @@ def table(spark: SparkSession, data: list[tuple[int | None, str | None]] | None
 
 def order(data: list[tuple[int | None, str | None]]) -> list[tuple[int | None, str | None]]:
     return sorted(data, key=lambda r: (r[0] is None, r[0] or 0))
+
+
+def left(spark: SparkSession) -> set[tuple[str, str]]:
+    """Name and path of every table in the shared folder."""
+    folder = (spark.sparkContext.getCheckpointDir() or "").removeprefix("file:")
+    return {(x.rsplit("-", 1)[0], x) for x in (os.listdir(folder) if folder else ())}
+
+
+def shuffle_files(spark: SparkSession, at_most: int = 0) -> int:
+    """The shuffle files on local disks; Spark removes them a moment later, so wait a while for ``at_most``."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    for _ in range(50):
+        files = disk.getAllFiles()
+        n = sum(files.apply(i).getName().startswith("shuffle") for i in range(files.size()))
+        if n <= at_most:
+            break
+        time.sleep(0.2)
+    return n

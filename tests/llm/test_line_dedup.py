@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from edges import order, rows, table
+from edges import left, order, rows, table
 
 from holdscope.llm import line_dedup
 
@@ -75,6 +75,12 @@ def test_empty_table(spark):
     assert line_dedup.dedup_lines(table(spark, [])).count() == 0
 
 
+def test_only_places_stay_on_disk(spark):
+    before = left(spark)
+    line_dedup.dedup_lines(table(spark)).collect()
+    assert {name for name, _ in left(spark) - before} == {"stay"}
+
+
 def test_variant_hashes_are_those_of_the_shorter_lines():
     for text in ("a", "ab", "straße 中文 x", "aaaa"):
         _, variants = line_dedup.variant_hashes(text)

@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
-from edges import rows, table
+from edges import left, rows, table
 from pyspark.sql import functions as F
 
 from holdscope.llm import components, shingle_join
@@ -121,6 +121,13 @@ def test_empty_table(spark):
     assert shingle_join.keep_one(table(spark, [])).count() == 0
 
 
+def test_facts_do_not_stay_on_disk(spark):
+    before = left(spark)
+    kept = shingle_join.keep_one(table(spark))
+    assert {name for name, _ in left(spark) - before} == {"links", "groups"}
+    assert kept.count() == kept.count() > 0
+
+
 def test_bucket_counts_bound_what_sets_share():
     rnd = random.Random(6)
     for _ in range(200):

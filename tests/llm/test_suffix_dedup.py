@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from edges import order, rows, table
+from edges import left, order, rows, shuffle_files, table
 
 from holdscope.llm import suffix_dedup
 
@@ -100,6 +100,17 @@ def test_empty_table(spark):
     assert suffix_dedup.dedup_passages(table(spark, [])).count() == 0
 
 
+def test_only_spans_stay_on_disk(spark):
+    """Segments and shuffles go before the texts are cut, and what is left is enough for every later read."""
+    data = [(i, "".join(random.Random(i % 7).choice("abc de") for _ in range(400)) + "x" * i) for i in range(30)]
+    tables, files = left(spark), shuffle_files(spark)
+    done = suffix_dedup.dedup_passages(table(spark, data))
+    assert {name for name, _ in left(spark) - tables} == {"spans"}
+    assert shuffle_files(spark, files) <= files
+    for _ in range(2):
+        check({r.row.doc_id: r for r in done.collect()}, data, 100)
+
+
 def test_longest_previous_factor_of_a_word():
     text = b"abaabababaa" + b"$" * 11
     windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), 11)[:11]
