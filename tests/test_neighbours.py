@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 import time
+from pathlib import Path
 
 import pytest
 
-from holdscope.operators import neighbours
+from holdscope.operators import holdings, neighbours
 
 SCHEMA = "product_id LONG, feature STRING, raw_weight DOUBLE, weight DOUBLE"
 
@@ -106,3 +107,44 @@ def test_few_products(spark):
     assert neighbours.neighbors_of_all(one.limit(0)).collect() == []
     with pytest.raises(ValueError):
         neighbours.neighbors_of_all(one, "euclid")
+
+
+def test_rounds_meet_all_blocks_once_and_leave_the_disk(spark, monkeypatch):
+    """However many blocks there are, a round copies each product twice at most, and no step stays on disk."""
+    rows = cells(6, 150, 6, 0.3)
+    table = spark.createDataFrame(rows, SCHEMA)
+    neighbours.neighbors_of_all(table.limit(0))  # names the shared folder
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = {x.name for x in folder.iterdir()}
+    monkeypatch.setattr(neighbours, "ROUND_CELLS", 1)
+    rounds, search = [], neighbours.searched_elsewhere
+
+    def watched(products, pairs, *rest):
+        rounds.append(pairs)
+        return search(products, pairs, *rest)
+
+    monkeypatch.setattr(neighbours, "searched_elsewhere", watched)
+    found = neighbours.neighbors_of_all(table, "overlap", 4, block_rows=20)
+    assert {(r["product_id"], r["rank"], r["neighbor_id"], round(r["score"], 6)) for r in found.collect()} == brute_force(rows, "overlap", 4)
+    blocks = 1 + max(j for pairs in rounds for _, j in pairs)
+    assert blocks > 5
+    met = [p for pairs in rounds for p in pairs]
+    assert sorted(met) == [(i, j) for i in range(blocks) for j in range(i + 1, blocks)]
+    for pairs in rounds:
+        assert max(sum(b in p for p in pairs) for b in range(blocks)) <= 2
+    left = [x for x in folder.iterdir() if x.name not in before and "-" in x.name and any(x.glob("*.parquet"))]
+    assert [x.name.rsplit("-", 1)[0] for x in left] == ["best"]
+
+
+def test_features_are_numbered_without_a_gap(spark):
+    names = spark.range(1000).selectExpr("cast(id as string) AS feature").repartition(7)
+    found = neighbours.numbered(neighbours.materialise(names, "names"))
+    assert sorted(r["at"] for r in found.collect()) == list(range(1000))
+    assert neighbours.numbered(neighbours.materialise(names.limit(0), "names")).count() == 0
+
+
+def test_norms_do_not_derive_the_cells_twice(spark):
+    table = spark.createDataFrame([(1, "a", 3.0), (1, "b", 4.0), (2, "a", 0.0)], "product_id LONG, feature STRING, raw_weight DOUBLE")
+    unit = holdings.l2_normalised(table)
+    assert unit._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+    assert {(r.product_id, r.feature, r.weight) for r in unit.collect()} == {(1, "a", 0.6), (1, "b", 0.8), (2, "a", 0.0)}
