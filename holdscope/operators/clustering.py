@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdscope.operators.skew import fits_broadcast, attach
+from holdscope.operators.skew import attach, beside, fits_broadcast
 from holdscope.session import cut_lineage
 
 
@@ -58,7 +58,7 @@ def label_means(points: DataFrame, labels: DataFrame) -> DataFrame:
     """Mean vector of each label in long form; cells no member holds are absent."""
     sizes = labels.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
     sums = (
-        points.join(labels.select("product_id", "cluster_id"), "product_id")
+        points.join(beside(labels.select("product_id", "cluster_id"), 32), "product_id")
         .groupBy("cluster_id", "feature")
         .agg(F.sum("weight").alias("s"))
     )
@@ -308,9 +308,16 @@ def kmeans_from(
 
 
 def member_distances(points: DataFrame, labels: DataFrame, centroids: DataFrame, k: int) -> DataFrame:
-    """Distance of each product to the centroid of its own cluster."""
-    d = distances(points, centroids, *measured(centroids, k))
-    own = F.element_at(F.array(*[F.col(f"d{j}") for j in range(k)]), F.col("cluster_id") + 1)
-    return d.join(labels.select("product_id", "cluster_id"), "product_id").select(
-        "product_id", "cluster_id", F.sqrt(own).alias("distance_to_center")
-    )
+    """Distance of each product to the centroid of its own cluster.
+
+    A cell meets the k values of its feature, but only that of its own cluster is multiplied and goes on to the product.
+    """
+    norms, small = measured(centroids, k)
+    owner = beside(labels.select("product_id", "cluster_id").distinct(), 32)
+    placed = points.select("product_id", "feature", "weight").join(owner, "product_id")
+    met = placed.join(F.broadcast(centroids), "feature", "left") if small else attach(placed, centroids, ["feature"])
+    of = lambda values: F.element_at(F.array(*values), F.col("cluster_id") + 1)
+    dot = F.sum(F.col("weight") * F.coalesce(of([F.col(c) for c in _names(k)]), F.lit(0.0)))
+    sums = met.groupBy("product_id", "cluster_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("xx"), dot.alias("dot"))
+    square = F.greatest(F.col("xx") + of([F.lit(n) for n in norms]) - 2 * F.col("dot"), F.lit(0.0))
+    return sums.select("product_id", "cluster_id", F.sqrt(square).alias("distance_to_center"))

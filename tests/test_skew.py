@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from holdscope.catalogue import QUERIES
 from holdscope.catalogue.domain import Domain
 from holdscope.operators import similarity, skew
 
@@ -105,6 +107,35 @@ def test_mean_pairwise_overlap_with_a_hot_feature(spark, monkeypatch, ranges):
         assert got[c] == pytest.approx(total / (n * (n - 1) / 2))
 
 
+@pytest.mark.parametrize("hot", [0, 30, 10**6])
+def test_overlaps_of_hot_and_other_features(spark, monkeypatch, hot):
+    """Several weights, with ties and zeros: features ranked whole, in ranges, or some one way and some the other."""
+    monkeypatch.setattr(similarity, "HOT_ROWS", hot)
+    rng = random.Random(9)
+    rows = [(p, f, rng.randrange(5) / 4, rng.random()) for p in range(90) for f in ["all", *rng.sample("abcdefgh", 3)]]
+    labels = [(p, p % 3) for p in range(92)]
+    cells = spark.createDataFrame(rows, "product_id LONG, feature STRING, a DOUBLE, b DOUBLE")
+    got = similarity.mean_pairwise_overlaps(
+        cells, spark.createDataFrame(labels, "product_id LONG, cluster_id INT"), {"a": "mean_a", "b": "mean_b"}
+    ).toPandas().set_index("cluster_id")
+    for column, name in ((2, "mean_a"), (3, "mean_b")):
+        for c in range(3):
+            own = {p: {r[1]: r[column] for r in rows if r[0] == p} for p, k in labels if k == c}
+            sums = [sum(min(w, own[q].get(f, 0.0)) for f, w in own[p].items()) for p in own for q in own if p < q]
+            assert got[name][c] == pytest.approx(sum(sums) / len(sums))
+
+
+def test_profiles_leave_only_what_is_small(spark):
+    """The holdings, the cells and the steps on them leave the shared folder with the query."""
+    skew.cut_lineage(spark.range(1))  # names the shared folder
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = {x.name for x in folder.iterdir()}
+    rows = QUERIES["cluster_profiles"](spark, "/root/testdata/sf0.001").collect()
+    assert rows
+    left = {x.name.rsplit("-", 1)[0] for x in folder.iterdir() if x.name not in before and any(x.glob("*.parquet"))}
+    assert left <= {"families", "totals", "profiles"}
+
+
 def partitions(df) -> list[int]:
     """Rows of each task that ends with this frame."""
     return [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
