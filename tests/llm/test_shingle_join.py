@@ -9,7 +9,7 @@ import pytest
 from edges import left, rows, table
 from pyspark.sql import functions as F
 
-from holdscope.llm import components, shingle_join
+from holdscope.llm import components, shingle_join, simhash_trie
 
 
 def shingles(text: str | None, words: int = 5) -> frozenset[bytes]:
@@ -99,6 +99,41 @@ def test_fingerprints_propose_near_copies(spark):
     assert len(near & linked) >= 0.8 * len(near)
 
 
+def test_trie_connects_all_fingerprints_within_its_bits(spark, monkeypatch):
+    """Also those that share no band, and sets that share a fingerprint."""
+    monkeypatch.setattr(shingle_join, "BANDS", 1)
+    rnd = random.Random(11)
+    prints = []
+    for _ in range(60):
+        prints.append(rnd.getrandbits(64))
+        for _ in range(rnd.randrange(5)):
+            prints.append(prints[-1] ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 5))))
+    rows = [(i, shingle_join.as_signed(p)) for i, p in enumerate(prints)]
+    pairs = shingle_join.fingerprint_pairs(spark.createDataFrame(rows, "doc bigint, fingerprint bigint")).collect()
+    assert all(r.u < r.v and (prints[r.u] ^ prints[r.v]).bit_count() <= shingle_join.MOST_BITS for r in pairs)
+    root = list(range(len(prints)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in pairs:
+        root[find(r.v)] = find(r.u)
+    for i, a in enumerate(prints):
+        for j, b in enumerate(prints[:i]):
+            assert (a ^ b).bit_count() > shingle_join.TRIE_BITS or find(i) == find(j)
+
+
+def test_pipeline_walks_the_trie(spark, monkeypatch):
+    walked, walk = [], simhash_trie.near_links
+    monkeypatch.setattr(simhash_trie, "near_links", lambda prints, *rest: walked.append(prints.count()) or walk(prints, *rest))
+    data = near_copies(7)
+    kept = {r.doc_id for r in corpus_pipeline.dedup_documents(spark, table(spark, data), "").select("doc_id").collect()}
+    assert kept == set(brute([t for _, t in data]))
+    assert walked and walked[0] > 50
+
+
 def test_keep_one_of_edge_rows(spark):
     docs = table(spark)
     kept = shingle_join.keep_one(docs)
